@@ -67,9 +67,8 @@ def text_slices(offsets: np.ndarray, most: int):
         i = min(j, n)
 
 
-GAPS = np.zeros(256, dtype=bool)
-GAPS[[0x20, *range(0x09, 0x0E)]] = True
-
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,45 +85,47 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of other bytes than ASCII white space) of a slice of documents: (hash, document, start, end).
 
-    Words never cross documents. ASCII capitals count as small letters. A hash takes the word's bytes eight
-    at a time, all words at once.
+    Words never cross documents. bare: ASCII punctuation parts words too. Capitals of ASCII and Latin-1 count as small
+    letters. A hash takes the word's bytes eight at a time, all words at once.
     """
     n = len(data)
-    gap = GAPS[data]
-    first = ~gap
-    if n:
-        first[1:] &= gap[:-1]
-        edges = offsets[:-1][(offsets[:-1] < n) & (offsets[1:] > offsets[:-1])]
-        first[edges] = ~gap[edges]
-    starts = np.flatnonzero(first)
-    if not len(starts):
+    if not n:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
-    docs = np.searchsorted(offsets, starts, side="right") - 1
-    # a word ends at the next gap, or where its document ends
-    stops = np.flatnonzero(gap)
-    at = np.searchsorted(stops, starts)
-    ends = np.where(at < len(stops), stops[np.minimum(at, len(stops) - 1)] if len(stops) else n, n)
-    ends = np.minimum(ends, offsets[docs + 1])
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    low = padded.copy()
-    low[(padded >= 65) & (padded <= 90)] += 32
-    views = np.lib.stride_tricks.sliding_window_view(low, 8)
+    if bare:
+        inside = (data > 127) | (((data | np.uint8(32)) - np.uint8(97)) < 26) | ((data - np.uint8(48)) < 10)
+    else:
+        inside = ~((data == 32) | ((data - np.uint8(9)) < 5))
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    docs = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    low = np.zeros(n + 16, np.uint8)
+    low[:n] = data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+    if len(wide):
+        second = low[wide]
+        low[wide] = second + (((second - np.uint8(0x80)) < 0x1F) & (second != 0x97)).astype(np.uint8) * np.uint8(32)
+    eight = np.ndarray((n + 9,), dtype="<u8", buffer=low, strides=(1,))
     lengths = ends - starts
-    h = np.full(len(starts), ODD, np.uint64) ^ lengths.astype(np.uint64)
-    live = np.arange(len(starts))
-    step = 0
-    while len(live):
-        left = lengths[live] - step
-        chunk = np.ascontiguousarray(views[starts[live] + step]).view(np.uint64).ravel()
-        short = left < 8
-        if short.any():
-            mask = (np.uint64(1) << (np.maximum(left[short], 0) * 8).astype(np.uint64)) - np.uint64(1)
-            chunk[short] &= mask
-        h[live] = mix((h[live] ^ chunk) * ODD)
+    h = lengths.astype(np.uint64) * MIX1
+    at, left, step = None, lengths, 0
+    while True:
+        chunk = eight[starts + step if at is None else starts[at] + step]
+        chunk &= MASKS[np.minimum(left, 8)]
+        if at is None:
+            h = mix((h ^ chunk) * ODD)
+        else:
+            h[at] = mix((h[at] ^ chunk) * ODD)
         step += 8
-        live = live[left > 8]
-    return h, docs, starts, ends
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h, docs, starts, ends
+        at = more if at is None else at[more]
+        left = left[more] - 8

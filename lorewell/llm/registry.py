@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lorewell.llm.bagminhash import op7_bagminhash
+from lorewell.llm.decontamination import op4_decontamination
 from lorewell.llm.hamming import op9_hamming
 from lorewell.llm.langid import op10_langid
 from lorewell.llm.mixing import op5_mixing
@@ -9,7 +11,7 @@ from lorewell.llm.resharding import op6_sharding
 
 
 def queries():
-    found = [op5_mixing, op6_sharding, op9_hamming, op10_langid]
+    found = [op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op9_hamming, op10_langid]
     return {f.__name__: f for f in found}
 
 
