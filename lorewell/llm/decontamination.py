@@ -19,7 +19,7 @@ from lorewell.llm.common import arrow_text, text_slices, word_hashes
 FEATURES, PASSAGE, RANK, OVER = 2048, 64, 48, 8
 #: Search windows in blocks of BLOCK words: (blocks, stride in blocks). An item part is sought in windows of about its length.
 BLOCK = 4
-WINDOWS = ((2, 1), (3, 1), (4, 1), (5, 1), (7, 2), (9, 2), (11, 3), (14, 4))
+WINDOWS = ((2, 1), (3, 1), (4, 1), (5, 1), (7, 2), (9, 2), (11, 2), (14, 3))
 #: Longer items are sought in equal parts of at most so many words, which fit a machine word.
 PART_WORDS = 58
 #: A window is a candidate from this cosine on.
@@ -221,9 +221,9 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
         for (blocks, stride), group in items.groups.items():
             inner = np.arange(0, max(0, len(block) - blocks + 1), stride)
             inner = inner[block_doc[inner] == block_doc[inner + blocks - 1]] if len(inner) else inner
-            # and each document's last window, which is all of a short document
-            start = np.concatenate([inner, np.maximum(doc_first, doc_end - blocks)])
-            end = np.concatenate([inner + blocks, doc_end])
+            # and each document's first and last windows, which are all of a short document
+            start = np.concatenate([inner, doc_first, np.maximum(doc_first, doc_end - blocks)])
+            end = np.concatenate([inner + blocks, np.minimum(doc_first + blocks, doc_end), doc_end])
             for s in range(0, len(start), 50_000):
                 a, b = start[s : s + 50_000], end[s : s + 50_000]
                 x = cum[b]
