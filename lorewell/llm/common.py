@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written table in the shared folder, compressed, for what is read several times; unstash() deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/lorewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def unstash(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column | str], value: Column, into: str) -> DataFrame:
     """The exclusive running total of value within group, by bucket and then order.
 

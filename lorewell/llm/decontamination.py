@@ -161,7 +161,7 @@ def prepare(rows: list[tuple[int, str | None]], space: Space) -> Items:
             at += len(piece)
         ids.append(item)
         words.append(len(h))
-    raw_vectors = np.array([space.g[features(p)].sum(0) - len(p) * space.mean for p in parts], dtype=np.float32).reshape(len(parts), -1)
+    raw_vectors = np.array([space.g[features(p)].sum(0) - len(p) * space.mean for p in parts], dtype=np.float32).reshape(len(parts), space.g.shape[1])
     norm = np.linalg.norm(raw_vectors, axis=1, keepdims=True)
     vectors = raw_vectors / np.maximum(norm, 1e-12)
     groups = {w: np.array([i for i, c in enumerate(classes) if c == w]) for w in set(classes)}

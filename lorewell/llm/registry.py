@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lorewell.llm.bagminhash import op7_bagminhash
 from lorewell.llm.decontamination import op4_decontamination
 from lorewell.llm.hamming import op9_hamming
 from lorewell.llm.langid import op10_langid
 from lorewell.llm.mixing import op5_mixing
+from lorewell.llm.pseudonyms import op3_pseudonyms
+from lorewell.llm.quality import op8_quality
+from lorewell.llm.repeats import op2_repeats
 from lorewell.llm.resharding import op6_sharding
+from lorewell.llm.secrets_scan import op1_secrets
 
 
 def queries():
-    found = [op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op9_hamming, op10_langid]
-    return {f.__name__: f for f in found}
+    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
