@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WIDTH = WORDS + DENSE
 SLICE = 512 << 10
 #: A document is kept from this quality on, if it is not toxic from that on.
 KEEP, TOXIC = 0.5, 0.5
+#: A word tells toxic documents if so many, and that share, of the sample's have it and its rate there is so many times that elsewhere.
+TELLING, SHARE, ODDS = 5, 0.04, 20.0
 #: Strength of the global prior on hosts and of a host's on its paths is estimated, within these bounds.
 STRENGTH = (2.0, 1000.0)
 
@@ -26,8 +29,9 @@ for _i, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n"):
     MARK_OF[_c] = _i
 
 
-def feature_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of WIDTH features for each document of a slice: log counts of hashed words, then dense ones."""
+def feature_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of WIDTH features for each document of a slice (log counts of hashed words, then dense ones); word hashes and
+    their documents."""
     n = len(offsets) - 1
     h, docs, starts, ends = word_hashes(data, offsets, bare=True)
     bucket = ((h >> np.uint64(30)) % np.uint64(WORDS)).astype(np.int64)
@@ -46,7 +50,7 @@ def feature_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     digit = np.bincount(doc_of[(data - np.uint8(48)) < 10], minlength=n) / np.maximum(size, 1)
     pairs = np.unique(docs * (1 << 44) + (h >> np.uint64(20)).astype(np.int64)) >> 44
     x[:, WORDS + MARKS :] = np.stack([np.bincount(docs[same], minlength=n) * per_word, np.sqrt(upper), np.sqrt(digit), np.log1p(words) / 8, np.bincount(docs, weights=ends - starts, minlength=n) * per_word / 10, np.bincount(pairs, minlength=n) * per_word], 1)
-    return x
+    return x, h, docs
 
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 3e-3) -> np.ndarray:
@@ -69,8 +73,44 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 3e-3) ->
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights (WIDTH + 1, 2) for quality and toxic, from at most `sample` labelled documents of the smallest hashes.
+@dataclass
+class Model:
+    """weights (WIDTH + 1) tell quality; a word of lexicon (sorted hashes) tells a toxic document with chance."""
+
+    weights: np.ndarray
+    lexicon: np.ndarray
+    chance: np.ndarray
+
+
+def learn_lexicon(words: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur in TELLING toxic documents or more and in SHARE of them, and there far more than elsewhere, with their precision."""
+    bad = [w for w, t in zip(words, toxic, strict=True) if t]
+    if not bad:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    keys, inside = np.unique(np.concatenate(bad), return_counts=True)
+    often = inside >= max(TELLING, SHARE * len(bad))
+    keys, inside = keys[often], inside[often]
+    good = np.sort(np.concatenate([w for w, t in zip(words, toxic, strict=True) if not t] or [keys[:0]]))
+    outside = np.searchsorted(good, keys, side="right") - np.searchsorted(good, keys)
+    # the rate outside, had one more document the word
+    odds = (inside / len(bad)) / ((outside + 1) / max(1, len(words) - len(bad)))
+    use = odds >= ODDS
+    return keys[use], (inside / (inside + outside + 1))[use]
+
+
+def toxic_chance(h: np.ndarray, docs: np.ndarray, n: int, model: Model) -> np.ndarray:
+    """One less the chance that none of the document's telling words is meant."""
+    out = np.zeros(n)
+    if len(model.lexicon):
+        at = np.minimum(np.searchsorted(model.lexicon, h), len(model.lexicon) - 1)
+        hit = np.flatnonzero(model.lexicon[at] == h)
+        pairs = np.unique(docs[hit] * len(model.lexicon) + at[hit])
+        np.add.at(out, pairs // len(model.lexicon), np.log1p(-np.minimum(model.chance[pairs % len(model.lexicon)], 0.999)))
+    return 1 - np.exp(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from at most `sample` labelled documents, those of the smallest hashes.
 
     A document with several labels counts with the greatest; without labels all weights are 0.
     """
@@ -81,40 +121,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_text(batch.column("text"))
-            at, values = [], []
+            at, values, words = [], [], []
             for i, j in text_slices(offsets, SLICE):
-                for row in feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                x, h, d = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for row in x:
                     hit = np.flatnonzero(row)
                     at.append(hit.astype(np.uint16).tobytes())
                     values.append(row[hit].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), batch.column("quality"), batch.column("toxic")], ["at", "v", "quality", "toxic"])
+                ends = np.searchsorted(d, np.arange(j - i + 1))
+                words += [np.unique(h[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), pa.array(words, pa.binary()), batch.column("quality"), batch.column("toxic")], ["at", "v", "w", "quality", "toxic"])
 
-    got = rows.mapInArrow(run, "at binary, v binary, quality int, toxic int").collect()
+    got = rows.mapInArrow(run, "at binary, v binary, w binary, quality int, toxic int").collect()
     if not got:
-        return np.zeros((WIDTH + 1, 2), np.float32)
+        return Model(np.zeros(WIDTH + 1, np.float32), np.zeros(0, np.uint64), np.zeros(0))
     got.sort(key=lambda r: (bytes(r["at"]), bytes(r["v"])))
     x = np.zeros((len(got), WIDTH), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
-    return np.stack([_fit(x, np.array([r[c] > 0 for r in got], dtype=np.float32)) for c in ("quality", "toxic")], 1)
+    words = [np.frombuffer(r["w"], np.uint64) for r in got]
+    return Model(_fit(x, np.array([r["quality"] > 0 for r in got], dtype=np.float32)), *learn_lexicon(words, np.array([r["toxic"] > 0 for r in got])))
 
 
-def evidence(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFrame:
+def evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """columns, and each document's classifier probabilities p and toxic; a text without a word has p 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*columns, "text")
     schema = rows.select(*columns).schema.add("p", "double").add("toxic", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        model = shared.value
+        w = model.weights
         for batch in batches:
             data, offsets = arrow_text(batch.column(len(columns)))
             out = [np.zeros((0, 2))]
             for i, j in text_slices(offsets, SLICE):
-                x = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                x, h, d = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30).astype(np.float64)))
-                p[~x.any(1)] = 0
-                out.append(p)
+                p[np.bincount(d, minlength=j - i) == 0] = 0
+                out.append(np.stack([p, toxic_chance(h, d, j - i, model)], 1))
             both = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(both[:, 0]), pa.array(both[:, 1])], [*columns, "p", "toxic"])
 
@@ -158,13 +203,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     score is the document's probability with its site's rate in place of the global prior. Null hosts and paths are sites of
     their own; a text without a word scores 0; without labels every text with a word is kept.
     """
-    weights = fit(docs, labels)
-    rows = keep(evidence(docs.select("doc_id", "text", host.alias("host"), path.alias("path")), weights, ["doc_id", "host", "path"]))
+    model = fit(docs, labels)
+    rows = keep(evidence(docs.select("doc_id", "text", host.alias("host"), path.alias("path")), model, ["doc_id", "host", "path"]))
     site = keep(posteriors(rows)).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("rate").alias("path_rate"), "host_rate", "all_rate")
     joined = rows.join(site, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
     score = F.when(F.col("p") > 0, 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("path_rate")) - _logit(F.col("all_rate")))))).otherwise(0.0)
     done = joined.withColumn("score", score)
-    kept = (F.col("score") >= KEEP) & (F.col("toxic") < TOXIC) if weights.any() else F.col("p") > 0
+    kept = (F.col("score") >= KEEP) & (F.col("toxic") < TOXIC) if model.weights.any() else F.col("p") > 0
     return done.select("doc_id", "host", "path", F.round("p", 6).alias("p"), F.round("toxic", 6).alias("toxic"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round("score", 6).alias("score"), kept.alias("keep"))
 
 
