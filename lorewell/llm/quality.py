@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from lorewell.llm.common import arrow_text, keep, text_slices, word_hashes
 
 #: Bound of the labelled sample, hashed words, and dense features: shares of ASCII marks, digits, capitals, repeats, lengths.
-SAMPLE, WORDS, MARKS = 4_000, 4_096, 33
+SAMPLE, WORDS, MARKS = 12_000, 4_096, 33
 DENSE = MARKS + 6
 WIDTH = WORDS + DENSE
 SLICE = 512 << 10
 #: A document is kept from this quality on, if it is not toxic from that on.
 KEEP, TOXIC = 0.5, 0.5
+#: Of a full sample, one labelled document in so many enters the regression.
+FEWER = 3
 #: A word tells toxic documents if so many, and that share, of the sample's have it and its rate there is so many times that elsewhere.
-TELLING, SHARE, ODDS = 5, 0.04, 20.0
+TELLING, SHARE, ODDS = 5, 0.015, 30.0
 #: Strength of the global prior on hosts and of a host's on its paths is estimated, within these bounds.
 STRENGTH = (2.0, 1000.0)
 
@@ -112,35 +114,39 @@ def toxic_chance(h: np.ndarray, docs: np.ndarray, n: int, model: Model) -> np.nd
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled documents, those of the smallest hashes.
 
-    A document with several labels counts with the greatest; without labels all weights are 0.
+    The lexicon takes all of them, the weights one in FEWER (all of a small sample). A document with several labels counts with
+    the greatest; without labels all weights are 0.
     """
     each = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     some = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality", "toxic")
+    dense = F.lit(labels.count() < sample) | (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(FEWER)) == 0)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality", "toxic", dense.alias("dense"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_text(batch.column("text"))
             at, values, words = [], [], []
+            dense = batch.column("dense").to_pylist()
             for i, j in text_slices(offsets, SLICE):
                 x, h, d = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for row in x:
-                    hit = np.flatnonzero(row)
+                for row, use in zip(x, dense[i:j], strict=True):
+                    hit = np.flatnonzero(row) if use else np.zeros(0, np.int64)
                     at.append(hit.astype(np.uint16).tobytes())
                     values.append(row[hit].astype(np.float32).tobytes())
                 ends = np.searchsorted(d, np.arange(j - i + 1))
                 words += [np.unique(h[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), pa.array(words, pa.binary()), batch.column("quality"), batch.column("toxic")], ["at", "v", "w", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), pa.array(words, pa.binary()), batch.column("quality"), batch.column("toxic"), batch.column("dense")], ["at", "v", "w", "quality", "toxic", "dense"])
 
-    got = rows.mapInArrow(run, "at binary, v binary, w binary, quality int, toxic int").collect()
+    got = rows.mapInArrow(run, "at binary, v binary, w binary, quality int, toxic int, dense boolean").collect()
     if not got:
         return Model(np.zeros(WIDTH + 1, np.float32), np.zeros(0, np.uint64), np.zeros(0))
     got.sort(key=lambda r: (bytes(r["at"]), bytes(r["v"])))
-    x = np.zeros((len(got), WIDTH), np.float32)
-    for row, r in zip(x, got, strict=True):
+    full = [r for r in got if r["dense"]] or got
+    x = np.zeros((len(full), WIDTH), np.float32)
+    for row, r in zip(x, full, strict=True):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
     words = [np.frombuffer(r["w"], np.uint64) for r in got]
-    return Model(_fit(x, np.array([r["quality"] > 0 for r in got], dtype=np.float32)), *learn_lexicon(words, np.array([r["toxic"] > 0 for r in got])))
+    return Model(_fit(x, np.array([r["quality"] > 0 for r in full], dtype=np.float32)), *learn_lexicon(words, np.array([r["toxic"] > 0 for r in got])))
 
 
 def evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
