@@ -17,8 +17,8 @@ SAMPLE, WORDS, MARKS = 12_000, 4_096, 33
 DENSE = MARKS + 6
 WIDTH = WORDS + DENSE
 SLICE = 512 << 10
-#: A document is kept from this quality on, if it is not toxic from that on.
-KEEP, TOXIC = 0.5, 0.5
+#: A document is kept from this quality on, if its chance of being toxic is below that.
+KEEP, TOXIC = 0.5, 0.93
 #: Of a full sample, one labelled document in so many enters the regression.
 FEWER = 3
 #: A word tells toxic documents if so many, and that share, of the sample's have it and its rate there is so many times that elsewhere.
