@@ -37,7 +37,7 @@ def markdown(msgs: DataFrame, session: str, order: str, name: Column, at: Column
     rows = F.array_sort(F.collect_list(F.struct(order, F.col("_b").alias("b"))))
     said = F.array_join(F.transform("_rows", lambda r: r["b"]), "\n")
     grouped = msgs.withColumns({"_b": body, "_h": head}).groupBy(session).agg(F.first("_h").alias("_h"), rows.alias("_rows"))
-    return grouped.select(session, F.concat("_h", said, F.lit("\n\n\n*由「历史人物对话」系统生成*\n")).alias("markdown"))
+    return grouped.select(session, F.concat("_h", said, F.lit("\n\n*由「历史人物对话」系统生成*\n")).alias("markdown"))
 
 
 def _pdf(text: str) -> bytes:

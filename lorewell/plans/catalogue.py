@@ -412,7 +412,7 @@ def union_sources(spark, d):
 
 AT = "2024-05-06 07:08:09"
 MD = f"""'# 与' || {{name}} || '的对话' || chr(10) || chr(10) || '**导出时间**: {AT}' || chr(10) || chr(10) || '## 对话记录' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-|| string_agg('### ' || CASE WHEN role = 'user' THEN '👤 用户' ELSE '🎭 ' || {{name}} END || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY turn) || chr(10) || chr(10) || chr(10) || '*由「历史人物对话」系统生成*' || chr(10)"""
+|| string_agg('### ' || CASE WHEN role = 'user' THEN '👤 用户' ELSE '🎭 ' || {{name}} END || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY turn) || chr(10) || chr(10) || '*由「历史人物对话」系统生成*' || chr(10)"""
 
 
 @query(f"SELECT conv_id, {MD.format(name='(\'C\' || conv_id)')} AS markdown FROM conversations GROUP BY conv_id")

@@ -40,8 +40,8 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     rows.append(parse_character(content) | {"path": p, "error": None})
                 except Exception as e:  # noqa: BLE001  a bad file is quarantined
-                    rows.append({"path": p, "error": str(e)})
-            yield pd.DataFrame(rows, columns=[*TEXTS, *LISTS, "path", "error"])
+                    rows.append(dict.fromkeys([*TEXTS, *LISTS]) | {"path": p, "error": str(e)})
+            yield pd.DataFrame(rows, columns=[*TEXTS, *LISTS, "path", "error"], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
