@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Queries that are broadcast at once.
+QUERIES = 10_000
+
 
 def squared_l2(a: Column, b: Column) -> Column:
     """In double precision; null where a vector is null or the lengths differ."""
@@ -46,12 +50,17 @@ def retriever(index: DataFrame, k: int = 4) -> Callable[[DataFrame], DataFrame]:
 
 
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", by: list[str] | None = None) -> DataFrame:
-    """J5 + W2: k neighbours of every query; queries have query_id and q, and are few by contract.
+    """J5 + W2: k neighbours of every query; queries have query_id and q.
 
-    by: columns that must agree (a filter per query). Ranks beyond k never leave their partition.
+    by: columns that must agree (a filter per query). Ranks beyond k never leave their partition. At most QUERIES queries
+    are sent to all executors at once; more are searched in blocks.
     """
     by = by or []
-    pairs = index.select(key, vector, *by).join(F.broadcast(queries.select("query_id", "q", *by)), by or None, "inner")
+    asked = queries.select("query_id", "q", *by)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked for b in range(blocks)]
+    rows = index.select(key, vector, *by)
+    pairs = reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), by or None, "inner") for p in parts])
     pairs = pairs.select("query_id", key, squared_l2(F.col(vector), F.col("q")).alias("score")).where("score is not null")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)))
     return ranked.where(F.col("rank") <= k)

@@ -132,3 +132,10 @@ def test_entry_without_llm():
     import __spark_entry__
 
     assert set(catalogue.ORACLE) <= set(__spark_entry__.queries())
+
+
+def test_query_blocks(vectors, monkeypatch):
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = sorted(knn.batch_topk(vectors, queries, 3).collect())
+    monkeypatch.setattr(knn, "QUERIES", 7)
+    assert sorted(knn.batch_topk(vectors, queries, 3).collect()) == whole
