@@ -115,3 +115,9 @@ def messages(system: Column, history: Column, user: Column) -> Column:
 def source_line(sources: Column) -> Column:
     """Titles joined by ' | '."""
     return F.array_join(F.transform(sources, lambda s: F.coalesce(s["title"], F.lit(UNKNOWN))), " | ")
+
+
+def source_panel() -> Column:
+    """One line per citation, the title as a link where there is a url."""
+    title = F.when(F.col("url") != "", F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")"))).otherwise(F.col("title"))
+    return F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), title, F.lit(" - "), "source")

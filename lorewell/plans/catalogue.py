@@ -141,6 +141,20 @@ def rag_sources(spark, d):
     return _cited(spark, d).select("index", "title", "source", "url", "character")
 
 
+@query(f"{HITS} SELECT '[' || rank || '] ' || CASE WHEN rank = 1 THEN '[' || title || '](http://x/' || vec_id || ')' ELSE title END || ' - ' || source AS line FROM c")
+def rag_source_panel(spark, d):
+    linked = _cited(spark, d).withColumn("url", F.when(F.col("index") == 1, F.concat(F.lit("http://x/"), "vec_id")).otherwise(""))
+    return linked.select(context.source_panel().alias("line"))
+
+
+@query("SELECT conv_id, string_agg('item ' || turn, ' | ' ORDER BY turn) AS line FROM conversations WHERE role <> 'user' GROUP BY conv_id")
+def rag_source_line(spark, d):
+    """X12's short form: each reply cites one title."""
+    cited = table(spark, d, "conversations").where("role <> 'user'").withColumn("title", F.concat(F.lit("item "), "turn"))
+    rows = cited.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "title"))).alias("sources"))
+    return rows.select("conv_id", context.source_line(F.col("sources")).alias("line"))
+
+
 CONTEXT = HITS + ", x AS (SELECT string_agg('[史料' || rank || '] 来源: ' || source || ' - ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context_text FROM c)"
 
 
@@ -286,6 +300,19 @@ def page_cache_merge(spark, d):
     return pages.merge_cache(old, new, "2024-02-02")
 
 
+@query("SELECT DISTINCT 'https://baike.baidu.com/item/' || name AS url FROM (VALUES ('孔子'), ('李白')) v(name)")
+def page_item_urls(spark, d):
+    return chars(spark).where("name in ('孔子', '李白')").select(pages.item_url(F.col("name")).alias("url"))
+
+
+@query("SELECT c.conv_id, count(*) AS n FROM conversations c WHERE c.conv_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY c.conv_id")
+def coverage_semi(spark, d):
+    """J2 for existence: sessions that have a counterpart."""
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("name"))
+    rows = table(spark, d, "conversations").withColumnRenamed("conv_id", "name")
+    return catalog.lookup(rows, good, "left_semi").groupBy(F.col("name").alias("conv_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- knowledge files (S2, K1, 2.10) ---
 
 
