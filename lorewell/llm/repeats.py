@@ -120,13 +120,16 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             hs, ts = h[order], t[order]
             differ = (hs[1:] == hs[:-1]) & (ts[1:] != ts[:-1])
             again = np.unique(np.concatenate([hs[1:][differ], h[m]]))
-            by_part: dict[int, list[np.ndarray]] = {}
-            for part, own, _, _ in rows:
-                hit = own[np.isin(own, again, assume_unique=False)] if len(again) else own[:0]
-                if len(hit):
-                    by_part.setdefault(part, []).append(hit)
-            if by_part:
-                yield pa.RecordBatch.from_arrays([pa.array(list(by_part), pa.int32()), pa.array([np.unique(np.concatenate(v)).tobytes() for v in by_part.values()], pa.binary())], ["part", "blob"])
+            if not len(again):
+                continue
+            # back to every part that holds one of them
+            p = np.repeat([x[0] for x in rows], [len(x[1]) for x in rows])
+            hit = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
+            h, p = h[hit], p[hit]
+            order = np.lexsort((h, p))
+            h, p = h[order], p[order]
+            cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), pa.array([x.tobytes() for x in np.split(h, cut[1:])], pa.binary())], ["part", "blob"])
 
     sent = docs.select(part_of(parts).alias("part"), "tie", "text").mapInArrow(send, "r int, part int, h binary, t binary, m binary")
     return sent.repartition(ranges, "r").mapInArrow(answer, "part int, blob binary")
@@ -157,7 +160,7 @@ def piece_rows(table: pa.Table, side: pa.Table) -> pa.Table:
     for i, j in text_slices(offsets, SLICE):
         base = offsets[i]
         h, d, at, first, last = anchors(data[base : offsets[j]], offsets[i : j + 1] - base)
-        hit = np.flatnonzero(alive[i:j][d] & np.isin(h, again)) if len(h) else []
+        hit = np.flatnonzero(alive[i:j][d] & (again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h)) if len(h) else []
         if not len(hit):
             continue
         h, d, at, first, last = h[hit], d[hit] + i, at[hit], first[hit], last[hit]
@@ -343,3 +346,26 @@ def op2_repeats(spark, sf_dir: str) -> DataFrame:
     from lorewell.session import table
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+#: The contract string by string, in hexadecimal: two digits a byte.
+OP2_SQL = """
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+strings AS (
+  SELECT doc_id, i AS s, substr(x, 2 * i + 1, 200) AS w
+  FROM (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 99))) AS i FROM raw)),
+again AS (
+  SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM runs
+  UNION ALL SELECT r.doc_id, coalesce(max(hi), 0), any_value(length(x) // 2) FROM raw r LEFT JOIN runs USING (doc_id) GROUP BY r.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT r.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.n, 0)::BIGINT AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM raw r JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS n FROM runs GROUP BY doc_id) c USING (doc_id)
+"""
