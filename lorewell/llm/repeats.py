@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,13 @@ SPAN = LENGTH - K + 1
 COLUMNS = 2 * (SPAN - 1) + K
 #: Bytes of text of a part, of a slice of array work, and pieces of a block of the construction.
 PART_BYTES, SLICE, BLOCK = 16 << 20, 256 << 10, 60_000
+#: An anchor of so many texts is hot: its strings are dealt by more of what they hold (see RANGES).
+HOT = 1_000
+#: Ranges of a string's bytes ahead of its anchor. They part where the bytes ahead or behind double, so the bytes that all
+#: strings of a range share hold at least half of what any of them has on either side: texts that agree around a hot anchor
+#: but differ further out part company.
+RANGES = sorted({0, *(2**i for i in range(7)), *(SPAN - 2**i for i in range(7))})
+RANGES = [(a, b - 1) for a, b in zip(RANGES, [*RANGES[1:], SPAN], strict=True)]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +81,7 @@ def part_of(parts: int):
 
 
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, blob): the anchor hashes of each part's documents that two texts hold, or one text twice.
+    """(part, blob, hot): the anchor hashes of each part's documents that two texts hold, or one text twice; and the hot ones.
 
     docs has id, tie and text. Anchors travel as arrays by ranges of their hashes, each once per batch and text.
     """
@@ -118,6 +126,8 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             m = np.concatenate([x[3] for x in rows])
             order = np.lexsort((t, h))
             hs, ts = h[order], t[order]
+            keys, often = np.unique(hs, return_counts=True)
+            hot = keys[often >= HOT]
             differ = (hs[1:] == hs[:-1]) & (ts[1:] != ts[:-1])
             again = np.unique(np.concatenate([hs[1:][differ], h[m]]))
             if not len(again):
@@ -129,10 +139,11 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             order = np.lexsort((h, p))
             h, p = h[order], p[order]
             cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), pa.array([x.tobytes() for x in np.split(h, cut[1:])], pa.binary())], ["part", "blob"])
+            sent = np.split(h, cut[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), pa.array([x.tobytes() for x in sent], pa.binary()), pa.array([x[np.isin(x, hot)].tobytes() for x in sent], pa.binary())], ["part", "blob", "hot"])
 
     sent = docs.select(part_of(parts).alias("part"), "tie", "text").mapInArrow(send, "r int, part int, h binary, t binary, m binary")
-    return sent.repartition(ranges, "r").mapInArrow(answer, "part int, blob binary")
+    return sent.repartition(ranges, "r").mapInArrow(answer, "part int, blob binary, hot binary")
 
 
 PIECE = "anchor long, id long, tie long, at long, lead int, more int, bytes binary, lo long, hi long"
@@ -146,6 +157,7 @@ def piece_rows(table: pa.Table, side: pa.Table) -> pa.Table:
     if not blobs or not table.num_rows:
         return pa.Table.from_pylist([], schema=pa.schema(empty))
     again = np.unique(np.concatenate(blobs))
+    hot = set(np.concatenate([np.frombuffer(b, np.uint64) for b in side.column("hot").to_pylist() if b is not None]).tolist())
     gone = {(i, t) for i, t, b in zip(side.column("id").to_pylist(), side.column("tie").to_pylist(), side.column("blob").to_pylist(), strict=True) if b is None}
     table = table.sort_by([("id", "ascending"), ("tie", "ascending")])
     ids, ties = table.column("id").to_numpy(), table.column("tie").to_numpy()
@@ -156,27 +168,43 @@ def piece_rows(table: pa.Table, side: pa.Table) -> pa.Table:
     if gone:
         alive &= np.array([(i, t) not in gone for i, t in zip(ids.tolist(), ties.tolist(), strict=True)], dtype=bool)
     seen: set[tuple[int, bytes]] = set()
-    cols: list[list] = [[] for _ in empty]
+    sent: list[tuple] = []
+    known: list[list[int]] = []
+
+    def add(key: int, doc: int, at: int, lo: int, hi: int) -> None:
+        """The strings that start from lo to hi, at their anchor."""
+        raw = text[lo : hi + LENGTH]
+        start = int(offsets[doc])
+        if (at - lo, raw) not in seen:
+            seen.add((at - lo, raw))
+            sent.append((key, int(ids[doc]), int(ties[doc]), at - start, at - lo, hi - lo, raw))
+        elif known and known[-1][0] == doc and known[-1][1] <= lo - start <= known[-1][2]:
+            known[-1][2] = max(known[-1][2], hi + LENGTH - start)
+        else:
+            known.append([doc, lo - start, hi + LENGTH - start])
+
     for i, j in text_slices(offsets, SLICE):
         base = offsets[i]
         h, d, at, first, last = anchors(data[base : offsets[j]], offsets[i : j + 1] - base)
         hit = np.flatnonzero(alive[i:j][d] & (again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h)) if len(h) else []
         if not len(hit):
             continue
-        h, d, at, first, last = h[hit], d[hit] + i, at[hit], first[hit], last[hit]
-        start = base + first
-        end = base + last + LENGTH
-        pos = (first + base) - offsets[d]
-        raw = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        lead = (at - first).astype(int).tolist()
-        for k, (b, off) in enumerate(zip(raw, lead, strict=True)):
-            if (off, b) in seen:
-                raw[k] = None
-            else:
-                seen.add((off, b))
-        for c, v in zip(cols, (h.view(np.int64).tolist(), ids[d].tolist(), ties[d].tolist(), ((at + base) - offsets[d]).tolist(), lead, (last - first).tolist(), raw, pos.tolist(), (pos + (end - start)).tolist()), strict=True):
-            c += v
-    return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, empty, strict=True)], names=[n for n, _ in empty])
+        for key, doc, a, lo, hi in zip(h[hit].tolist(), (d[hit] + i).tolist(), (at[hit] + base).tolist(), (first[hit] + base).tolist(), (last[hit] + base).tolist(), strict=True):
+            if key not in hot:
+                add(key, doc, a, lo, hi)
+                continue
+            for n, (near, far) in reversed(list(enumerate(RANGES))):
+                x, y = max(lo, a - far), min(hi, a - near)
+                if x <= y:
+                    add(xxhash.xxh3_64_intdigest(text[a - near : a - far + LENGTH], seed=n), doc, a, x, y)
+    cols = list(zip(*sent, strict=True)) if sent else [()] * 7
+    docs = [k[0] for k in known]
+    key = np.array(cols[0], dtype=np.uint64).view(np.int64)
+    left = [pa.array(key), *(pa.array(c, k) for c, (_, k) in zip(cols[1:], empty[1:7], strict=True)), pa.nulls(len(sent), pa.int64()), pa.nulls(len(sent), pa.int64())]
+    right = [pa.nulls(len(docs), k) for _, k in empty]
+    right[1], right[2] = pa.array(ids[docs], pa.int64()), pa.array(ties[docs], pa.int64())
+    right[7], right[8] = pa.array([k[1] for k in known], pa.int64()), pa.array([k[2] for k in known], pa.int64())
+    return pa.concat_tables([pa.Table.from_arrays(c, names=[n for n, _ in empty]) for c in (left, right)])
 
 
 def covered(lead: np.ndarray, more: np.ndarray, rank: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -325,7 +353,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = rows.where(n >= LENGTH).select("id", "tie", "text").withColumn("part", part_of(parts))
     blobs = repeated_anchors(texts, parts)
     nothing = F.lit(None)
-    side = blobs.select("part", nothing.cast("long").alias("id"), nothing.cast("long").alias("tie"), "blob").unionByName(gone.select(part_of(parts).alias("part"), "id", "tie", nothing.cast("binary").alias("blob")))
+    side = blobs.select("part", nothing.cast("long").alias("id"), nothing.cast("long").alias("tie"), "blob", "hot").unionByName(gone.select(part_of(parts).alias("part"), "id", "tie", nothing.cast("binary").alias("blob"), nothing.cast("binary").alias("hot")))
     pieces = keep(texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(piece_rows, PIECE))
     known = pieces.where("bytes is null").select("id", "tie", "lo", "hi")
     spans = repeated_spans(pieces).unionByName(known)
