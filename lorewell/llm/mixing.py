@@ -78,8 +78,7 @@ def schedule(spark, quotas: list[int], block: int = BLOCK_WORDS) -> DataFrame:
     total = sum(quotas)
     if not total:
         return spark.createDataFrame([], "slot long, s int, r long")
-    cum = np.cumsum(np.array(quotas, dtype=np.float64)) / float(total)
-    cum[-1] = 1.0
+    cum = np.cumsum(np.array(quotas, dtype=np.int64)) / float(total)
 
     @F.pandas_udf("int")
     def source_at(ids: pd.Series) -> pd.Series:
@@ -103,7 +102,7 @@ def place(sized: DataFrame, sources: pd.DataFrame) -> DataFrame:
     spark = sized.sparkSession
     table = spark.createDataFrame(sources.astype(object).where(sources.notna(), None).values.tolist() or [], "source string, s int, source_size long, target double, quota long, buckets long")
     both = sized.join(F.broadcast(table.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    both = both.withColumn("b", F.pmod("h", F.col("buckets")))
+    both = both.withColumn("b", F.conv(F.left("h", F.lit(8)), 16, 10).cast("long") % F.col("buckets"))
     return running_total(both, ["s"], "b", ["h", "doc_id", "size"], F.col("size"), "start").drop("b", "buckets")
 
 
@@ -123,8 +122,9 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK_WORDS, epochs
 
 
 def sized_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
-    """(doc_id, source, size, h); h shuffles and is the same in every run."""
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    """(doc_id, source, size, h); h shuffles, is the same in every run and can be had in any SQL."""
+    parts = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.concat_ws("|", *parts).cast("binary")).alias("h"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS) -> DataFrame:
@@ -144,12 +144,47 @@ def taken(mixed: DataFrame) -> DataFrame:
     return grouped.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).drop("_i", "_n", "start", "h")
 
 
+#: The words that a source's quota takes of a stream are its first ones, repeated EPOCHS times, whatever slots they land in.
+OP5_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5('5|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h
+  FROM documents),
+sums AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM sums),
+ordered AS (
+  SELECT *, sum(2 * source_size) OVER o AS full_sum, sum(w) OVER o AS full_w, row_number() OVER o AS k,
+         3 * sum(source_size) OVER () AS double_total, sum(w) OVER () AS all_w
+  FROM weighed WHERE source_size > 0 WINDOW o AS (ORDER BY 2.0 * source_size / w, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+-- with the k - 1 sources of least size by weight full, the others share num / den by weight
+levels AS (
+  SELECT *, double_total - 2 * (full_sum - 2 * source_size) AS num, 2 * (all_w - (full_w - w)) AS den FROM ordered),
+first_open AS (SELECT min(k) AS k FROM levels WHERE num * w <= 2 * source_size * den),
+level AS (SELECT num::HUGEINT AS num, den::HUGEINT AS den, k FROM levels WHERE k = (SELECT k FROM first_open)),
+aims AS (
+  SELECT l.source, l.source_size, l.docs,
+         CASE WHEN l.k < v.k THEN (2 * l.source_size)::DOUBLE ELSE (v.num * l.w)::DOUBLE / v.den::DOUBLE END AS target,
+         CASE WHEN l.k < v.k THEN (2 * l.source_size)::HUGEINT ELSE (v.num * l.w) // v.den END AS quota
+  FROM levels l, level v
+  UNION ALL SELECT source, source_size, docs, 0.0, 0 FROM weighed WHERE source_size = 0),
+placed AS (
+  SELECT s.*, a.source_size, a.target, a.quota,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || left(s.h, 8))::BIGINT % greatest(1, (a.docs + 4999) // 5000), s.h, s.doc_id, s.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, source,
+       (greatest(0, least(quota, start + size) - start) + greatest(0, least(quota, source_size + start + size) - (source_size + start)))::BIGINT AS taken
+FROM placed
+"""
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: words taken of each."""
     from lorewell.session import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return taken(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return taken(mix(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -159,9 +194,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     All columns stay as they are.
     """
     cols = docs.columns
-    plain = docs.select("*", F.xxhash64(F.lit(5), "doc_id", "text").alias("_h"))
     counted = taken(mix(docs)).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("taken"), F.col("size").alias("_size"))
     times = counted.groupBy("_id", "_src").agg((F.sum("taken") / F.sum("_size")).alias("_rate"))
-    joined = plain.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")))
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")))
     copies = F.sequence(F.lit(1), F.round("_rate").cast("int"))
     return joined.where(F.round("_rate") >= 1).withColumn("_i", F.explode(copies)).select(*cols)

@@ -7,10 +7,10 @@ from lorewell.llm.bagminhash import op7_bagminhash
 from lorewell.llm.decontamination import op4_decontamination
 from lorewell.llm.hamming import op9_hamming
 from lorewell.llm.langid import op10_langid
-from lorewell.llm.mixing import op5_mixing
+from lorewell.llm.mixing import OP5_SQL, op5_mixing
 from lorewell.llm.pseudonyms import op3_pseudonyms
 from lorewell.llm.quality import op8_quality
-from lorewell.llm.repeats import op2_repeats
+from lorewell.llm.repeats import OP2_SQL, op2_repeats
 from lorewell.llm.resharding import op6_sharding
 from lorewell.llm.secrets_scan import op1_secrets
 
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_repeats": OP2_SQL, "op5_mixing": OP5_SQL}

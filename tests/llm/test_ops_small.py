@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,29 @@ def test_repeats(spark, seed):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 12])
+def test_repeats_of_hot_anchors(hot):
+    """All anchors, or those of 12 texts, dealt by ranges: the same bytes as by the contract."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 30) + passage[int(rng.integers(0, 9)) : len(passage) - int(rng.integers(0, 9))] + prose(rng, 30)) for i in range(40)]
+    table = pa.table({"id": [r[0] for r in rows], "tie": [0] * len(rows), "text": [r[1] for r in rows]})
+    data, offsets = repeats.arrow_text(table.column("text"))
+    h = repeats.anchors(data, offsets)[0]
+    keys, n = np.unique(h, return_counts=True)
+    side = pa.table({"id": pa.array([None], pa.int64()), "tie": pa.array([None], pa.int64()), "blob": [keys[n > 1].tobytes()], "hot": [keys[n >= hot].tobytes()]})
+    pieces = repeats.piece_rows(table, side)
+    is_sent = pa.compute.is_valid(pieces.column("bytes"))
+    hit = {i: np.zeros(len(t.encode()), dtype=bool) for i, t in rows}
+    found = repeats.compare(pieces.filter(is_sent).sort_by("anchor").combine_chunks())
+    for part in (found, pieces.filter(pa.compute.invert(is_sent))):
+        for i, lo, hi in zip(*(part.column(c).to_pylist() for c in ("id", "lo", "hi")), strict=True):
+            hit[i][lo:hi] = True
+    assert {i: int(v.sum()) for i, v in hit.items()} == {i: v[1] for i, v in brute_repeats(rows).items()}
+
+
 def test_repeats_odd(spark):
     df, rows = odd_docs(spark)
     got = repeats.remove_repeats(df).collect()
