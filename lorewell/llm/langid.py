@@ -187,7 +187,7 @@ def op10_langid(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(rows, model).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The documents whose language is told with at least that confidence; all columns stay.
 
     Documents without a letter go. Without any labelled text, nothing can be told and only those go.
