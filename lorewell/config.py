@@ -18,7 +18,7 @@ class Settings:
     rag_top_k: int = 3
     rag_enabled: bool = True
     verbose: bool = True
-    app_title: str = "历史人物对话"
+    app_title: str = "lorewell"
     vector_db_path: str = "./data/vector_db"
     embedding_model: str = "embedding-3"
     embedding_dim: int = 256
