@@ -139,3 +139,33 @@ def test_query_blocks(vectors, monkeypatch):
     whole = sorted(knn.batch_topk(vectors, queries, 3).collect())
     monkeypatch.setattr(knn, "QUERIES", 7)
     assert sorted(knn.batch_topk(vectors, queries, 3).collect()) == whole
+
+
+def test_stream_state_clears_and_evicts():
+    import pandas as pd
+
+    from lorewell.streaming.memory import remember
+
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+    state, step = State(), remember(3)
+
+    def feed(*rows):
+        frame = pd.DataFrame(rows, columns=["turn", "role", "text"])
+        return [(t, r, x) for f in step((7,), iter([frame]), state) for t, r, x in zip(f["turn"], f["role"], f["text"], strict=True)]
+
+    assert feed((0, "user", "a"), (1, "assistant", "b")) == [(0, "user", "a"), (1, "assistant", "b")]
+    assert feed((3, "user", "d"), (2, "system", "c")) == [(1, "assistant", "b"), (2, "assistant", "c"), (3, "user", "d")]
+    assert feed((4, "clear", None)) == []
+    assert feed((5, "user", "e")) == [(5, "user", "e")]
+    # what comes late from before the clear stays cleared
+    assert feed((2, "user", "late")) == [(5, "user", "e")]
+    assert feed((6, "x", "f"), (7, "user", "g"), (8, "user", "h")) == [(6, "assistant", "f"), (7, "user", "g"), (8, "user", "h")]
