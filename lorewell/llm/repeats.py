@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,8 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
             if not cols:
                 continue
             h, t, p = (np.concatenate(c) for c in zip(*cols, strict=True))
-            to = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            # by the lower bits: anchors are least hashes, so their upper bits are small
+            to = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((t, h, p, to))
             h, t, p, to = h[order], t[order], p[order], to[order]
             if not len(h):
@@ -202,6 +204,7 @@ def piece_rows(table: pa.Table, side: pa.Table) -> pa.Table:
     key = np.array(cols[0], dtype=np.uint64).view(np.int64)
     left = [pa.array(key), *(pa.array(c, k) for c, (_, k) in zip(cols[1:], empty[1:7], strict=True)), pa.nulls(len(sent), pa.int64()), pa.nulls(len(sent), pa.int64())]
     right = [pa.nulls(len(docs), k) for _, k in empty]
+    right[0] = pa.array((ids[docs].view(np.uint64) * ODD).view(np.int64), pa.int64())
     right[1], right[2] = pa.array(ids[docs], pa.int64()), pa.array(ties[docs], pa.int64())
     right[7], right[8] = pa.array([k[1] for k in known], pa.int64()), pa.array([k[2] for k in known], pa.int64())
     return pa.concat_tables([pa.Table.from_arrays(c, names=[n for n, _ in empty]) for c in (left, right)])
@@ -269,14 +272,20 @@ def compare(pieces: pa.Table) -> pa.RecordBatch:
 
 
 def repeated_spans(pieces: DataFrame) -> DataFrame:
-    """(id, tie, lo, hi) of compared pieces. A task sorts its pieces by anchor and builds them in blocks of whole anchors."""
+    """(id, tie, lo, hi) of all pieces. A task sorts its pieces by anchor and builds them in blocks of whole anchors; what is
+    known already passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
+            new = batch.column("bytes").is_valid()
+            yield batch.filter(pc.invert(new)).select(["id", "tie", "lo", "hi"])
+            batch = batch.filter(new).select(["anchor", "id", "tie", "at", "lead", "more", "bytes"])
+            if not batch.num_rows:
+                continue
             anchor = batch.column("anchor").to_numpy()
-            if n + len(anchor) >= BLOCK and n + len(anchor):
+            if n + len(anchor) >= BLOCK:
                 # cut where the last anchor of what is held begins
                 cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
@@ -289,8 +298,7 @@ def repeated_spans(pieces: DataFrame) -> DataFrame:
         if n:
             yield compare(pa.Table.from_batches(held).combine_chunks())
 
-    sent = pieces.where("bytes is not null").select("anchor", "id", "tie", "at", "lead", "more", "bytes")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, tie long, lo long, hi long")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, tie long, lo long, hi long")
 
 
 RESULT = "id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
@@ -354,10 +362,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blobs = repeated_anchors(texts, parts)
     nothing = F.lit(None)
     side = blobs.select("part", nothing.cast("long").alias("id"), nothing.cast("long").alias("tie"), "blob", "hot").unionByName(gone.select(part_of(parts).alias("part"), "id", "tie", nothing.cast("binary").alias("blob"), nothing.cast("binary").alias("hot")))
-    pieces = keep(texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(piece_rows, PIECE))
-    known = pieces.where("bytes is null").select("id", "tie", "lo", "hi")
-    spans = repeated_spans(pieces).unionByName(known)
-    side2 = spans.unionByName(gone.select("id", "tie", nothing.cast("long").alias("lo"), nothing.cast("long").alias("hi"))).withColumn("part", part_of(parts))
+    # one plan up to the result: both passes over the texts of a part read the same shuffle
+    pieces = texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(piece_rows, PIECE)
+    side2 = repeated_spans(pieces).unionByName(gone.select("id", "tie", nothing.cast("long").alias("lo"), nothing.cast("long").alias("hi"))).withColumn("part", part_of(parts))
     done = texts.groupBy("part").cogroup(side2.groupBy("part")).applyInArrow(cut, RESULT)
     none = F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
