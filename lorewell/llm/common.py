@@ -39,6 +39,11 @@ def unstash(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bounds the texts that go to a Python worker at once; by default Spark sends 10,000 rows, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column | str], value: Column, into: str) -> DataFrame:
     """The exclusive running total of value within group, by bucket and then order.
 

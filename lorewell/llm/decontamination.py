@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import arrow_text, text_slices, word_hashes
+from lorewell.llm.common import arrow_text, text_batches, text_slices, word_hashes
 
 #: Hashed vocabulary, words of a passage of the decomposition, rank and oversampling of the randomised SVD.
 FEATURES, PASSAGE, RANK, OVER = 2048, 64, 48, 8
@@ -294,6 +294,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def latent_space(docs: DataFrame) -> Space:
     """The latent space of all documents' passages."""
+    text_batches(docs.sparkSession)
     return decompose(*sketch(docs))
 
 

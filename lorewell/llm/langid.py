@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,17 +9,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewell.llm.common import text_batches
+
 #: Bounds of the labelled sample: so many distinct texts of each language.
-PER_LANG = 1500
+PER_LANG = 600
 #: n-gram orders, tried in this order for a word that training did not see.
-ORDERS = (5, 4, 3, 2, 1)
+ORDERS = (4, 3, 2, 1)
 #: A document's confidence rests on at most so many words' worth of evidence.
 EVIDENCE_WORDS = 20.0
 UND = "und"
+LEAST_SEEN = 3
+#: Texts that are turned into Python strings together.
+SLICE = 500
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,10 +90,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of the languages in (lang, text), from a bounded sample of the rows.
 
-    Words and n-grams seen once are left out. Without any labelled text the model has no language.
+    Words and n-grams seen less than LEAST_SEEN times are left out. Without any labelled text the model has no language.
     """
+    text_batches(labelled.sparkSession)
     counts = count_tokens(sample(labelled, per_lang))
-    several = counts.withColumn("all", F.sum("n").over(W.partitionBy("kind", "token"))).where("all > 1").drop("all")
+    several = counts.withColumn("all", F.sum("n").over(W.partitionBy("kind", "token"))).where(F.col("all") >= LEAST_SEEN).drop("all")
     table = several.toPandas()
     langs = sorted(table["lang"].unique())
     if not langs:
@@ -114,16 +120,28 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
 class Scorer:
     """Scores texts with a model; rows of unseen words are kept in a bounded cache."""
 
-    MOST = 300_000
+    MOST = 100_000
 
-    def __init__(self, model: Model) -> None:
-        self.m = model
+    def __init__(self, model: Model, copy: bool = True) -> None:
+        self.m = Model(model.langs, dict(model.words) if copy else model.words, model.word_rows, model.grams, model.gram_rows)
+        # words that a task left behind when it was cut off
+        self.learned = [w for w, i in self.m.words.items() if i >= len(model.word_rows)] if len(self.m.words) > len(model.word_rows) else []
         self._reset()
 
     def _reset(self) -> None:
-        self.index = dict(self.m.words)
+        # the model is this worker's own; what was learned is taken out again
+        for word in self.learned:
+            del self.m.words[word]
+        self.learned: list[str] = []
+        self.index = self.m.words
+        self.known = len(self.index)
         self.rows = np.concatenate([self.m.word_rows, np.zeros((1024, len(self.m.langs)))])
-        self.n = len(self.m.words)
+        self.n = self.known
+
+    def close(self) -> None:
+        """Leaves the model as it was, for the next task of this worker, and gives memory back."""
+        self._reset()
+        pa.default_memory_pool().release_unused()
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean of the longest known n-grams' rows, whatever order has any; zeros if none is known."""
@@ -140,6 +158,7 @@ class Scorer:
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows[: max(1024, self.n // 2)])])
         self.rows[self.n] = self.backoff(word)
         self.index[word] = self.n
+        self.learned.append(word)
         self.n += 1
         return self.n - 1
 
@@ -147,7 +166,7 @@ class Scorer:
         words = words_of(text) if text else []
         if not self.m.langs or not any(c.isalpha() for w in words for c in w):
             return UND, 0.0
-        if self.n > len(self.m.words) + self.MOST:
+        if self.n > self.known + self.MOST:
             self._reset()
         total = np.zeros(len(self.m.langs))
         get = self.index.get
@@ -163,28 +182,37 @@ class Scorer:
         return self.m.langs[best], float(p[best] / p.sum())
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> Column:
-    """struct(lang, score) of a text column. Null texts and texts without a letter are und with score 0."""
+def _told(column: pa.Array, scorer: Scorer) -> Iterator[tuple[str, float]]:
+    """Predictions for an Arrow column, SLICE texts at a time so that few are Python strings at once."""
+    for i in range(0, len(column), SLICE):
+        yield from map(scorer, column.slice(i, SLICE).to_pylist())
+
+
+def predict(df: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """columns, lang and score of (columns, text). Null texts and texts without a letter are und with score 0."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.select(*columns, F.col("text").alias("_text"))
+    schema = rows.select(*columns).schema.add("lang", "string").add("score", "double")
 
-    @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for texts in batches:
-            found = [scorer(t) for t in texts]
-            yield pd.DataFrame({"lang": [x for x, _ in found], "score": [math.fsum([s]) for _, s in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, copy=False)
+        try:
+            for batch in batches:
+                told = list(_told(batch.column(len(columns)), scorer))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], schema.names)
+        finally:
+            scorer.close()
 
-    return run(F.col(text))
+    return rows.mapInArrow(run, schema)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
     from lorewell.session import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    rows = docs.select("doc_id", "text")
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(rows, model).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "lang")
+    model = fit(docs.where("not held_out").select("lang", "text"))
+    return predict(docs.drop("lang"), model, ["doc_id", "held_out"]).withColumnRenamed("lang", "lang_pred")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
@@ -195,5 +223,15 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     model = fit(docs.select("lang", "text"))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = predict(docs, model)
-    return docs.withColumn("_p", told).where((F.col("_p.lang") != UND) & (F.col("_p.score") >= least)).drop("_p")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, copy=False)
+        try:
+            for batch in batches:
+                yield batch.filter(pa.array([x != UND and s >= least for x, s in _told(batch.column(at), scorer)], pa.bool_()))
+        finally:
+            scorer.close()
+
+    return docs.mapInArrow(run, docs.schema)

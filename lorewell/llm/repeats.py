@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import MIX2, ODD, arrow_text, keep, mix, text_slices
+from lorewell.llm.common import MIX2, ODD, arrow_text, keep, mix, text_batches, text_slices
 
 #: Length of strings and of anchors; windows of so many anchor positions.
 LENGTH, K = 100, 32
@@ -344,6 +344,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     its own. Equal texts of LENGTH bytes or more go whole but for the one of the least doc_id. A null text is empty; rows of
     one doc_id with different texts are ordered by a hash of the text, and a null doc_id comes last.
     """
+    # an anchor is sent once a batch and part, so batches are to be large
+    text_batches(docs.sparkSession, 10_000)
     text = F.coalesce("text", F.lit(""))
     last = F.lit((1 << 63) - 1)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64(F.lit(2), text).alias("tie"), text.alias("text"))

@@ -445,7 +445,7 @@ def test_langid(spark):
     rows += [(300, None, "en"), (301, "", "de"), (302, "123 ²½ !!", "fr"), (303, text("de"), None), (304, text("en") * 300, "en"), rows[0]]
     docs = spark.createDataFrame([(*r, 0.1) for r in rows], "doc_id long, text string, lang string, score double")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
-    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", langid.predict(docs, model).alias("p")).collect()}
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
     assert all(got[i]["lang"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows[:300])
     assert [got[i]["lang"] for i in (300, 301, 302, 303, 304)] == ["und", "und", "und", "de", "en"]
     held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
