@@ -20,11 +20,9 @@ BANDS, ROWS = 24, 5
 SLICE = 2 << 20
 #: Members that are compared with one centre in one group.
 GROUP = 512
-#: Candidates are drawn anew until a round finds no link, at least and at most so many rounds.
-ROUNDS = (3, 8)
-#: Members of a bucket that are compared by signature in one block, partners that each proposes, and the agreement that
-#: they need: three standard errors below LEAST.
-MEMBERS, PARTNERS, LOOK = 1024, 3, 0.69
+#: Members of a bucket in one block, and the agreement of signatures from which a pair is compared exactly: three standard
+#: errors below LEAST.
+MEMBERS, LOOK = 1024, 0.69
 BITS = np.uint64(20)
 
 
@@ -197,63 +195,129 @@ def first_candidates(buckets: DataFrame) -> DataFrame:
     return best.where("c.id != id").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
 
 
-def alike(sig: np.ndarray, root: np.ndarray, most: int = PARTNERS, least: float = LOOK) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a block, up to `most` rows of other components whose signatures agree most, if as much as `least`.
+def alike(sig: np.ndarray, root: np.ndarray, bands: np.ndarray, bh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, estimate): all pairs x < y of a block's rows of different components whose signatures agree by LOOK or more,
+    and whose first common bucket is bh, so that a pair comes up once."""
+    columns = np.ascontiguousarray(sig.T)
+    xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for lo in range(0, len(sig), 128):
+        same = np.zeros((min(128, len(sig) - lo), len(sig) - lo), np.uint8)
+        for c in columns:
+            same += c[lo : lo + 128, None] == c[None, lo:]
+        estimate = (same / len(columns) - 1 / 256) / (1 - 1 / 256)
+        x, y = np.nonzero((estimate >= LOOK) & (root[lo : lo + 128, None] != root[None, lo:]))
+        x, y, e = x[y > x] + lo, y[y > x] + lo, estimate[x[y > x], y[y > x]]
+        for i in range(0, len(x), 50_000):
+            u, v = x[i : i + 50_000], y[i : i + 50_000]
+            first = (bands[u] == bands[v]).argmax(1)
+            own = bands[u, first] == bh
+            xs.append(u[own])
+            ys.append(v[own])
+            es.append(e[i : i + 50_000][own])
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+
+
+CELL = ["bh", "i", "j"]
+
+
+def by_cell(batches: Iterator[pa.RecordBatch], shrink=None) -> Iterator[dict[str, list]]:
+    """The rows of one cell after another, from batches sorted by cell; shrink adds columns to a batch when it is read."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy() for c in (*CELL, "id", "h1", "root")}
+        for c in ("sig", "bands"):
+            kind = np.uint8 if c == "sig" else np.int64
+            cols[c] = np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
+        if shrink:
+            cols |= shrink(batch)
+        cut = np.flatnonzero(np.any([cols[c][1:] != cols[c][:-1] for c in CELL], axis=0)) + 1
+        for k, m in zip(np.append(0, cut), np.append(cut, batch.num_rows), strict=True):
+            if held and any(held[c][-1][-1] != cols[c][k] for c in CELL):
+                yield held
+                held = {}
+            for c, v in cols.items():
+                held.setdefault(c, []).append(v[k:m])
+    if held:
+        yield held
+
+
+def cells(rooted: DataFrame) -> DataFrame:
+    """(bh, i, j, id, h1, root): the members of every bucket of several components, each bucket in one cell."""
+    split = rooted.groupBy("bh").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bh")
+    return rooted.join(split, "bh", "left_semi").select("bh", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "h1", "root").distinct()
+
+
+def close_rows(rows: DataFrame) -> DataFrame:
+    """(bh, i, j, id, h1) of the rows that have a pair to be compared in their cell."""
 
-    Rows of the block's largest component propose nothing: whoever is to be linked with them proposes it.
-    """
-    same = np.stack([(row == sig).sum(1) for row in sig]) / sig.shape[1]
-    estimate = (same - 1 / 256) / (1 - 1 / 256)
-    estimate[root[:, None] == root[None]] = 0
-    k = min(most, len(sig) - 1)
-    best = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
-    row = np.repeat(np.arange(len(sig)), k)
-    names, index, size = np.unique(root, return_inverse=True, return_counts=True)
-    hit = (estimate[row, best.ravel()] >= least) & ((index != np.argmax(size)) | (size.max() == 1))[row]
-    return row[hit], best.ravel()[hit]
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a later round from (bh, block, id, root, sig): each document with the PARTNERS most similar ones of other
-    components in its bucket, by signature. A task reads its buckets block by block and compares within a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_cell(batches):
+            c = {k: np.concatenate(v) for k, v in held.items()}
+            x, y, _ = alike(c["sig"], c["root"], c["bands"], c["bh"][0])
+            at = np.unique(np.concatenate([x, y]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in (*CELL, "id", "h1")], [*CELL, "id", "h1"])
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id", "h1").mapInArrow(run, "bh long, i int, j int, id long, h1 long")
+
+
+def links_of_cells(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links (a, b) of the rows with texts: every pair of a cell is compared exactly, the most similar by signature first, unless
+    links already found in the cell join its ends."""
+
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        data, offsets = arrow_text(batch.column("text"))
+        multisets, total = np.empty(batch.num_rows, object), np.zeros(batch.num_rows, np.int64)
+        for i, j in text_slices(offsets, SLICE):
+            doc, s, c = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at = np.searchsorted(doc, np.arange(j - i + 1))
+            for x in range(i, j):
+                k, m = at[x - i : x - i + 2]
+                multisets[x], total[x] = (s[k:m].copy(), c[k:m].astype(np.int32)), c[k:m].sum()
+        return {"multiset": multisets, "total": total}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def close() -> pa.RecordBatch:
-            bh, block, ids, root, sig = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut = np.flatnonzero(np.concatenate([[True], (bh[1:] != bh[:-1]) | (block[1:] != block[:-1])]))
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, j in zip(cut, np.append(cut[1:], len(bh)), strict=True):
-                if j - i > 1 and (root[i:j] != root[i]).any():
-                    x, y = alike(sig[i:j], root[i:j])
-                    a.append(ids[i:j][x])
-                    b.append(ids[i:j][y])
-            x, y = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        for held in by_cell(batches, read):
+            c = {k: np.concatenate(v) for k, v in held.items()}
+            x, y, e = alike(c["sig"], c["root"], c["bands"], c["bh"][0])
+            t = c["total"]
+            # sizes alone rule a pair out exactly
+            fit = np.minimum(t[x], t[y]) >= least * np.maximum(t[x], t[y])
+            x, y, e = x[fit], y[fit], e[fit]
+            order = np.argsort(-e, kind="stable")
+            parent = np.unique(c["root"], return_inverse=True)[1]
+            up, sets, found = list(range(parent.max() + 1)), c["multiset"], []
+
+            def top(k: int, up=up) -> int:
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            tree = parent.tolist()
+            for u, v in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                p, q = top(tree[u]), top(tree[v])
+                if p != q and overlap(sets[u], sets[v]) >= least:
+                    up[p] = q
+                    found.append((u, v))
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c["id"][at[:, 0]]), pa.array(c["id"][at[:, 1]])], ["a", "b"])
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id", "h1").mapInArrow(run, "a long, b long")
+
+
+def packed(known: DataFrame) -> DataFrame:
+    """(id, h1, sig, bands) of (id, h1, sig, _b), the bands as bytes of little-endian longs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cols = (*(batch.column(c).to_numpy() for c in ("bh", "block", "id", "root")), sig)
-            # the last block of a batch may go on in the next
-            bh, block = cols[0], cols[1]
-            open_ = int(np.flatnonzero((bh != bh[-1]) | (block != block[-1]))[-1]) + 1 if ((bh != bh[-1]) | (block != block[-1])).any() else 0
-            if open_:
-                held.append(tuple(c[:open_] for c in cols))
-                yield close()
-                held = []
-            elif held and (held[-1][0][-1], held[-1][1][-1]) != (bh[0], block[0]):
-                yield close()
-                held = []
-            held.append(tuple(c[open_:] for c in cols))
-        if held:
-            yield close()
-
-    dealt = rows.repartition("bh", "block").sortWithinPartitions("bh", "block", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            raw = batch.column("_b").flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(-1, BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h1"), batch.column("sig"), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "h1", "sig", "bands"])
+
+    return known.mapInArrow(run, "id long, h1 long, sig binary, bands binary")
 
 
 def tight(df: DataFrame, rows: int) -> DataFrame:
@@ -274,40 +338,37 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     groups = keep(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     member = keep(rows.select("doc_id", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").where("doc_id != rep").distinct())
     single = rows.join(member.select("doc_id"), "doc_id", "left_anti")
-    exploded = single.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bh"))
+    exploded = single.select(F.col("doc_id").alias("id"), "h1", F.explode("bands").alias("bh"))
     # only buckets of two members or more go on
     shared = exploded.groupBy("bh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bh")
     buckets = keep(exploded.join(shared, "bh", "left_semi"))
-    texts, path = stash(docs.select(F.col("doc_id").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi"))
-    known = single.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
-    roots, tested = None, None
-    for round_ in range(ROUNDS[1]):
-        if round_ == 0:
-            pairs = first_candidates(buckets)
-        else:
-            rooted = buckets.withColumn("root", F.col("id")) if roots is None else buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            split = rooted.groupBy("bh").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 != r1")
-            open_ = rooted.join(split.select("bh", "n"), "bh")
-            # a large bucket is cut anew in every round
-            rows = open_.join(known, "id").select("bh", F.pmod(F.xxhash64("id", F.lit(round_)), F.ceil(F.col("n") / MEMBERS)).alias("block"), "id", "root", "sig")
-            pairs = candidates(rows).join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        n = pairs.count()
-        if not n:
-            break
-        pairs = tight(pairs, n)
-        found = keep(verify(pairs, texts, least).select("a", "b"))
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = ordered if tested is None else tested.unionByName(ordered)
+    texts, path = stash(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), "text").join(buckets.select("id").distinct(), "id", "left_semi"))
+    known = single.select(F.col("doc_id").alias("id"), "h1", "sig", F.col("bands").alias("_b")).dropDuplicates(["id", "h1"])
+    roots = None
+
+    def joined(found: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """Components of links and of earlier components, which stand in for their links."""
         m = found.count()
-        if m:
-            # earlier components stand in for their links
-            found = tight(found, m)
-            edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = keep(components(edges))
-            roots = tight(roots, roots.count())
-        elif round_ + 1 >= ROUNDS[0]:
-            break
+        if not m:
+            return roots
+        found = tight(found, m)
+        edges = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        out = keep(components(edges))
+        return tight(out, out.count())
+
+    pairs = keep(first_candidates(buckets))
+    n = pairs.count()
+    if n:
+        # a mate for each joins most of them cheaply; then whatever is still apart is compared, all with all
+        roots = joined(keep(verify(tight(pairs, n), texts, least).select("a", "b")), roots)
+        rooted = buckets.withColumn("root", F.col("id")) if roots is None else buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        dealt = keep(cells(rooted))
+        close = keep(close_rows(dealt.join(packed(known), ["id", "h1"])))
+        if not close.isEmpty():
+            # few rows have anything to be compared with; only their texts travel
+            some = texts.join(close.select("id", "h1").distinct(), ["id", "h1"], "left_semi").dropDuplicates(["id", "h1"])
+            full = close.join(dealt, [*CELL, "id", "h1"]).join(packed(known), ["id", "h1"]).join(some, ["id", "h1"])
+            roots = joined(keep(links_of_cells(full, least)), roots)
     unstash(spark, path)
     named = member if roots is None else member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("rep"))
     if roots is not None:

@@ -335,6 +335,36 @@ def test_near_duplicates(spark):
     assert bagminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def edited_copies(rng, n, edits=6, words=404):
+    """Copies of one text with so many random one-word edits: most pairs lie just below LEAST, some above."""
+    text = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(text)
+        for k, at in enumerate(rng.choice(words, edits, replace=False)):
+            copy[at] = f"n{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def lost_links(rows, classes, least=0.8):
+    """Links of `least` or more, by comparing all pairs, whose ends are in different classes, and those that share a bucket."""
+    raw = [t.encode() for _, t in rows]
+    doc, s, c = bagminhash.shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    at = np.searchsorted(doc, np.arange(len(rows) + 1))
+    bags = [(s[i:j], c[i:j]) for i, j in zip(at, at[1:], strict=False)]
+    bands = bagminhash.bands(bagminhash.signatures(doc, s, c, len(rows)))
+    lost = [(i, j) for i in range(len(rows)) for j in range(i) if classes[rows[i][0]] != classes[rows[j][0]] and bagminhash.overlap(bags[i], bags[j]) >= least]
+    return lost, [p for p in lost if (bands[p[0]] == bands[p[1]]).any()]
+
+
+def test_near_duplicates_among_near_misses(spark):
+    rows = edited_copies(np.random.default_rng(1), 500)
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost, meet = lost_links(rows, {r["doc_id"]: r["class_id"] for r in got})
+    assert not meet and len(lost) <= 1
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
