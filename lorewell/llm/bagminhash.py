@@ -195,22 +195,25 @@ def first_candidates(buckets: DataFrame) -> DataFrame:
     return best.where("c.id != id").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
 
 
-def alike(sig: np.ndarray, root: np.ndarray, bands: np.ndarray, bh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, estimate): all pairs x < y of a block's rows of different components whose signatures agree by LOOK or more,
-    and whose first common bucket is bh, so that a pair comes up once."""
+def alike(sig: np.ndarray, root: np.ndarray, bands: np.ndarray, bh: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, estimate): all pairs x < y of a cell's rows of different components whose signatures agree by LOOK or more,
+    and whose first common bucket is bh, so that a pair comes up once. first: the first so many rows meet the others only."""
     columns = np.ascontiguousarray(sig.T)
     xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for lo in range(0, len(sig), 128):
-        same = np.zeros((min(128, len(sig) - lo), len(sig) - lo), np.uint8)
+    for lo in range(0, first or len(sig), 128):
+        hi, start = min(lo + 128, first or len(sig)), first or lo
+        same = np.zeros((hi - lo, len(sig) - start), np.uint8)
         for c in columns:
-            same += c[lo : lo + 128, None] == c[None, lo:]
+            same += c[lo:hi, None] == c[None, start:]
         estimate = (same / len(columns) - 1 / 256) / (1 - 1 / 256)
-        x, y = np.nonzero((estimate >= LOOK) & (root[lo : lo + 128, None] != root[None, lo:]))
-        x, y, e = x[y > x] + lo, y[y > x] + lo, estimate[x[y > x], y[y > x]]
+        x, y = np.nonzero((estimate >= LOOK) & (root[lo:hi, None] != root[None, start:]))
+        e = estimate[x, y]
+        x, y = x + lo, y + start
+        x, y, e = x[y > x], y[y > x], e[y > x]
         for i in range(0, len(x), 50_000):
             u, v = x[i : i + 50_000], y[i : i + 50_000]
-            first = (bands[u] == bands[v]).argmax(1)
-            own = bands[u, first] == bh
+            common = (bands[u] == bands[v]).argmax(1)
+            own = bands[u, common] == bh
             xs.append(u[own])
             ys.append(v[own])
             es.append(e[i : i + 50_000][own])
@@ -226,7 +229,7 @@ def by_cell(batches: Iterator[pa.RecordBatch], shrink=None) -> Iterator[dict[str
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = {c: batch.column(c).to_numpy() for c in (*CELL, "id", "h1", "root")}
+        cols = {c: batch.column(c).to_numpy() for c in (*CELL, "k", "id", "h1", "root")}
         for c in ("sig", "bands"):
             kind = np.uint8 if c == "sig" else np.int64
             cols[c] = np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
@@ -243,10 +246,27 @@ def by_cell(batches: Iterator[pa.RecordBatch], shrink=None) -> Iterator[dict[str
         yield held
 
 
-def cells(rooted: DataFrame) -> DataFrame:
-    """(bh, i, j, id, h1, root): the members of every bucket of several components, each bucket in one cell."""
-    split = rooted.groupBy("bh").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bh")
-    return rooted.join(split, "bh", "left_semi").select("bh", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "h1", "root").distinct()
+def first_side(c: dict[str, np.ndarray]) -> int:
+    """The rows of a cell's first block, where it has two."""
+    return int((c["k"] == c["i"]).sum()) if c["i"][0] != c["j"][0] else 0
+
+
+def cells(rooted: DataFrame, members: int) -> DataFrame:
+    """(bh, i, j, k, id, h1, root): the buckets of several components as cells of block i against block j; k is the row's own block.
+
+    A bucket of `members` or fewer is one cell. A larger one is cut into blocks, those of its largest component apart: every
+    block of the others meets every block, and only the largest component's own ones never meet each other.
+    """
+    sizes = rooted.groupBy("bh", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("bh").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("big")).where("roots > 1")
+    rows = rooted.join(most, "bh")
+    small, main = F.col("n") <= members, F.col("root") == F.col("big.root")
+    others = F.when(small, 1).otherwise(F.ceil((F.col("n") - F.col("big.n")) / members)).cast("int")
+    blocks = others + F.when(small, 0).otherwise(F.ceil(F.col("big.n") / members)).cast("int")
+    k = F.when(small, 0).when(main, others + F.pmod(F.xxhash64("id"), blocks - others)).otherwise(F.pmod(F.xxhash64("id"), others)).cast("int")
+    last = F.when(~small & main, others).otherwise(blocks) - 1
+    met = rows.select("bh", "id", "h1", "root", k.alias("k"), F.explode(F.sequence(F.lit(0), last)).alias("m"))
+    return met.select("bh", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j"), "k", "id", "h1", "root").distinct()
 
 
 def close_rows(rows: DataFrame) -> DataFrame:
@@ -255,12 +275,12 @@ def close_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_cell(batches):
             c = {k: np.concatenate(v) for k, v in held.items()}
-            x, y, _ = alike(c["sig"], c["root"], c["bands"], c["bh"][0])
+            x, y, _ = alike(c["sig"], c["root"], c["bands"], c["bh"][0], first_side(c))
             at = np.unique(np.concatenate([x, y]))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in (*CELL, "id", "h1")], [*CELL, "id", "h1"])
 
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id", "h1").mapInArrow(run, "bh long, i int, j int, id long, h1 long")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "k", "id", "h1").mapInArrow(run, "bh long, i int, j int, id long, h1 long")
 
 
 def links_of_cells(rows: DataFrame, least: float = LEAST) -> DataFrame:
@@ -281,7 +301,7 @@ def links_of_cells(rows: DataFrame, least: float = LEAST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_cell(batches, read):
             c = {k: np.concatenate(v) for k, v in held.items()}
-            x, y, e = alike(c["sig"], c["root"], c["bands"], c["bh"][0])
+            x, y, e = alike(c["sig"], c["root"], c["bands"], c["bh"][0], first_side(c))
             t = c["total"]
             # sizes alone rule a pair out exactly
             fit = np.minimum(t[x], t[y]) >= least * np.maximum(t[x], t[y])
@@ -306,7 +326,7 @@ def links_of_cells(rows: DataFrame, least: float = LEAST) -> DataFrame:
                 at = np.array(found)
                 yield pa.RecordBatch.from_arrays([pa.array(c["id"][at[:, 0]]), pa.array(c["id"][at[:, 1]])], ["a", "b"])
 
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "id", "h1").mapInArrow(run, "a long, b long")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "k", "id", "h1").mapInArrow(run, "a long, b long")
 
 
 def packed(known: DataFrame) -> DataFrame:
@@ -362,7 +382,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         # a mate for each joins most of them cheaply; then whatever is still apart is compared, all with all
         roots = joined(keep(verify(tight(pairs, n), texts, least).select("a", "b")), roots)
         rooted = buckets.withColumn("root", F.col("id")) if roots is None else buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        dealt = keep(cells(rooted))
+        dealt = keep(cells(rooted, MEMBERS))
         close = keep(close_rows(dealt.join(packed(known), ["id", "h1"])))
         if not close.isEmpty():
             # few rows have anything to be compared with; only their texts travel

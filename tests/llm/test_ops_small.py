@@ -365,6 +365,26 @@ def test_near_duplicates_among_near_misses(spark):
     assert not meet and len(lost) <= 1
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "MEMBERS", 24)
+    rows = edited_copies(np.random.default_rng(2), 400)
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost, meet = lost_links(rows, {r["doc_id"]: r["class_id"] for r in got})
+    assert not meet and len(lost) <= 1
+
+
+def test_cells_let_all_components_meet(spark):
+    rows = [(1, i, 0, 0 if i < 50 else i) for i in range(80)] + [(2, i, 0, 5) for i in range(30)] + [(3, i, 0, i % 2) for i in range(6)]
+    got = bagminhash.cells(spark.createDataFrame(rows, "bh long, id long, h1 long, root long"), 8).collect()
+    met, sides = set(), defaultdict(list)
+    for r in got:
+        sides[r["bh"], r["i"], r["j"]].append(r)
+    for (bh, i, j), cell in sides.items():
+        met |= {(bh, a["id"], b["id"]) for a in cell for b in cell if a["id"] < b["id"] and a["root"] != b["root"] and (i == j or a["k"] != b["k"])}
+    assert met == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3]}
+    assert max(map(len, sides.values())) < 50
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
