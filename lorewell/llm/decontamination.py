@@ -5,6 +5,7 @@ Words are runs of letters and digits, without regard to the case of ASCII and La
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,10 @@ BLOCK = 4
 WINDOWS = ((2, 1), (3, 1), (4, 1), (5, 1), (7, 2), (9, 2), (11, 2), (14, 3))
 #: Longer items are sought in equal parts of at most so many words, which fit a machine word.
 PART_WORDS = 58
-#: A window is a candidate from this cosine on.
+#: A window is a candidate from this cosine on, or by its words: see Rare.
 COSINE = 0.55
+#: Words of a part that retrieval by words leaves out, the most common ones; buckets of its first look.
+COMMON, LOOKUP = 0.25, 1 << 16
 #: Contaminated: this share of the item's words in order, or the lower share with that share of its answer.
 WHOLE, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
 #: Benchmark items of one search; more are searched in blocks.
@@ -136,6 +139,54 @@ class Items:
     vectors: np.ndarray
     groups: dict[tuple[int, int], np.ndarray]
     masks: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    rare: dict[tuple[int, int], list[Rare]]
+
+
+@dataclass
+class Rare:
+    """The words of some parts without their most common ones. A window with PARAPHRASE of a part's words in order has at least
+    `need` of these, so what has fewer is surely no candidate."""
+
+    keys: np.ndarray
+    seen: np.ndarray
+    first: np.ndarray
+    part: np.ndarray
+    times: np.ndarray
+    need: np.ndarray
+
+
+def rare_words(parts: list[np.ndarray], often: dict[int, int]) -> Rare:
+    """often: parts that have a word. The words of the most parts are left out, up to COMMON of a part's."""
+    rows, need = [], []
+    for i, p in enumerate(parts):
+        words, times = np.unique(p, return_counts=True)
+        left = int(COMMON * len(p))
+        need.append(int(np.ceil(PARAPHRASE * len(p))))
+        for k in np.argsort([-often[w] for w in words.tolist()], kind="stable"):
+            if often[int(words[k])] > 1 and times[k] <= left:
+                left -= int(times[k])
+                need[-1] -= int(times[k])
+            else:
+                rows.append((int(words[k]), i, int(times[k])))
+    rows.sort()
+    keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
+    seen = np.zeros(LOOKUP, bool)
+    seen[(keys % np.uint64(LOOKUP)).astype(np.int64)] = True
+    return Rare(keys, seen, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array(need))
+
+
+def enough_words(h: np.ndarray, low: np.ndarray, rare: Rare, cell: int) -> np.ndarray:
+    """(cell, part): whether the three cells of `cell` words from this one on may have the part's words. low: h by LOOKUP."""
+    n, parts = len(h) // cell + 3, len(rare.need)
+    at = np.flatnonzero(rare.seen[low])
+    key = np.minimum(np.searchsorted(rare.keys, h[at]), len(rare.keys) - 1)
+    is_key = rare.keys[key] == h[at]
+    both = np.unique(at[is_key] // cell * len(rare.keys) + key[is_key])
+    where, key = both // len(rare.keys), both % len(rare.keys)
+    size = rare.first[key + 1] - rare.first[key]
+    row = np.arange(size.sum()) + np.repeat(rare.first[key] - np.cumsum(size) + size, size)
+    count = np.bincount(np.repeat(where, size) * parts + rare.part[row], weights=rare.times[row], minlength=n * parts).reshape(n, parts)
+    return count[:-2] + count[1:-1] + count[2:] >= rare.need
 
 
 def answer_words(n: int) -> int:
@@ -166,7 +217,9 @@ def prepare(rows: list[tuple[int, str | None]], space: Space) -> Items:
     vectors = raw_vectors / np.maximum(norm, 1e-12)
     groups = {w: np.array([i for i, c in enumerate(classes) if c == w]) for w in set(classes)}
     masks = {w: [part_masks([parts[i] for i in group[g : g + PARTS]]) for g in range(0, len(group), PARTS)] for w, group in groups.items()}
-    return Items(ids, np.array(words), np.array(part_item), parts, np.array(answers, dtype=np.uint64), vectors, groups, masks)
+    often = Counter(w for p in parts for w in set(p.tolist()))
+    rare = {w: [rare_words([parts[i] for i in group[g : g + PARTS]], often) for g in range(0, len(group), PARTS)] for w, group in groups.items()}
+    return Items(ids, np.array(words), np.array(part_item), parts, np.array(answers, dtype=np.uint64), vectors, groups, masks, rare)
 
 
 def lcs(seen: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -196,7 +249,7 @@ def part_masks(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[tuple[int, int, int, int, float]]:
     """(document, part, words in common, answer words in common, cosine) for every candidate window that passes half of
-    the part's words; the same pair may come more than once."""
+    the part's words; the same pair may come more than once. Retrieval by words misses no such window."""
     out: list[tuple[int, int, int, int, float]] = []
     rows_of_g = np.concatenate([space.g - space.mean, np.zeros((1, space.g.shape[1]), np.float32)])
     pad = np.concatenate([h, np.zeros(OVERLAP, np.uint64)])
@@ -218,7 +271,15 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
         block_doc = d[block]
         doc_first = np.flatnonzero(np.concatenate([[True], block_doc[1:] != block_doc[:-1]]))
         doc_end = np.append(doc_first[1:], len(block))
+        # what the windows of this chunk see, with what is added on either side
+        base, top = max(0, lo - OVERLAP), min(len(h), hi + OVERLAP)
+        around = h[base:top]
+        looked = (around % np.uint64(LOOKUP)).astype(np.int64)
         for (blocks, stride), group in items.groups.items():
+            # a quarter of a window more on either side
+            more = blocks * BLOCK // 4 + 1
+            cell = -(-(blocks * BLOCK + 2 * more) // 2)
+            enough = [enough_words(around, looked, rare, cell) for rare in items.rare[blocks, stride]]
             inner = np.arange(0, max(0, len(block) - blocks + 1), stride)
             inner = inner[block_doc[inner] == block_doc[inner + blocks - 1]] if len(inner) else inner
             # and each document's first and last windows, which are all of a short document
@@ -229,14 +290,13 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                 x = cum[b]
                 x -= cum[a]
                 least = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.float32(COSINE)
-                for g, (keys, masks, low) in zip(range(0, len(group), PARTS), items.masks[blocks, stride], strict=True):
+                place_of = np.maximum(lo + block[a] - more, base) - base
+                for g, (keys, masks, low), by_words in zip(range(0, len(group), PARTS), items.masks[blocks, stride], enough, strict=True):
                     part = group[g : g + PARTS]
                     dots = x @ items.vectors[part].T
-                    w, p = np.nonzero(dots >= np.maximum(least, 1e-9)[:, None])
+                    w, p = np.nonzero((dots >= np.maximum(least, 1e-9)[:, None]) | by_words[place_of // cell])
                     for c in range(0, len(w), 20_000):
                         cw, cp = w[c : c + 20_000], p[c : c + 20_000]
-                        # a quarter of a window more on either side
-                        more = blocks * BLOCK // 4 + 1
                         at = np.clip((lo + block[a[cw]] - more)[:, None] + np.arange(blocks * BLOCK + 2 * more), 0, len(h))
                         words = pad[at]
                         key = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
@@ -245,7 +305,7 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                         common = np.bitwise_count(taken)
                         hit = np.flatnonzero(common >= PARAPHRASE * np.bitwise_count(low[cp]))
                         answer = np.bitwise_count(taken[hit] & items.part_answer[part[cp[hit]]])
-                        cos = dots[cw[hit], cp[hit]] / least[cw[hit]] * COSINE
+                        cos = dots[cw[hit], cp[hit]] / np.maximum(least[cw[hit]], 1e-9) * COSINE
                         out += zip(block_doc[a[cw[hit]]].tolist(), part[cp[hit]].tolist(), common[hit].tolist(), answer.tolist(), cos.tolist(), strict=True)
     return out
 
@@ -253,24 +313,33 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
 def decide(found: list[tuple[int, int, int, int, float]], items: Items) -> list[tuple[int, int, int, int, bool, float]]:
     """(document, item number, words in common, item words, answer found, cosine) of what counts as contaminated.
 
-    Each part counts with its best window. An item of one part is in the document if WHOLE of its words are, in order,
-    or PARAPHRASE of them with ANSWER of its answer; parts of longer items add up.
+    Each part counts with one window, whichever serves best: an item of one part is in the document if a window has WHOLE of its
+    words, in order, or PARAPHRASE of them with ANSWER of its answer; parts of longer items add up.
     """
-    best: dict[tuple[int, int], tuple[int, int, float]] = {}
+    windows: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
     for doc, part, common, answer, cos in found:
-        best[doc, part] = max(best.get((doc, part), (0, 0, 0.0)), (common, answer, cos))
-    sums: dict[tuple[int, int], list[float]] = {}
-    for (doc, part), (common, answer, cos) in best.items():
-        row = sums.setdefault((doc, int(items.part_item[part])), [0, 0, 0.0])
-        row[0] += common
-        row[1] += answer
-        row[2] = max(row[2], cos)
+        windows.setdefault((doc, part), set()).add((common, answer, cos))
+    choices: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    for (doc, part), seen in sorted(windows.items()):
+        row = choices.setdefault((doc, int(items.part_item[part])), [(0, 0, 0.0)])
+        row[:] = undominated([(c + common, a + answer, max(x, cos)) for c, a, x in row for common, answer, cos in undominated(seen)])
     out = []
-    for (doc, item), (common, answer, cos) in sorted(sums.items()):
+    for (doc, item), row in sorted(choices.items()):
         n = int(items.words[item])
-        has = answer >= ANSWER * answer_words(n)
-        if common >= WHOLE * n or (common >= PARAPHRASE * n and has):
-            out.append((doc, item, int(common), n, bool(has), float(cos)))
+        for common, answer, cos in row:
+            has = answer >= ANSWER * answer_words(n)
+            if common >= WHOLE * n or (common >= PARAPHRASE * n and has):
+                out.append((doc, item, int(common), n, bool(has), float(cos)))
+                break
+    return out
+
+
+def undominated(seen) -> list[tuple[int, int, float]]:
+    """Of (words in common, answer words, cosine) those that no other beats in both counts, the most words first."""
+    out: list[tuple[int, int, float]] = []
+    for row in sorted(seen, reverse=True):
+        if not out or row[1] > out[-1][1]:
+            out.append(row)
     return out
 
 
