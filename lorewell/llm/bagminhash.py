@@ -20,9 +20,9 @@ BANDS, ROWS = 24, 5
 SLICE = 2 << 20
 #: Members that are compared with one centre in one group.
 GROUP = 512
-#: Members of a bucket in one block, and the agreement of signatures from which a pair is compared exactly: three standard
-#: errors below LEAST.
-MEMBERS, LOOK = 1024, 0.69
+#: Members of a bucket in one block, and the agreement of signatures from which a pair is compared exactly: a pair of
+#: similarity LEAST is below it with probability 1.6e-5, less than the bands miss.
+MEMBERS, LOOK = 1024, 0.64
 BITS = np.uint64(20)
 
 

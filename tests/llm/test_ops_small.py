@@ -1,6 +1,7 @@
 """Edge cases and brute-force checks of the operators on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -416,6 +417,13 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert not meet and len(lost) <= 1
 
 
+def test_look_misses_less_than_the_bands():
+    n, least = bagminhash.BANDS * bagminhash.ROWS, bagminhash.LEAST
+    chance = least + (1 - least) / 256
+    below = sum(math.comb(n, k) * chance**k * (1 - chance) ** (n - k) for k in range(n + 1) if (k / n - 1 / 256) / (1 - 1 / 256) < bagminhash.LOOK)
+    assert below < (1 - least**bagminhash.ROWS) ** bagminhash.BANDS
+
+
 def test_cells_let_all_components_meet(spark):
     rows = [(1, i, 0, 0 if i < 50 else i) for i in range(80)] + [(2, i, 0, 5) for i in range(30)] + [(3, i, 0, i % 2) for i in range(6)]
     got = bagminhash.cells(spark.createDataFrame(rows, "bh long, id long, h1 long, root long"), 8).collect()
