@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.common import keep, running_total
@@ -121,10 +122,14 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK_WORDS, epochs
     return cut.withColumn("r", key).join(slots, ["s", "r"], "left")
 
 
+def shuffle_hash(seed: int = 5) -> Column:
+    parts = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
 def sized_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
     """(doc_id, source, size, h); h shuffles, is the same in every run and can be had in any SQL."""
-    parts = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))]
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.concat_ws("|", *parts).cast("binary")).alias("h"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), shuffle_hash(seed).alias("h"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS) -> DataFrame:
@@ -137,11 +142,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_
 
 def taken(mixed: DataFrame) -> DataFrame:
     """Words that the mix takes of each document, repeats counted."""
+    return taken_at(mixed).drop("start", "h")
+
+
+def taken_at(mixed: DataFrame) -> DataFrame:
+    """taken() with each document's place: start and h."""
     words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("finish") - F.col("begin"))), F.lit(0)).alias("taken")
     n = F.sum(F.when(F.col("epoch").isNull() | ((F.col("epoch") == 0) & (F.col("begin") == 0)), 1).otherwise(0))
     grouped = mixed.groupBy("doc_id", "source", "size", "source_size", "target", "start", "h").agg(words, n.alias("_n"))
     # rows that agree in everything and have no words share a place
-    return grouped.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).drop("_i", "_n", "start", "h")
+    return grouped.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).drop("_i", "_n")
 
 
 #: The words that a source's quota takes of a stream are its first ones, repeated EPOCHS times, whatever slots they land in.
@@ -190,12 +200,16 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them: whole copies.
 
-    A document is kept round(taken / size) times (0 to EPOCHS); those without words go, for the mix takes none of them.
-    All columns stay as they are.
+    A row is kept round(taken / size) times (0 to EPOCHS) by its own taken words; those without words go, for the mix takes none
+    of them. Rows alike in id, text and source are told apart by number. All columns stay as they are.
     """
     cols = docs.columns
-    counted = taken(mix(docs)).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("taken"), F.col("size").alias("_size"))
-    times = counted.groupBy("_id", "_src").agg((F.sum("taken") / F.sum("_size")).alias("_rate"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")))
-    copies = F.sequence(F.lit(1), F.round("_rate").cast("int"))
-    return joined.where(F.round("_rate") >= 1).withColumn("_i", F.explode(copies)).select(*cols)
+    times = keep(taken_at(mix(docs)).where("size > 0").select(F.col("h").alias("_h"), F.col("source").alias("_src"), F.col("start").alias("_at"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")))
+    rows = docs.withColumn("_own", shuffle_hash())
+    same = (F.col("_own") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_src"))
+    if not times.groupBy("_h", "_src").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_own", "source").orderBy("_own")))
+        times = times.withColumn("_k", F.row_number().over(W.partitionBy("_h", "_src").orderBy("_at")))
+        same = same & (F.col("_m") == F.col("_k"))
+    joined = rows.join(times.where("_times >= 1"), same)
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)

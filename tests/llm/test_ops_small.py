@@ -280,6 +280,19 @@ def test_mixing(spark):
     assert set(mixing.mixed_documents(df).columns) == set(df.columns)
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_mixing_takes_rows_without_id_one_by_one(spark, alike):
+    rng = np.random.default_rng(6)
+    rows = [(None, "the same ten words in every row of this source" if alike else prose(rng, 10), f"s{i % 3}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, start int")
+    words = {r[3]: len(r[1].split()) for r in rows}
+    target = {r["source"]: r["target"] for r in mixing.taken(mixing.mix(df.select("doc_id", "text", "source"))).collect()}
+    kept = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        kept[r["source"]] += words[r["start"]]
+    assert all(abs(kept[s] - t) <= 10 for s, t in target.items()), (kept, target)
+
+
 # --- 6 resharding ---
 
 
