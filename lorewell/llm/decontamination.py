@@ -182,10 +182,15 @@ def enough_words(h: np.ndarray, low: np.ndarray, rare: Rare, cell: int) -> np.nd
     key = np.minimum(np.searchsorted(rare.keys, h[at]), len(rare.keys) - 1)
     is_key = rare.keys[key] == h[at]
     both = np.unique(at[is_key] // cell * len(rare.keys) + key[is_key])
-    where, key = both // len(rare.keys), both % len(rare.keys)
-    size = rare.first[key + 1] - rare.first[key]
-    row = np.arange(size.sum()) + np.repeat(rare.first[key] - np.cumsum(size) + size, size)
-    count = np.bincount(np.repeat(where, size) * parts + rare.part[row], weights=rare.times[row], minlength=n * parts).reshape(n, parts)
+    count = np.zeros(n * parts)
+    # bounded slices, each within its own cells
+    for i in range(0, len(both), 16_384):
+        where, key = both[i : i + 16_384] // len(rare.keys), both[i : i + 16_384] % len(rare.keys)
+        size = rare.first[key + 1] - rare.first[key]
+        row = np.arange(size.sum()) + np.repeat(rare.first[key] - np.cumsum(size) + size, size)
+        some = np.bincount(np.repeat(where - where[0], size) * parts + rare.part[row], weights=rare.times[row])
+        count[where[0] * parts : where[0] * parts + len(some)] += some
+    count = count.reshape(n, parts)
     return count[:-2] + count[1:-1] + count[2:] >= rare.need
 
 
@@ -295,8 +300,8 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                     part = group[g : g + PARTS]
                     dots = x @ items.vectors[part].T
                     w, p = np.nonzero((dots >= np.maximum(least, 1e-9)[:, None]) | by_words[place_of // cell])
-                    for c in range(0, len(w), 20_000):
-                        cw, cp = w[c : c + 20_000], p[c : c + 20_000]
+                    for c in range(0, len(w), 4_000):
+                        cw, cp = w[c : c + 4_000], p[c : c + 4_000]
                         at = np.clip((lo + block[a[cw]] - more)[:, None] + np.arange(blocks * BLOCK + 2 * more), 0, len(h))
                         words = pad[at]
                         key = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
