@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder, named by spark.checkpoint.dir; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorewell-"))
     return sc.getCheckpointDir()
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder; it is computed once and survives lost executors."""
+    """Cuts lineage by a checkpoint in the shared folder; it is computed once and survives lost executors.
+
+    Spark deletes it with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set, as it should be.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -39,9 +44,23 @@ def unstash(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Bounds the texts that go to a Python worker at once; by default Spark sends 10,000 rows, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What goes to a Python worker at once, unless the session says otherwise; Spark's own bounds are 10,000 rows and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the texts that go to a Python worker at once. All operators set the same bounds, and none that the user set."""
+    for name, usual, bound in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column | str], value: Column, into: str) -> DataFrame:
@@ -77,13 +96,15 @@ def arrow_text(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(offsets: np.ndarray, most: int):
-    """Ranges of documents of about `most` bytes each, so that array work stays small; a longer document stands alone."""
+def text_slices(offsets: np.ndarray, most: int, rows: int = 1 << 30):
+    """Ranges of documents of about `most` bytes and at most `rows` each, so that array work stays small; a longer document
+    stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 #: Keeps the first 0 to 8 bytes of a little-endian word.

@@ -1,9 +1,14 @@
-"""Mixing sources to target weights by a low-discrepancy schedule (operator 5)."""
+"""Mixing sources to target weights by a low-discrepancy schedule (operator 5).
+
+Slots of equal words are dealt to the sources by golden-ratio points; a source's r-th slot takes the r-th block of its shuffled
+stream. So the schedule says which words stand where, and how many blocks a source has, to within the discrepancy of the
+points; closing slots settle what is left of each target. Null and empty texts have no words and are never taken, a null source is
+a source of its own, repeated rows are documents of their own, and empty tables give no row.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -22,7 +27,9 @@ BLOCK_WORDS = 1024
 MAX_SOURCES = 1_000_000
 #: Documents and slots that one running total sorts together.
 BUCKET_ROWS, BUCKET_SLOTS = 5_000, 65_536
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The points are multiples of STEP modulo CIRCLE: the golden ratio in whole numbers, so that they are exact however many there are.
+CIRCLE = 1 << 31
+STEP = round(CIRCLE * (math.sqrt(5) - 1) / 2)
 
 
 def size_of(text: Column) -> Column:
@@ -45,7 +52,8 @@ def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, epoch
         for i in full:
             out[i] = Fraction(epochs * sizes[i])
             total -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        done = set(full)
+        open_ = [i for i in open_ if i not in done]
     return out
 
 
@@ -69,33 +77,49 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> pd.DataFrame:
     )
 
 
+def bounds(quotas: list[int]) -> np.ndarray:
+    """Where each source's part of the circle ends; a source without a quota has none of it."""
+    total, at, out = sum(quotas), 0, []
+    for q in quotas:
+        at += q
+        out.append(at * CIRCLE // total)
+    return np.array(out, dtype=np.int64)
+
+
 def schedule(spark, quotas: list[int], block: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, s, r): slot i takes the source whose part of [0, 1) holds the point frac((i + 1) * golden ratio).
+    """(slot, s, r): one slot for every block of all quotas; slot i takes the source whose part of the circle holds the point
+    (i + 1) * STEP, and r ranks a source's slots from 0.
 
-    r ranks a source's slots from 0; ranks beyond a source's quota are left out, and slots are drawn until every
-    quota is reached, which a low-discrepancy sequence does soon after the ideal number.
+    A source that its points give fewer slots than its quota needs, as one smaller than a block may be, gets the rest as closing
+    slots after the last, by source; slots beyond a quota's need stay empty and are left out. Points are drawn once, so the
+    work is that of the slots, whatever the sizes are. No quota, no slot.
     """
-    need = np.array([-(-q // block) for q in quotas], dtype=np.int64)
     total = sum(quotas)
     if not total:
         return spark.createDataFrame([], "slot long, s int, r long")
-    cum = np.cumsum(np.array(quotas, dtype=np.int64)) / float(total)
+    ends = bounds(quotas)
 
     @F.pandas_udf("int")
-    def source_at(ids: pd.Series) -> pd.Series:
-        point = np.modf((ids.to_numpy().astype(np.float64) + 1.0) * GOLDEN)[0]
-        return pd.Series(np.searchsorted(cum, point, side="right").astype(np.int32))
-
-    n = int(need.sum()) + 2 * len(quotas) + 16
-    while True:
-        drawn = spark.range(n).select(F.col("id").alias("slot"), source_at("id").alias("s"), F.floor(F.col("id") / BUCKET_SLOTS).alias("b"))
-        got = {r["s"]: r["n"] for r in drawn.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(got.get(i, 0) >= k for i, k in enumerate(need)):
-            break
-        n += n // 4
+    def source_at(points: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, points.to_numpy(), side="right").astype(np.int32))
+
+    n = -(-total // block)
+    point = (F.col("id") + 1) % CIRCLE * STEP % CIRCLE
+    drawn = spark.range(n).select(F.col("id").alias("slot"), source_at(point).alias("s"), F.floor(F.col("id") / BUCKET_SLOTS).alias("b"))
+    got = {r["s"]: r["n"] for r in drawn.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    need = [-(-q // block) for q in quotas]
     ranked = running_total(drawn, ["s"], "b", ["slot"], F.lit(1), "r")
-    most = spark.createDataFrame([(i, int(k)) for i, k in enumerate(need)], "s int, need long")
-    return ranked.join(F.broadcast(most), "s").where("r < need").select("slot", "s", "r")
+    most = spark.createDataFrame(list(enumerate(need)), "s int, need long")
+    inner = ranked.join(F.broadcast(most), "s").where("r < need").select("slot", "s", "r")
+    closing, at = [], n
+    for s, k in enumerate(need):
+        if (lacks := k - got.get(s, 0)) > 0:
+            closing.append((s, k - lacks, k - 1, at))
+            at += lacks
+    if not closing:
+        return inner
+    runs = spark.createDataFrame(closing, "s int, lo long, hi long, at long").select("s", "lo", "at", F.explode(F.sequence("lo", "hi")).alias("r"))
+    return inner.unionByName(runs.select((F.col("at") + F.col("r") - F.col("lo")).alias("slot"), "s", "r"))
 
 
 def place(sized: DataFrame, sources: pd.DataFrame) -> DataFrame:
@@ -141,20 +165,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """Words that the mix takes of each document, repeats counted."""
-    return taken_at(mixed).drop("start", "h")
+    """Words that the mix takes of each document, repeats counted, the first of its slots and in how many pieces it is dealt."""
+    return taken_at(mixed).drop("start", "h", "at")
 
 
 def taken_at(mixed: DataFrame) -> DataFrame:
-    """taken() with each document's place: start and h."""
-    words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("finish") - F.col("begin"))), F.lit(0)).alias("taken")
+    """taken() with each document's place, start and h, and at: the first slot of every epoch, null where it has none."""
+    dealt = F.col("slot").isNotNull()
+    words = F.coalesce(F.sum(F.when(dealt, F.col("finish") - F.col("begin"))), F.lit(0)).alias("taken")
+    slots = [F.min("slot").alias("first_slot"), F.count(F.when(dealt, 1)).alias("n_slots"), F.array(*[F.min(F.when(F.col("epoch") == e, F.col("slot"))) for e in range(EPOCHS)]).alias("at")]
     n = F.sum(F.when(F.col("epoch").isNull() | ((F.col("epoch") == 0) & (F.col("begin") == 0)), 1).otherwise(0))
-    grouped = mixed.groupBy("doc_id", "source", "size", "source_size", "target", "start", "h").agg(words, n.alias("_n"))
+    grouped = mixed.groupBy("doc_id", "source", "size", "source_size", "target", "start", "h").agg(words, *slots, n.alias("_n"))
     # rows that agree in everything and have no words share a place
     return grouped.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).drop("_i", "_n")
 
 
-#: The words that a source's quota takes of a stream are its first ones, repeated EPOCHS times, whatever slots they land in.
+#: Targets, the slots with their ranks, and the stream's blocks joined to them.
 OP5_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -181,35 +207,66 @@ aims AS (
 placed AS (
   SELECT s.*, a.source_size, a.target, a.quota,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || left(s.h, 8))::BIGINT % greatest(1, (a.docs + 4999) // 5000), s.h, s.doc_id, s.size
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target, source,
-       (greatest(0, least(quota, start + size) - start) + greatest(0, least(quota, source_size + start + size) - (source_size + start)))::BIGINT AS taken
-FROM placed
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+circle AS (
+  SELECT source, quota, (quota + 1023) // 1024 AS need, row_number() OVER o AS s, (sum(quota) OVER ())::HUGEINT AS total,
+         (sum(quota) OVER (o ROWS UNBOUNDED PRECEDING))::HUGEINT * 2147483648 AS top
+  FROM aims WINDOW o AS (ORDER BY source IS NULL, encode(source))),
+parts AS (SELECT *, coalesce(lag(top) OVER (ORDER BY s), 0) // total AS lo, top // total AS hi FROM circle WHERE total > 0),
+points AS (
+  SELECT i AS slot, (i + 1) % 2147483648 * 1327217885 % 2147483648 AS p
+  FROM (SELECT unnest(range(0, ((total + 1023) // 1024)::BIGINT)) AS i FROM (SELECT any_value(total) AS total FROM parts))),
+drawn AS (SELECT slot, s, need, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS r FROM points JOIN parts ON p >= lo AND p < hi),
+lacking AS (
+  SELECT s, unnest(range(got, need::BIGINT)) AS r FROM (SELECT s, need, (SELECT count(*) FROM drawn d WHERE d.s = parts.s) AS got FROM parts)),
+slots AS (
+  SELECT slot, s, r FROM drawn WHERE r < need
+  UNION ALL SELECT (SELECT count(*) FROM points) + row_number() OVER (ORDER BY s, r) - 1, s, r FROM lacking),
+runs AS (
+  SELECT placed.*, p, least(quota, p + size)::BIGINT AS q FROM (SELECT *, start + e * source_size AS p FROM placed, (VALUES (0), (1)) x(e)) placed),
+blocks AS (SELECT doc_id, h, source, start, p, q, unnest(range(p::BIGINT // 1024, (q - 1) // 1024 + 1)) AS r FROM runs WHERE q > p),
+dealt AS (
+  SELECT b.doc_id, b.h, b.source, b.start, slot, least(q, (b.r + 1) * 1024) - greatest(p, b.r * 1024) AS n
+  FROM blocks b JOIN parts c ON b.source IS NOT DISTINCT FROM c.source JOIN slots USING (s, r)),
+words AS (SELECT doc_id, h, source, start, sum(n)::BIGINT AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM dealt GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, round(p.target, 6) AS target, p.source, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot,
+       coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM placed p LEFT JOIN words d ON p.h = d.h AND p.start = d.start AND p.source IS NOT DISTINCT FROM d.source
 """
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """The mix of all documents: words taken of each."""
+    """The mix of all documents: words taken of each, and its slots in the schedule."""
     from lorewell.session import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return taken(mix(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
+    return taken(mix(docs)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "first_slot", "n_slots")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them: whole copies.
+    """The documents as often as the mix takes them, whole copies in the order of their slots: partitions follow one another, and
+    so do the rows of each.
 
     A row is kept round(taken / size) times (0 to EPOCHS) by its own taken words; those without words go, for the mix takes none
-    of them. Rows alike in id, text and source are told apart by number. All columns stay as they are.
+    of them. Rows alike in id, text and source are told apart by number. All columns stay as they are, whatever their names.
     """
-    cols = docs.columns
-    times = keep(taken_at(mix(docs)).where("size > 0").select(F.col("h").alias("_h"), F.col("source").alias("_src"), F.col("start").alias("_at"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")))
-    rows = docs.withColumn("_own", shuffle_hash())
-    same = (F.col("_own") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_src"))
-    if not times.groupBy("_h", "_src").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_own", "source").orderBy("_own")))
-        times = times.withColumn("_k", F.row_number().over(W.partitionBy("_h", "_src").orderBy("_at")))
-        same = same & (F.col("_m") == F.col("_k"))
-    joined = rows.join(times.where("_times >= 1"), same)
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)
+    spark = docs.sparkSession
+    slot = F.transform(F.sequence(F.lit(1), F.lit(EPOCHS)), lambda e: F.coalesce(F.get("at", e - 1), "first_slot"))
+    times = taken_at(mix(docs)).where("size > 0").select("h", F.col("source").alias("src"), "start", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"), slot.alias("at"))
+    times = keep(times)
+    rows = docs.select(F.struct("*").alias("doc"), shuffle_hash().alias("own"), F.col("source").alias("own_src"))
+    same = (F.col("own") == F.col("h")) & F.col("own_src").eqNullSafe(F.col("src"))
+    if not times.groupBy("h", "src").count().where("count > 1").isEmpty():
+        # numbers by partition and by place, so that rows with countless likes are not ranked by one task
+        key = lambda h, src: F.concat_ws("|", h, F.coalesce(F.hex(src), F.lit("-")))
+        mine = keep(rows.withColumn("id", F.monotonically_increasing_id()).withColumns({"k": key("own", "own_src"), "b": F.shiftright("id", 33)}))
+        rows = running_total(mine, ["k"], "b", ["id"], F.lit(1), "nth").select("doc", "own", "own_src", F.col("nth").alias("m"))
+        theirs = times.withColumns({"k": key("h", "src"), "b": F.floor(F.col("start") / 1_000_000)})
+        times = running_total(theirs, ["k"], "b", ["start"], F.lit(1), "nth").drop("k", "b")
+        same = same & (F.col("m") == F.col("nth"))
+    joined = rows.join(times.where("times >= 1"), same).select("doc", "own", F.explode(F.slice("at", F.lit(1), F.col("times"))).alias("slot"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = times.agg(F.max(F.array_max("at"))).first()[0] or 0
+    ordered = joined.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(last + 1)).cast("int")).sortWithinPartitions("slot", "own")
+    return ordered.select("doc.*")

@@ -3,18 +3,19 @@
 Every string of LENGTH bytes holds one anchor: the leftmost of its K-byte substrings with the least hash. So equal strings
 have equal anchors at equal offsets, and the strings of one anchor lie side by side once their texts are aligned on
 it. The aligned texts ("pieces") are the documents of the column-wise construction: from the last column to the first,
-each round inserts one symbol per piece, read from a sequential file of columns, and updates the order of the pieces'
-suffixes (the collection's positional Burrows-Wheeler transform) and the common prefixes of neighbours. Neighbours that
-share LENGTH bytes or more at a column hold equal strings there.
+each round takes one symbol of every piece and updates the order of the pieces' suffixes and the common prefixes of
+neighbours. Neighbours that share LENGTH bytes or more at a column hold equal strings there.
+
+The order is positional: only suffixes that start at the same column are compared, for equal strings always do. A transform of the
+whole collection is not written, see the README for why.
 
 Anchors that only one text holds cannot repeat, and their pieces are never sent. Pieces that are equal within a part
-of the input are sent once.
+of the input are sent once, and those that are equal across parts are compared once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ from lorewell.llm.common import MIX2, ODD, arrow_text, keep, mix, text_batches,
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1
 COLUMNS = 2 * (SPAN - 1) + K
-#: Bytes of text of a part, of a slice of array work, and pieces of a block of the construction.
-PART_BYTES, SLICE, BLOCK = 16 << 20, 256 << 10, 60_000
+#: Bytes of text of a part, of a slice of array work, pieces of a block of the construction, and anchors that are sent together.
+PART_BYTES, SLICE, BLOCK, SENT = 16 << 20, 256 << 10, 60_000, 600_000
 #: An anchor of so many texts is hot: its strings are dealt by more of what they hold (see RANGES).
 HOT = 1_000
 #: Ranges of a string's bytes ahead of its anchor. They part where the bytes ahead or behind double, so the bytes that all
@@ -78,7 +79,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def part_of(parts: int):
-    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    """A text's part, by id and tie, so that rows without an id spread like all others."""
+    return F.pmod(F.xxhash64("id", "tie"), F.lit(parts)).cast("int")
 
 
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
@@ -88,40 +90,45 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """
     ranges = int(max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
+    def blobs(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, t, p = (np.concatenate(c) for c in zip(*cols, strict=True))
+        # by the lower bits: anchors are least hashes, so their upper bits are small
+        to = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((t, h, p, to))
+        h, t, p, to = h[order], t[order], p[order], to[order]
+        same = np.concatenate([[False], (h[1:] == h[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])])
+        # an anchor that a text holds twice goes with a mark
+        twice = np.concatenate([same[1:], [False]]) | same
+        first = np.flatnonzero(~same)
+        h, t, p, to, twice = h[first], t[first], p[first], to[first], twice[first]
+        cut = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (p[1:] != p[:-1])]))
+        ends = np.append(cut[1:], len(h))
+        rows = [(int(to[a]), int(p[a]), h[a:b].tobytes(), t[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in zip(cut, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["r", "part", "h", "t", "m"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             data, offsets = arrow_text(batch.column("text"))
             part = batch.column("part").to_numpy()
-            tie = batch.column("tie").to_numpy().view(np.uint64) >> np.uint64(32)
-            cols: list[tuple[np.ndarray, ...]] = []
+            tie = batch.column("tie").to_numpy().view(np.uint64)
             for i, j in text_slices(offsets, SLICE):
                 h, d, _, _, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cols.append((h, tie[i:j][d], part[i:j][d]))
-            if not cols:
-                continue
-            h, t, p = (np.concatenate(c) for c in zip(*cols, strict=True))
-            # by the lower bits: anchors are least hashes, so their upper bits are small
-            to = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((t, h, p, to))
-            h, t, p, to = h[order], t[order], p[order], to[order]
-            if not len(h):
-                continue
-            same = np.concatenate([[False], (h[1:] == h[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])])
-            # an anchor that a text holds twice goes with a mark no text has
-            twice = np.concatenate([same[1:], [False]]) | same
-            first = np.flatnonzero(~same)
-            h, t, p, to, twice = h[first], t[first], p[first], to[first], twice[first]
-            cut = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (p[1:] != p[:-1])]))
-            ends = np.append(cut[1:], len(h))
-            rows = [(int(to[a]), int(p[a]), h[a:b].tobytes(), t[a:b].astype(np.uint32).tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in zip(cut, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["r", "part", "h", "t", "m"])
+                held += len(h)
+                if held >= SENT:
+                    yield blobs(cols)
+                    cols, held = [], 0
+        if held:
+            yield blobs(cols)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for r, part, h, t, m in zip(*(batch.column(c).to_pylist() for c in ("r", "part", "h", "t", "m")), strict=True):
                 hs = np.frombuffer(h, np.uint64)
-                got.setdefault(r, []).append((part, hs, np.frombuffer(t, np.uint32), np.unpackbits(np.frombuffer(m, np.uint8), count=len(hs)).astype(bool)))
+                got.setdefault(r, []).append((part, hs, np.frombuffer(t, np.uint64), np.unpackbits(np.frombuffer(m, np.uint8), count=len(hs)).astype(bool)))
         for rows in got.values():
             h = np.concatenate([x[1] for x in rows])
             t = np.concatenate([x[2] for x in rows])
@@ -214,36 +221,33 @@ def covered(lead: np.ndarray, more: np.ndarray, rank: np.ndarray, matrix: np.nda
     """Which strings of the pieces also start earlier: a row for each piece, a column for each place of the anchor.
 
     matrix has the pieces' bytes aligned on the anchor, lead the bytes ahead of the anchor and more the strings that
-    follow the first; rank orders the pieces by document and place. The columns are written to a file and read
-    back one after another, the last first.
+    follow the first; rank orders the pieces by document and place. The columns are taken one after another, the last first.
     """
     k = len(lead)
     out = np.zeros((k, SPAN), dtype=bool)
     first = SPAN - 1 - lead
     order = np.arange(k)
     prefix = np.zeros(k + 1, dtype=np.uint8)
-    with tempfile.TemporaryFile() as file:
-        np.ascontiguousarray(matrix.T[::-1]).tofile(file)
-        file.seek(0)
-        for column in range(COLUMNS - 1, -1, -1):
-            symbol = np.fromfile(file, dtype=np.uint8, count=k)[order]
-            move = np.argsort(symbol, kind="stable")
-            order = order[move]
-            moved = symbol[move]
-            # the prefix that neighbours share: the least between them before, and one more, if their symbols agree
-            least = np.minimum.reduceat(prefix, move + 1)
-            prefix[1:k] = np.where(moved[1:] == moved[:-1], np.minimum(least[:-1], LENGTH - 1) + 1, 0)
-            prefix[0] = 0
-            if column < SPAN:
-                live = (first[order] <= column) & (column <= first[order] + more[order])
-                # pieces that share LENGTH bytes are one run
-                run = np.flatnonzero(prefix[:k] < LENGTH)
-                if len(run) == k:
-                    continue
-                place = np.where(live, rank[order], k)
-                earliest = np.minimum.reduceat(place, run)
-                length = np.diff(np.append(run, k))
-                out[order, column] = live & (place > np.repeat(earliest, length))
+    columns = np.ascontiguousarray(matrix.T)
+    for column in range(COLUMNS - 1, -1, -1):
+        symbol = columns[column][order]
+        move = np.argsort(symbol, kind="stable")
+        order = order[move]
+        moved = symbol[move]
+        # the prefix that neighbours share: the least between them before, and one more, if their symbols agree
+        least = np.minimum.reduceat(prefix, move + 1)
+        prefix[1:k] = np.where(moved[1:] == moved[:-1], np.minimum(least[:-1], LENGTH - 1) + 1, 0)
+        prefix[0] = 0
+        if column < SPAN:
+            live = (first[order] <= column) & (column <= first[order] + more[order])
+            # pieces that share LENGTH bytes are one run
+            run = np.flatnonzero(prefix[:k] < LENGTH)
+            if len(run) == k:
+                continue
+            place = np.where(live, rank[order], k)
+            earliest = np.minimum.reduceat(place, run)
+            length = np.diff(np.append(run, k))
+            out[order, column] = live & (place > np.repeat(earliest, length))
     return out
 
 
@@ -271,34 +275,63 @@ def compare(pieces: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ties[row]), pa.array(base + lo), pa.array(base + hi - 1 + LENGTH)], ["id", "tie", "lo", "hi"])
 
 
+SPANS = ["id", "tie", "lo", "hi"]
+
+
+def spans_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """compare() over a list of batches."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    return compare(table) if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, SPANS)
+
+
+def again_of(batch: pa.RecordBatch, before: tuple | None) -> np.ndarray:
+    """Which rows of a sorted batch have the anchor, lead and bytes of the row ahead of them; before: that of the batch ahead."""
+    anchor, lead, raw = batch.column("anchor").to_numpy(), batch.column("lead").to_numpy(), batch.column("bytes")
+    out = np.zeros(len(anchor), bool)
+    same = np.flatnonzero((anchor[1:] == anchor[:-1]) & (lead[1:] == lead[:-1])) + 1
+    out[same] = pc.equal(raw.take(pa.array(same)), raw.take(pa.array(same - 1))).to_numpy(zero_copy_only=False)
+    out[0] = before == (int(anchor[0]), int(lead[0]), raw[0].as_py())
+    return out
+
+
 def repeated_spans(pieces: DataFrame) -> DataFrame:
-    """(id, tie, lo, hi) of all pieces. A task sorts its pieces by anchor and builds them in blocks of whole anchors; what is
-    known already passes."""
+    """(id, tie, lo, hi) of all pieces. A task sorts its pieces by anchor and bytes and builds them in blocks of whole anchors;
+    what is known already passes, and of equal pieces only the earliest enters, so that an anchor that all parts share costs
+    no more memory than its different surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n, before = 0, None
         for batch in batches:
             new = batch.column("bytes").is_valid()
-            yield batch.filter(pc.invert(new)).select(["id", "tie", "lo", "hi"])
+            yield batch.filter(pc.invert(new)).select(SPANS)
             batch = batch.filter(new).select(["anchor", "id", "tie", "at", "lead", "more", "bytes"])
             if not batch.num_rows:
                 continue
+            again = again_of(batch, before)
+            before = tuple(batch.column(c)[-1].as_py() for c in ("anchor", "lead", "bytes"))
+            if again.any():
+                copies = batch.filter(pa.array(again))
+                lo = copies.column("at").to_numpy() - copies.column("lead").to_numpy()
+                yield pa.RecordBatch.from_arrays([copies.column("id"), copies.column("tie"), pa.array(lo), pa.array(lo + copies.column("more").to_numpy() + LENGTH)], SPANS)
+                batch = batch.filter(pa.array(~again))
+                if not batch.num_rows:
+                    continue
             anchor = batch.column("anchor").to_numpy()
             if n + len(anchor) >= BLOCK:
                 # cut where the last anchor of what is held begins
                 cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
                     held.append(batch.slice(0, cut))
-                    yield compare(pa.Table.from_batches([b for b in held if b.num_rows] or [batch.slice(0, 0)]).combine_chunks()) if any(b.num_rows for b in held) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["id", "tie", "lo", "hi"])
+                    yield spans_of(held)
                     held, n = [], 0
                     batch = batch.slice(cut)
             held.append(batch)
             n += batch.num_rows
         if n:
-            yield compare(pa.Table.from_batches(held).combine_chunks())
+            yield spans_of(held)
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, tie long, lo long, hi long")
+    return pieces.repartition("anchor").sortWithinPartitions("anchor", "lead", "bytes", "id", "tie", "at").mapInArrow(run, "id long, tie long, lo long, hi long")
 
 
 RESULT = "id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
@@ -344,19 +377,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     its own. Equal texts of LENGTH bytes or more go whole but for the one of the least doc_id. A null text is empty; rows of
     one doc_id with different texts are ordered by a hash of the text, and a null doc_id comes last.
     """
-    # an anchor is sent once a batch and part, so batches are to be large
-    text_batches(docs.sparkSession, 10_000)
+    text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64(F.lit(2), text).alias("tie"), text.alias("text"))
+    last, least = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
+    # tie orders rows of one id, and those without an id behind the greatest one
+    hashed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), F.xxhash64(F.lit(2), text).bitwiseAND(last).alias("tie1"), text.alias("text"))
+    rows = hashed.withColumn("tie", F.when(F.col("doc_id").isNull(), F.col("tie1")).otherwise(F.col("tie1").bitwiseOR(least)))
     n = F.octet_length("text").cast("long")
-    meta = keep(rows.select("doc_id", "id", "tie", F.xxhash64(F.lit(22), "text").alias("tie2"), n.alias("n_bytes"), F.when(n < LENGTH, F.sha2("text", 256)).alias("sha")))
+    meta = keep(rows.select("doc_id", "id", "tie", "tie1", F.xxhash64(F.lit(22), "text").alias("tie2"), n.alias("n_bytes"), F.when(n < LENGTH, F.sha2("text", 256)).alias("sha")))
     size = meta.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     long_rows = meta.where(F.col("n_bytes") >= LENGTH)
-    groups = keep(long_rows.groupBy("tie", "tie2", "n_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    groups = keep(long_rows.groupBy("tie1", "tie2", "n_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     # every row of these texts, salted for texts with countless copies by splitting the join
-    same = keep(long_rows.join(groups, ["tie", "tie2", "n_bytes"]))
+    same = keep(long_rows.join(groups, ["tie1", "tie2", "n_bytes"]))
     copies = same.where("id != first")
     once = same.where("id = first").groupBy("doc_id", "id", "tie", "n_bytes").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0").withColumn("_i", F.explode(F.expr("sequence(1L, n)"))).drop("n", "_i")
     gone = copies.select("id", "tie").distinct()
@@ -371,7 +405,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     empty = F.sha2(F.lit(""), 256)
-    out = done.select(F.when(F.col("id") != last, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    out = done.select(F.when((F.col("id") != last) | (F.col("tie") < 0), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
     for frame in (copies, once):
         out = out.unionByName(frame.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), whole.alias("spans")))
     short = meta.where(F.col("n_bytes") < LENGTH).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), none.alias("spans"))

@@ -126,6 +126,26 @@ def test_repeats_odd(spark):
     assert repeats.remove_repeats(nothing(spark)).count() == 0
 
 
+def test_repeats_without_ids(spark):
+    """Rows without an id come last, behind the greatest one there is, and keep their texts apart."""
+    rng = np.random.default_rng(3)
+    shared, top = prose(rng, 60), (1 << 63) - 1
+    rows = [(None, shared + prose(rng, 40)) for _ in range(30)] + [(top, shared), (7, "x" + shared)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    by = {r["doc_id"]: r["n_removed"] for r in got}
+    assert len(got) == 32 and sum(r["doc_id"] is None for r in got) == 30
+    assert by[7] == 0 and by[top] == len(shared) and all(r["n_removed"] >= len(shared) for r in got if r["doc_id"] is None)
+
+
+def test_equal_pieces_of_parts_enter_once(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART_BYTES", 2_000)
+    rng = np.random.default_rng(4)
+    line = "".join(rng.choice(list("abcdefgh "), 400))
+    rows = [(i, prose(rng, 5) + line + str(i) * 5) for i in range(60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows)
+
+
 # --- 3 pseudonyms ---
 
 
@@ -274,12 +294,40 @@ def test_mixing(spark):
     # every slot's words are a block, and no slot is dealt twice
     slots = mixed.where("slot is not null").groupBy("slot").agg(F.sum(F.col("finish") - F.col("begin")).alias("n"), F.countDistinct("s").alias("k")).collect()
     assert all(r["k"] == 1 and r["n"] <= 16 for r in slots) and sum(r["n"] == 16 for r in slots) >= len(slots) - 4
+    # each slot within the schedule holds the source of its golden-ratio point
+    ends = mixing.bounds([math.floor(target[s]) for s in sorted(target, key=lambda s: (s is None, s or ""))])
+    drawn = -(-sum(math.floor(t) for t in target.values()) // 16)
+    for r in mixed.where(F.col("slot") < drawn).select("slot", "s").distinct().collect():
+        assert r["s"] == np.searchsorted(ends, (r["slot"] + 1) * mixing.STEP % mixing.CIRCLE, side="right")
     again = mixing.taken(mixing.mix(df.repartition(5).select("doc_id", "text", "source"), block=16)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert mixing.taken(mixing.mix(nothing(spark))).count() == 0
     assert set(mixing.mixed_documents(df).columns) == set(df.columns)
 
 
+def test_schedule_ends_on_tiny_sources(spark):
+    got = mixing.schedule(spark, [2_000_000, 1, 0, 1500]).collect()
+    ranks = defaultdict(list)
+    for r in got:
+        ranks[r["s"]].append(r["r"])
+    assert {s: sorted(v) for s, v in ranks.items()} == {0: list(range(1954)), 1: [0], 3: [0, 1]}
+    assert len({r["slot"] for r in got}) == len(got) and max(r["slot"] for r in got) < 1960
+    # beyond the circle the points start again, and stay exact
+    assert [(10**13 + i + 1) % mixing.CIRCLE * mixing.STEP % mixing.CIRCLE for i in range(3)] == [((10**13 + i + 1) * mixing.STEP) % mixing.CIRCLE for i in range(3)]
+
+
+def test_mixed_documents_follow_the_slots(spark):
+    rows = [(i, prose(np.random.default_rng(i), 30), f"s{i % 3}", i, 1, 2, 3) for i in range(200)]
+    names = ["h", "slot", "doc", "own"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h int, slot int, doc int, own int")
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.taken(mixing.mix(df)).collect()}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and set(names) < set(out.columns)
+    seen = [first[r["doc_id"]] for r in out.collect()]
+    once = [k for i, k in enumerate(seen) if k not in seen[:i]]
+    assert once == sorted(once)
+
+
 @pytest.mark.parametrize("alike", [False, True])
 def test_mixing_takes_rows_without_id_one_by_one(spark, alike):
     rng = np.random.default_rng(6)
