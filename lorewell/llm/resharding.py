@@ -1,18 +1,28 @@
-"""Resharding by minimum-cost flow (operator 6)."""
+"""Resharding by minimum-cost flow (operator 6).
+
+A layout is a folder of Parquet files with a list of where each shard's files are. Resharding writes the files of the shards
+that gain or lose rows anew, then replaces the list in one step, then deletes what the list no longer names: a reader
+finds each row once at any time, and a run that is cut off leaves the old layout as it was.
+"""
 
 from __future__ import annotations
 
 import heapq
+import json
+import uuid
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import keep, running_total
+from lorewell.llm.common import keep, running_total, shared_dir, unstash
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
-#: Blocks of each old shard: what a transfer moves whole, but for the block at a cut.
+#: Bytes of a block, on average, and of a file: a shard is cut into as many as its size asks for.
+BLOCK_BYTES, FILE_BYTES = 16 << 20, 256 << 20
+#: The least number of blocks of an old shard.
 BLOCKS = 256
+LIST = "_shards.json"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> dict[tuple[int, int], int]:
@@ -91,59 +101,186 @@ def cuts(supply: list[int], flow: dict[tuple[int, int], int]) -> list[tuple[int,
     return out
 
 
-def sized_documents(docs: DataFrame, old: Column) -> DataFrame:
-    """(doc_id, size, text_crc32, old, h): size is UTF-8 bytes plus 8; a null text has none, and crc 0."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.cast("int").alias("old"), F.xxhash64(F.lit(6), "doc_id").alias("h"))
+def text_size(text: Column) -> Column:
+    """UTF-8 bytes plus 8; a null text has none."""
+    return (F.octet_length(F.coalesce(text, F.lit("")).cast("binary")) + 8).cast("long")
+
+
+def place_hash() -> Column:
+    """What orders the rows of a shard: id and text."""
+    return F.xxhash64(F.lit(6), "doc_id", "text")
 
 
 def old_shard(docs_source: str = "source") -> Column:
     """The layout to start from: one key-sharded by source."""
-    return F.crc32(F.coalesce(F.col(docs_source), F.lit("")).cast("binary")) % OLD_SHARDS
+    return (F.crc32(F.coalesce(F.col(docs_source), F.lit("")).cast("binary")) % OLD_SHARDS).cast("int")
 
 
 def reshard(sized: DataFrame, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS, cost=None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """Assigns every row of (doc_id, size, text_crc32, old, h) to a new shard; (rows with shard, transfers).
+    """(old, h, size, block, lo, hi, shard) and the transfers (old, shard, begin, end) of rows (size, old, h).
 
     Rows of an old shard are laid out block by block (blocks are ranges of h); a row goes where its first byte
-    falls among the old shard's cuts. So shard sizes are equal to within one row per cut.
+    falls among the old shard's cuts. So shard sizes are equal to within one row per cut. Rows alike in h stand together,
+    and share them: nth counts them from 0.
     """
     spark = sized.sparkSession
     sums = {r["old"]: r["n"] for r in sized.groupBy("old").agg(F.sum("size").alias("n")).collect()}
     supply = [sums.get(i, 0) for i in range(n_old)]
     moves = cuts(supply, min_cost_flow(supply, capacities(sum(supply), n_new), cost))
-    blocked = sized.withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(BLOCKS)))
-    laid = running_total(blocked, ["old"], "block", ["h", "doc_id", "text_crc32", "size"], F.col("size"), "at")
+    blocks = spark.createDataFrame([(i, max(BLOCKS, -(-n // BLOCK_BYTES))) for i, n in enumerate(supply)], "old int, blocks long")
+    blocked = sized.join(F.broadcast(blocks), "old").withColumn("block", F.pmod(F.shiftright("h", 16), F.col("blocks"))).drop("blocks")
+    laid = running_total(blocked, ["old"], "block", ["h"], F.col("size"), "at")
     table = F.broadcast(spark.createDataFrame(moves, "old int, shard int, lo long, hi long"))
     return laid.join(table, "old").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).drop("lo", "hi"), moves
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """slot: a gapless rank from 0 within each new shard, by old shard, block and hash."""
-    keyed = placed.withColumn("_b", F.col("old").cast("long") * BLOCKS + F.col("block"))
+    """slot: a gapless rank from 0 within each new shard, by old shard, block and place; rows have shard, old, block and at."""
+    keyed = placed.withColumn("_b", F.col("old").cast("long") * (1 << 40) + F.col("block"))
     return running_total(keyed, ["shard"], "_b", ["at"], F.lit(1), "slot").withColumn("slot", F.col("slot").cast("long")).drop("_b")
 
 
-def rewrite(rows: DataFrame, path: str, moves: list[tuple[int, int, int, int]]) -> list[int]:
-    """Writes the new shards that gain or lose rows, one directory per shard; returns their numbers.
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> dict[int, str]:
+    """Where each shard's files are, below path; nothing where there is no layout. Shards without rows are not listed."""
+    fs, at = _fs(spark, f"{path}/{LIST}")
+    if not fs.exists(at):
+        return {}
+    stream = fs.open(at)
+    try:
+        said = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {int(k): v for k, v in json.loads(said).items()}
+
+
+def _list(spark: SparkSession, path: str, shards: dict[int, str]) -> None:
+    """Replaces the list in one step."""
+    fs, new = _fs(spark, f"{path}/_new-{uuid.uuid4().hex}.json")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(shards).encode()))
+    out.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, hadoop.Path(f"{path}/{LIST}"), how)
+
+
+def read_shards(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """(doc, slot, shard): every row of a layout once; doc has the columns it was written with."""
+    shards = listed(spark, path)
+    if not shards:
+        raise ValueError(f"no shards at {path}")
+    gens = sorted({v.split("/")[0] for v in shards.values()})
+    out = None
+    for gen in gens:
+        own = [f"{path}/{v}" for v in shards.values() if v.startswith(gen + "/")]
+        part = spark.read.option("basePath", f"{path}/{gen}").parquet(*own)
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc", "slot", F.col("shard").cast("int").alias("shard"))
+
+
+def rewrite(rows: DataFrame, path: str, sizes: dict[int, int], touched: set[int]) -> None:
+    """Writes the touched shards of rows (doc, h, shard, slot) to the layout at path, each in several files if it is large.
+
+    sizes has the bytes of each new shard. Touched shards without a row are no longer listed; what the list
+    no longer names is deleted.
+    """
+    spark = rows.sparkSession
+    before = listed(spark, path)
+    gen = f"g{uuid.uuid4().hex}"
+    files = {j: max(1, -(-sizes.get(j, 0) // FILE_BYTES)) for j in touched}
+    count = spark.createDataFrame(list(files.items()), "shard int, files int") if files else None
+    written: set[int] = set()
+    if count is not None:
+        hit = rows.join(F.broadcast(count), "shard").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("files")))
+        hit.repartition(max(1, sum(files.values())), "shard", "salt").select("doc", "slot", "shard").write.partitionBy("shard").parquet(f"{path}/{gen}")
+        fs, at = _fs(spark, f"{path}/{gen}")
+        written = {int(f.getPath().getName()[6:]) for f in fs.listStatus(at) if f.getPath().getName().startswith("shard=")}
+    after = {j: d for j, d in before.items() if j not in touched} | {j: f"{gen}/shard={j}" for j in sorted(written)}
+    _list(spark, path, after)
+    for d in set(before.values()) - set(after.values()):
+        unstash(spark, f"{path}/{d}")
+
+
+def write_layout(docs: DataFrame, path: str, n_new: int = NEW_SHARDS) -> list[tuple[int, int, int, int]]:
+    """Lays documents that are in no files of their own out in n_new shards at path; their old shards are by source.
+
+    The transfers are those of least bytes from the old shards. All columns of docs are written. Returns the transfers.
+    """
+    return _relay(docs.select(F.struct("*").alias("doc"), old_shard().alias("old"), text_size(F.col("text")).alias("size"), place_hash().alias("h")), path, OLD_SHARDS, n_new, fresh=True)
+
 
-    rows has old and shard. Shards whose rows all stay are not touched.
+def reshard_files(spark: SparkSession, path: str, n_new: int, n_old: int | None = None) -> list[tuple[int, int, int, int]]:
+    """Reshards the layout at path to n_new shards of near equal bytes, by moving the fewest; returns the transfers.
+
+    Shards that neither gain nor lose rows keep their files. A layout can grow or shrink; shards beyond the new number are emptied.
     """
-    touched = sorted({x for i, j, lo, hi in moves if i != j and hi > lo for x in (i, j)})
-    hit = rows.where(F.col("shard").isin(touched))
-    hit.repartition(max(1, len(touched)), "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return touched
+    rows = read_shards(spark, path)
+    n_old = n_old or max(listed(spark, path)) + 1
+    keyed = rows.select("doc", F.col("shard").alias("old"), text_size(F.col("doc.text")).alias("size"), F.xxhash64(F.lit(6), "doc.doc_id", "doc.text").alias("h"))
+    return _relay(keyed, path, n_old, n_new, fresh=False)
+
+
+def _relay(rows: DataFrame, path: str, n_old: int, n_new: int, fresh: bool) -> list[tuple[int, int, int, int]]:
+    """Texts stay where they are until the place of every row is known from (old, h, size) alone; they travel once, to their file."""
+    sized = keep(rows.select("old", "h", "size"))
+    placed, moves = reshard(sized, n_old, n_new)
+    placed = keep(with_slots(placed))
+    spark = rows.sparkSession
+    flows = placed.groupBy("old", "shard").agg(F.sum("size").alias("n")).collect()
+    sizes: dict[int, int] = defaultdict(int)
+    for r in flows:
+        sizes[r["shard"]] += r["n"]
+    if fresh:
+        touched = set(range(n_new))
+    else:
+        # bytes that a cut leaves within one row move no row, and rewrite nothing
+        touched = {x for r in flows if r["old"] != r["shard"] for x in (r["old"], r["shard"])}
+        rows = rows.where(F.col("old").isin(sorted(touched)))
+    one = placed.groupBy("old", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = ["old", "h"]
+    if not one.isEmpty():
+        # repeated rows: the numbers of equal ones, by partition, so that none is ranked by one task
+        mine = keep(rows.withColumn("id", F.monotonically_increasing_id()).withColumn("b", F.shiftright("id", 33)))
+        rows = running_total(mine, same, "b", ["id"], F.lit(1), "nth").drop("id", "b")
+        theirs = placed.withColumn("b", F.floor(F.col("at") / BLOCK_BYTES))
+        placed = running_total(theirs, same, "b", ["at"], F.lit(1), "nth").drop("b")
+        same = ["old", "h", "nth"]
+    full = rows.drop("size").join(placed.where(F.col("shard").isin(sorted(touched))).select(*same, "shard", "slot"), same).select("doc", "h", "shard", "slot")
+    rewrite(full, path, sizes, touched)
+    return moves
 
 
-def shard_documents(docs: DataFrame, n_new: int = NEW_SHARDS) -> DataFrame:
-    """Every row's new shard and slot; an empty table gives no row, repeated rows get slots of their own."""
-    sized = keep(sized_documents(docs, old_shard()))
-    placed, _ = reshard(sized, OLD_SHARDS, n_new)
-    return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), "block")
+def shard_documents(docs: DataFrame, n_new: int = NEW_SHARDS, path: str | None = None) -> DataFrame:
+    """Writes the documents' shards and gives every row's shard and slot as its file has them.
+
+    path: where the files go and stay; without one they go to the shared folder and are deleted once the digest is
+    taken. An empty table gives no row, repeated rows get slots of their own, a null text counts as empty.
+    """
+    spark = docs.sparkSession
+    at = path or f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
+    write_layout(docs, at, n_new)
+    if listed(spark, at):
+        rows = read_shards(spark, at)
+        text = F.coalesce("doc.text", F.lit("")).cast("binary")
+        old = (F.crc32(F.coalesce("doc.source", F.lit("")).cast("binary")) % OLD_SHARDS).cast("int")
+        out = rows.select("doc.doc_id", text_size(F.col("doc.text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))
+    else:
+        out = spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, old_shard int")
+    if path is None:
+        out = keep(out)
+        unstash(spark, at)
+    return out
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of near equal bytes, moved from 16 by least bytes."""
+    """All documents in 24 shards of near equal bytes, moved from 16 by least bytes, read from the files they were written to."""
     from lorewell.session import table
 
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

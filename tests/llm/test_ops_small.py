@@ -379,10 +379,52 @@ def test_resharding(spark, tmp_path):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert resharding.shard_documents(nothing(spark)).count() == 0
-    sized = resharding.sized_documents(df, resharding.old_shard())
-    placed, moves = resharding.reshard(sized, n_new=5)
-    touched = resharding.rewrite(placed, str(tmp_path / "s"), moves)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == placed.where(F.col("shard").isin(touched)).count()
+
+
+def test_files_are_read_once_after_every_reshard(spark, tmp_path):
+    path = f"file://{tmp_path}/layout"
+    rows = [(i, f"text {i} " * (i % 7), "s3" if i < 200 else f"s{i % 9}", i * 2, "x") for i in range(300)] + [(5, "twice", "s1", 0, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, shard string")
+    resharding.write_layout(df, path, 6)
+    shards = {}
+    for n in (6, 9, 2, 4):
+        before = resharding.listed(spark, path)
+        resharding.reshard_files(spark, path, n)
+        after = resharding.listed(spark, path)
+        got = resharding.read_shards(spark, path)
+        # every row once, whatever its columns are called, and no file that is not listed
+        assert sorted(map(repr, [tuple(r) for r in got.select("doc.*").collect()])) == sorted(map(repr, rows))
+        assert {r["shard"] for r in got.select("shard").distinct().collect()} == set(after) and max(after) < n
+        slots = defaultdict(list)
+        for r in got.select("shard", "slot").collect():
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        files = {f"{p.parent.parent.name}/{p.parent.name}" for p in (tmp_path / "layout").rglob("*.parquet")}
+        assert files == set(after.values())
+        # only shards that gain or lose rows are written anew
+        held = defaultdict(set)
+        for r in got.select("shard", "doc.doc_id", "slot").collect():
+            held[r["shard"]].add((r["doc_id"], r["slot"]))
+        assert all(before[j] == after[j] for j in held if held[j] == shards.get(j)) and (n != 6 or before == after)
+        shards = held
+
+
+def test_rewrite_empties_shards(spark, tmp_path):
+    """Rows of one shard that all leave it are not left behind there."""
+    path = f"file://{tmp_path}/l"
+    rows = spark.range(40).select(F.struct(F.col("id").alias("doc_id")).alias("doc"), F.col("id").alias("h"), F.lit(3).alias("shard"), F.col("id").alias("slot"))
+    resharding.rewrite(rows, path, {3: 40}, {3})
+    resharding.rewrite(rows.withColumn("shard", (F.col("h") % 2).cast("int")), path, {0: 20, 1: 20}, {0, 1, 3})
+    got = resharding.read_shards(spark, path)
+    assert got.count() == 40 and set(resharding.listed(spark, path)) == {0, 1}
+
+
+def test_large_shards_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resharding, "FILE_BYTES", 1000)
+    path = f"file://{tmp_path}/l"
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), 100).alias("text"), F.lit("s").alias("source"))
+    resharding.write_layout(docs, path, 2)
+    assert len(list((tmp_path / "l").rglob("*.parquet"))) > 10 and resharding.read_shards(spark, path).count() == 200
 
 
 def test_resharding_balance(spark):
