@@ -1,6 +1,7 @@
 """Format-preserving Feistel pseudonyms for numbers and dates (operator 3).
 
-DataFrame and SQL functions only. The same value gets the same pseudonym under one key, wherever it stands.
+DataFrame and SQL functions only. The same value gets the same pseudonym under one key, wherever it stands. Every kind is a
+permutation of the valid values of its format, so a pseudonym is valid too, and the same key takes it back.
 """
 
 from __future__ import annotations
@@ -8,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "lorewell-pseudonyms"
+from lorewell.llm.common import free_name
+
+#: Where a session names the key of the query; without it a key that protects nothing is used, for made-up tables only.
+KEY_NAME, OPEN_KEY = "spark.lorewell.pseudonyms.key", "no secret"
 ROUNDS = 8
-#: A Gregorian cycle of 400 years has 189 * 773 days, so the days of a cycle permute among themselves.
-CYCLE, DAY_A, DAY_B = 146097, 189, 773
-DAY_ZERO = "1900-01-01"
+#: Days permute among themselves within a Gregorian cycle of 400 years, 189 * 773 days, counted from the year 1; the last cycle
+#: ends with the year 9999 and has 93 * 1567.
+CYCLE, DAY_A, DAY_B, LAST_CYCLE, LAST_A, LAST_B = 146097, 189, 773, 24, 93, 1567
+DAY_ZERO = "0001-01-01"
+#: Valid social security numbers: areas 1 to 899 but 666, then groups 1 to 99 by serials 1 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 # What is looked for. Longer forms come first.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}"
+PHONE = r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}"
 ISO_DATE, DOT_DATE, US_DATE = r"\d{4}-\d{2}-\d{2}", r"\d{2}\.\d{2}\.\d{4}", r"\d{2}/\d{2}/\d{4}"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
@@ -94,8 +101,24 @@ def card(value: Column, key: str, inverse: bool = False) -> Column:
     return refill(value, F.concat(head, check.cast("string")))
 
 
+def ssn(value: Column, key: str, inverse: bool = False) -> Column:
+    """Areas, and groups with serials, permute among the valid ones."""
+    area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    f = unfeistel if inverse else feistel
+    s = f(area - 1 - (area > 666).cast("long"), (group - 1) * SERIALS + serial - 1, F.lit(AREAS).cast("long"), F.lit(GROUPS * SERIALS).cast("long"), F.lit("ssn"), key)
+    new_area = s["a"] + 1 + (s["a"] >= 665).cast("long")
+    return F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / SERIALS) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % SERIALS + 1).cast("string"), 4, "0"))
+
+
+def phone(value: Column, key: str, inverse: bool = False) -> Column:
+    """The ten digits permute; what stands ahead of them, a country's code, stays."""
+    ahead = F.substring_index(value, "(", 1)
+    own = F.substring(value, F.char_length(ahead) + 1, F.char_length(value))
+    return F.concat(ahead, refill(own, permute_digits(only_digits(own), "phone", key, inverse)))
+
+
 def ip(value: Column, key: str, inverse: bool = False) -> Column:
-    """The 32 bits permute; leading zeros go."""
+    """The 32 bits permute."""
     o = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
     f = unfeistel if inverse else feistel
     s = f(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), F.lit("ip"), key)
@@ -103,13 +126,15 @@ def ip(value: Column, key: str, inverse: bool = False) -> Column:
 
 
 def day(date: Column, key: str, inverse: bool = False) -> Column:
-    """A day of the same cycle of 400 years; one permutation for all formats."""
+    """A day of the same cycle, of the years 1 to 9999; one permutation for all formats."""
     number = F.date_diff(date, F.lit(DAY_ZERO).cast("date")).cast("long")
     cycle = F.floor(number / CYCLE)
     rest = number - cycle * CYCLE
+    is_last = cycle == LAST_CYCLE
+    mod_a, mod_b = (F.when(is_last, F.lit(x)).otherwise(F.lit(y)).cast("long") for x, y in ((LAST_A, DAY_A), (LAST_B, DAY_B)))
     f = unfeistel if inverse else feistel
-    s = f(F.floor(rest / DAY_B), rest % DAY_B, F.lit(DAY_A).cast("long"), F.lit(DAY_B).cast("long"), F.lit("day"), key)
-    return F.date_add(F.lit(DAY_ZERO).cast("date"), (cycle * CYCLE + s["a"] * DAY_B + s["b"]).cast("int"))
+    s = f(F.floor(rest / mod_b), rest % mod_b, mod_a, mod_b, F.lit("day"), key)
+    return F.date_add(F.lit(DAY_ZERO).cast("date"), (cycle * CYCLE + s["a"] * mod_b + s["b"]).cast("int"))
 
 
 def email(value: Column, key: str, inverse: bool = False) -> Column:
@@ -161,7 +186,8 @@ def _date(value: Column, pattern: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a valid value, null for what only looks like one: cards pass the Luhn test, octets are below 256, dates exist."""
+    """The kind of a valid value, null for what only looks like one: cards pass the Luhn test, octets are below 256 and have no
+    leading zero, dates exist, social security numbers have an area, a group and a serial that are given out."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     octets = F.split(value, r"\.")
     return (
@@ -170,46 +196,50 @@ def kind_of(value: Column) -> Column:
         .when(whole(ISO_DATE), F.when(_date(value, "yyyy-MM-dd").isNotNull(), "iso_date"))
         .when(whole(DOT_DATE), F.when(_date(value, "dd.MM.yyyy").isNotNull(), "dot_date"))
         .when(whole(US_DATE), F.when(_date(value, "MM/dd/yyyy").isNotNull(), "us_date"))
-        .when(whole(IP), F.when(F.forall(octets, lambda x: x.cast("int") < 256), "ip"))
+        .when(whole(IP), F.when(F.forall(octets, lambda x: (x.cast("int") < 256) & ~x.rlike("^0.")), "ip"))
         .when(whole(SSN), F.when(~value.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(whole(CARD), F.when(luhn_sum(only_digits(value)) % 10 == 0, "card"))
     )
 
 
 def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> Column:
-    phone = F.concat(F.lit("+1 "), refill(F.substring(value, 4, 99), permute_digits(only_digits(F.substring(value, 4, 99)), "phone", key, inverse)))
     return (
         F.when(kind == "email", email(value, key, inverse))
-        .when(kind == "phone", phone)
+        .when(kind == "phone", phone(value, key, inverse))
         .when(kind == "iso_date", F.date_format(day(_date(value, "yyyy-MM-dd"), key, inverse), "yyyy-MM-dd"))
         .when(kind == "dot_date", F.date_format(day(_date(value, "dd.MM.yyyy"), key, inverse), "dd.MM.yyyy"))
         .when(kind == "us_date", F.date_format(day(_date(value, "MM/dd/yyyy"), key, inverse), "MM/dd/yyyy"))
         .when(kind == "ip", ip(value, key, inverse))
-        .when(kind == "ssn", refill(value, permute_digits(only_digits(value), "ssn", key, inverse)))
+        .when(kind == "ssn", ssn(value, key, inverse))
         .when(kind == "card", card(value, key, inverse))
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """All columns, text with every valid value replaced, and found: its (kind, value, pseudonym) in order of place.
 
-    What only looks like a value stays. A null text stays null with nothing found; inverse undoes the same key's work.
+    What only looks like a value stays. A null text stays null with nothing found, repeated rows are treated alike, an empty
+    table gives no row; inverse undoes the same key's work. Columns of any name stay; where docs has found, the new one is
+    named found_ (with as many underscores as it takes).
     """
+    into = free_name(docs.columns, "found")
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
     raw = F.when(has, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform("_raw", lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value")))
-    found = F.transform("_kinds", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.when(x["kind"].isNotNull(), pseudonym(x["value"], x["kind"], key, inverse)).otherwise(x["value"]).alias("pseudonym")))
+    names = [free_name([*docs.columns, into], n) for n in ("raw", "kinds", "all")]
+    one, two, three = names
+    kinds = F.transform(one, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value")))
+    found = F.transform(two, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.when(x["kind"].isNotNull(), pseudonym(x["value"], x["kind"], key, inverse)).otherwise(x["value"]).alias("pseudonym")))
     # the text between values, each followed by its replacement
     between = F.split("text", PATTERN, -1)
-    woven = F.array_join(F.zip_with(between, F.transform("_all", lambda x: x["pseudonym"]), lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), "")
-    out = docs.withColumn("_raw", raw).withColumn("_kinds", kinds).withColumn("_all", found)
-    return out.withColumn("text", F.when(F.size("_raw") > 0, woven).otherwise(F.col("text"))).withColumn("found", F.filter("_all", lambda x: x["kind"].isNotNull())).drop("_raw", "_kinds", "_all")
+    woven = F.array_join(F.zip_with(between, F.transform(three, lambda x: x["pseudonym"]), lambda s, p: F.concat(s, F.coalesce(p, F.lit("")))), "")
+    out = docs.withColumn(one, raw).withColumn(two, kinds).withColumn(three, found)
+    return out.withColumn("text", F.when(F.size(one) > 0, woven).otherwise(F.col("text"))).withColumn(into, F.filter(three, lambda x: x["kind"].isNotNull())).drop(*names)
 
 
 def op3_pseudonyms(spark, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of their valid numbers, dates and addresses."""
     from lorewell.session import table
 
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_NAME, OPEN_KEY))
     return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")

@@ -152,8 +152,11 @@ def test_equal_pieces_of_parts_enter_once(spark, monkeypatch):
 def test_pseudonyms(spark):
     text = "card 4111 1111 1111 1111, bad 4111111111111112, +1 (017) 555-7713 on 2024-02-29 or 31.12.1999 or 02/30/2020, ip 7.88.85.226 and 300.1.1.1, mail Bob.34@mail7.example.com!"
     rows = [(1, text, "q"), (2, "again 4111 1111 1111 1111", None), (3, None, None), (4, "", None), (5, "no value here 12", None), (6, "4111111111111111!! 2024-02-29", "x"), (6, "4111111111111111!! 2024-02-29", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, found string").withColumnRenamed("found", "other")
-    out = pseudonyms.pseudonymise(df)
+    names = ["doc_id", "text", "found", "raw", "kinds", "_all"]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, found string, raw int, kinds int, _all int")
+    out = pseudonyms.pseudonymise(df, "k")
+    assert out.columns == [*names, "found_"] and sorted(map(repr, [tuple(r) for r in out.drop("text", "found_").collect()])) == sorted(repr((r[0], r[2], 1, 2, 3)) for r in rows)
+    out = out.drop("found").withColumnRenamed("found_", "found")
     got = {r["doc_id"]: r for r in out.collect()}
     kinds = {f["value"]: f["pseudonym"] for f in got[1]["found"]}
     assert set(kinds) == {"4111 1111 1111 1111", "+1 (017) 555-7713", "2024-02-29", "31.12.1999", "7.88.85.226", "Bob.34@mail7.example.com"}
@@ -165,9 +168,33 @@ def test_pseudonyms(spark):
     assert sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
     assert re.sub(r"\D", "", got[6]["found"][0]["pseudonym"]) == digits and got[6]["found"][1]["pseudonym"] == kinds["2024-02-29"]
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1] and not got[5]["found"]
-    back = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out.select("doc_id", "text"), inverse=True).collect()}
+    back = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out.select("doc_id", "text"), "k", inverse=True).collect()}
     assert back == {r[0]: r[1] for r in rows}
-    assert pseudonyms.pseudonymise(nothing(spark)).count() == 0
+    assert pseudonyms.pseudonymise(nothing(spark), "k").count() == 0
+    other = pseudonyms.pseudonymise(df.select("doc_id", "text"), "another key").where("doc_id = 2").first()
+    assert other["found"][0]["pseudonym"] != kinds["4111 1111 1111 1111"]
+
+
+def test_every_valid_value_comes_back(spark):
+    """1,000 values of each kind and the ends of its range: valid pseudonyms, all different, each taken back."""
+    import datetime
+
+    rng = np.random.default_rng(5)
+    pick = lambda a, b, n=1000: [int(x) for x in rng.integers(a, b, n)]
+    areas = [x for x in range(1, 900) if x != 666]
+    ssns = {f"{areas[a]:03d}-{g:02d}-{s:04d}" for a, g, s in zip(pick(0, 898), pick(1, 100), pick(1, 10000), strict=True)} | {"001-01-0001", "899-99-9999", "665-01-0001", "667-01-0001"}
+    days = {datetime.date.fromordinal(x) for x in [*pick(1, 3652060), 1, 3652059, 3652059 - 145730, 3652059 - 145731]}
+    values = sorted(ssns) + [d.isoformat() for d in sorted(days)] + sorted({".".join(map(str, pick(0, 256, 4))) for _ in range(300)} | {"0.0.0.0", "255.255.255.255"})
+    values += [f"{c}({a:03d}) {b:03d}-{d:04d}" for c, a, b, d in zip(["+1 ", "", "+49 "] * 100, pick(0, 1000, 300), pick(0, 1000, 300), pick(0, 10000, 300), strict=True)]
+    df = spark.createDataFrame([(i, f"is {v} so") for i, v in enumerate(values)], "doc_id long, text string").repartition(8)
+    out = pseudonyms.pseudonymise(df, "k")
+    got = {r["doc_id"]: r["found"] for r in out.collect()}
+    assert all(len(got[i]) == 1 and got[i][0]["value"] == v for i, v in enumerate(values))
+    told = [got[i][0]["pseudonym"] for i in range(len(values))]
+    assert len(set(told)) >= len(values) - 2
+    again = pseudonyms.pseudonymise(out.select("doc_id", "text"), "k", inverse=True).collect()
+    assert {r["doc_id"]: r["text"] for r in again} == {i: f"is {v} so" for i, v in enumerate(values)}
+    assert all(r["found"][0]["kind"] == got[r["doc_id"]][0]["kind"] for r in again)
 
 
 def test_pseudonyms_permute(spark):
