@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import arrow_text, text_batches, text_slices, word_hashes
+from lorewell.llm.common import ODD, arrow_text, mix, text_batches, text_slices, word_hashes
 
 #: Hashed vocabulary, words of a passage of the decomposition, rank and oversampling of the randomised SVD.
 FEATURES, PASSAGE, RANK, OVER = 2048, 64, 48, 8
@@ -29,8 +29,8 @@ COSINE = 0.55
 COMMON, LOOKUP = 0.25, 1 << 16
 #: Contaminated: this share of the item's words in order, or the lower share with that share of its answer.
 WHOLE, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
-#: Benchmark items of one search; more are searched in blocks.
-ITEMS = 20_000
+#: Bytes of benchmark text of one search, about 10 bytes of broadcast each; more is searched in blocks, each a pass over the documents.
+ITEM_BYTES = 8 << 20
 SLICE, CHUNK_WORDS, OVERLAP = 4 << 20, 300_000, 128
 #: Parts that are matched together.
 PARTS = 128
@@ -129,13 +129,15 @@ def decompose(z: np.ndarray, df: np.ndarray, tf: np.ndarray, n: int) -> Space:
 
 @dataclass
 class Items:
-    """Benchmark items cut into parts. groups: window class to the numbers of its parts."""
+    """Benchmark items cut into parts. groups: window class to the numbers of its parts; part_first: a part's place in its item;
+    whole: the words of the items of several parts."""
 
     ids: list[int]
     words: np.ndarray
     part_item: np.ndarray
-    part_hashes: list[np.ndarray]
+    part_first: np.ndarray
     part_answer: np.ndarray
+    whole: dict[int, np.ndarray]
     vectors: np.ndarray
     groups: dict[tuple[int, int], np.ndarray]
     masks: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
@@ -201,7 +203,7 @@ def answer_words(n: int) -> int:
 
 def prepare(rows: list[tuple[int, str | None]], space: Space) -> Items:
     """Items without a word take no part."""
-    ids, words, part_item, parts, answers, classes = [], [], [], [], [], []
+    ids, words, part_item, parts, firsts, answers, classes, whole = [], [], [], [], [], [], [], {}
     for item, text in rows:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
         h, _, _, _ = word_hashes(raw, np.array([0, len(raw)]), bare=True)
@@ -209,9 +211,12 @@ def prepare(rows: list[tuple[int, str | None]], space: Space) -> Items:
             continue
         last = len(h) - answer_words(len(h))
         at = 0
+        if len(h) > PART_WORDS:
+            whole[len(ids)] = h
         for piece in np.array_split(h, -(-len(h) // PART_WORDS)):
             part_item.append(len(ids))
             parts.append(piece)
+            firsts.append(at)
             answers.append(sum(1 << i for i in range(len(piece)) if at + i >= last))
             classes.append(min(WINDOWS, key=lambda w: abs(np.log(w[0] * BLOCK / len(piece)))))
             at += len(piece)
@@ -224,7 +229,7 @@ def prepare(rows: list[tuple[int, str | None]], space: Space) -> Items:
     masks = {w: [part_masks([parts[i] for i in group[g : g + PARTS]]) for g in range(0, len(group), PARTS)] for w, group in groups.items()}
     often = Counter(w for p in parts for w in set(p.tolist()))
     rare = {w: [rare_words([parts[i] for i in group[g : g + PARTS]], often) for g in range(0, len(group), PARTS)] for w, group in groups.items()}
-    return Items(ids, np.array(words), np.array(part_item), parts, np.array(answers, dtype=np.uint64), vectors, groups, masks, rare)
+    return Items(ids, np.array(words), np.array(part_item), np.array(firsts), np.array(answers, dtype=np.uint64), whole, vectors, groups, masks, rare)
 
 
 def lcs(seen: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -239,23 +244,30 @@ def lcs(seen: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ~v & low
 
 
+def salts(n: int) -> np.ndarray:
+    """What tells the words of a group's parts apart."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * ODD)
+
+
 def part_masks(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, masks, low): the parts' words, for every part and word the bits of its places, and each part's bits.
+    """(keys, masks, low): a sorted key for every word of every part, the bits of the word's places there, and each part's bits.
 
-    The last column of masks, of words that are no key, is zero.
+    A key is the word's hash and the part's salt. The last mask, of what is no key, is zero.
     """
-    keys = np.unique(np.concatenate(parts))
-    masks = np.zeros((len(parts), len(keys) + 1), np.uint64)
-    for i, p in enumerate(parts):
-        np.bitwise_or.at(masks[i], np.searchsorted(keys, p), np.uint64(1) << np.arange(len(p)).astype(np.uint64))
+    own = [np.unique(p ^ salt, return_inverse=True) for p, salt in zip(parts, salts(len(parts)), strict=True)]
+    masks = [np.zeros(len(keys), np.uint64) for keys, _ in own]
+    for m, (_, at) in zip(masks, own, strict=True):
+        np.bitwise_or.at(m, at, np.uint64(1) << np.arange(len(at)).astype(np.uint64))
+    keys = np.concatenate([k for k, _ in own])
+    order = np.argsort(keys)
     low = np.array([(1 << len(p)) - 1 for p in parts], dtype=np.uint64)
-    return keys, masks, low
+    return keys[order], np.append(np.concatenate(masks)[order], np.uint64(0)), low
 
 
-def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[tuple[int, int, int, int, float]]:
-    """(document, part, words in common, answer words in common, cosine) for every candidate window that passes half of
-    the part's words; the same pair may come more than once. Retrieval by words misses no such window."""
-    out: list[tuple[int, int, int, int, float]] = []
+def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[tuple[int, int, int, int, float, int]]:
+    """(document, part, words in common, answer words in common, cosine, first word) for every candidate window that passes half
+    of the part's words; the same pair may come more than once. Retrieval by words misses no such window."""
+    out: list[tuple[int, int, int, int, float, int]] = []
     rows_of_g = np.concatenate([space.g - space.mean, np.zeros((1, space.g.shape[1]), np.float32)])
     pad = np.concatenate([h, np.zeros(OVERLAP, np.uint64)])
     padded_docs = np.concatenate([docs, np.full(OVERLAP, -1)])
@@ -297,37 +309,82 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                 least = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.float32(COSINE)
                 place_of = np.maximum(lo + block[a] - more, base) - base
                 for g, (keys, masks, low), by_words in zip(range(0, len(group), PARTS), items.masks[blocks, stride], enough, strict=True):
-                    part = group[g : g + PARTS]
+                    part, salt = group[g : g + PARTS], salts(len(low))
                     dots = x @ items.vectors[part].T
                     w, p = np.nonzero((dots >= np.maximum(least, 1e-9)[:, None]) | by_words[place_of // cell])
                     for c in range(0, len(w), 4_000):
                         cw, cp = w[c : c + 4_000], p[c : c + 4_000]
                         at = np.clip((lo + block[a[cw]] - more)[:, None] + np.arange(blocks * BLOCK + 2 * more), 0, len(h))
-                        words = pad[at]
+                        words = pad[at] ^ salt[cp][:, None]
                         key = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
                         key[(keys[key] != words) | (padded_docs[at] != block_doc[a[cw]][:, None])] = len(keys)
-                        taken = lcs(masks[cp[:, None], key], low[cp])
+                        taken = lcs(masks[key], low[cp])
                         common = np.bitwise_count(taken)
                         hit = np.flatnonzero(common >= PARAPHRASE * np.bitwise_count(low[cp]))
                         answer = np.bitwise_count(taken[hit] & items.part_answer[part[cp[hit]]])
                         cos = dots[cw[hit], cp[hit]] / np.maximum(least[cw[hit]], 1e-9) * COSINE
-                        out += zip(block_doc[a[cw[hit]]].tolist(), part[cp[hit]].tolist(), common[hit].tolist(), answer.tolist(), cos.tolist(), strict=True)
+                        first = np.clip(lo + block[a[cw[hit]]] - more, 0, len(h))
+                        out += zip(block_doc[a[cw[hit]]].tolist(), part[cp[hit]].tolist(), common[hit].tolist(), answer.tolist(), cos.tolist(), first.tolist(), strict=True)
+    return out
+
+
+def whole_item(words: list[int], item: np.ndarray) -> tuple[int, int]:
+    """(words in common, answer words in common) of a stretch of text and a whole item of any length, in order."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(item)) - 1
+    v = full
+    for w in words:
+        if m := places.get(w):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    taken = ~v & full
+    return taken.bit_count(), (taken >> (len(item) - answer_words(len(item)))).bit_count()
+
+
+def whole_items(found: list[tuple], h: np.ndarray, docs: np.ndarray, items: Items) -> dict[tuple[int, int], set[tuple[int, int, float]]]:
+    """For items of several parts: (words in common, answer words, cosine) of the stretches where a part was found.
+
+    A stretch reaches as far on either side of the found part as the item does, and a quarter more; so what is in
+    order there counts, also parts of which too little is left to be found by themselves. Where an item has half of its
+    words, one of its parts has half of its own, so no stretch is missed.
+    """
+    out: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
+    done = set()
+    for doc, part, _, _, cos, at in found:
+        item = int(items.part_item[part])
+        if item not in items.whole:
+            continue
+        words = items.whole[item]
+        ahead, behind = int(items.part_first[part]), len(words) - int(items.part_first[part])
+        lo, hi = at - ahead - ahead // 4 - 8, at + behind + behind // 4 + 40
+        first, last = np.searchsorted(docs, doc), np.searchsorted(docs, doc, side="right")
+        lo, hi = max(lo, int(first)) // 8 * 8, min(hi, int(last)) // 8 * 8 + 8
+        if (doc, item, lo, hi) in done:
+            continue
+        done.add((doc, item, lo, hi))
+        lo, hi = max(lo, int(first)), min(hi, int(last))
+        out.setdefault((doc, item), set()).add((*whole_item(h[lo:hi].tolist(), words), cos))
     return out
 
 
-def decide(found: list[tuple[int, int, int, int, float]], items: Items) -> list[tuple[int, int, int, int, bool, float]]:
+def decide(found: list[tuple], items: Items, stretches: dict | None = None) -> list[tuple[int, int, int, int, bool, float]]:
     """(document, item number, words in common, item words, answer found, cosine) of what counts as contaminated.
 
     Each part counts with one window, whichever serves best: an item of one part is in the document if a window has WHOLE of its
-    words, in order, or PARAPHRASE of them with ANSWER of its answer; parts of longer items add up.
+    words, in order, or PARAPHRASE of them with ANSWER of its answer; parts of longer items add up, or a stretch
+    has that share of them (see whole_items).
     """
     windows: dict[tuple[int, int], set[tuple[int, int, float]]] = {}
-    for doc, part, common, answer, cos in found:
+    for doc, part, common, answer, cos, *_ in found:
         windows.setdefault((doc, part), set()).add((common, answer, cos))
     choices: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
     for (doc, part), seen in sorted(windows.items()):
         row = choices.setdefault((doc, int(items.part_item[part])), [(0, 0, 0.0)])
         row[:] = undominated([(c + common, a + answer, max(x, cos)) for c, a, x in row for common, answer, cos in undominated(seen)])
+    for key, seen in (stretches or {}).items():
+        choices[key] = undominated([*choices[key], *seen])
     out = []
     for (doc, item), row in sorted(choices.items()):
         n = int(items.words[item])
@@ -353,14 +410,15 @@ def leaks_of_batch(column, space: Space, items: Items) -> list[tuple[int, int, i
     out = []
     for i, j in text_slices(offsets, SLICE):
         h, d, _, _ = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bare=True)
-        out += [(doc + i, *rest) for doc, *rest in decide(search(h, d, space, items), items)]
+        found = search(h, d, space, items)
+        out += [(doc + i, *rest) for doc, *rest in decide(found, items, whole_items(found, h, d, items))]
     return out
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items, ITEMS at a time at most in expectation, so that what tasks are sent stays bounded."""
-    n = benchmark.count()
-    blocks = max(1, -(-n // ITEMS))
+    """The items, ITEM_BYTES of text at a time in expectation, so that what tasks are sent stays bounded."""
+    size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-size // ITEM_BYTES))
     for b in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
@@ -376,7 +434,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, words_common, item_words, answer_found, cosine): documents that contain a benchmark item, exactly
     or in other words, and the item. One row per pair; documents without any have none.
 
-    Null and empty texts contain nothing; repeated rows give repeated pairs; an empty table gives no row.
+    Null and empty texts contain nothing; repeated rows give repeated pairs, and so do repeated benchmark items; items without a word
+    are in no document; an empty table on either side gives no row.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, words_common int, item_words int, answer_found boolean, cosine double"
@@ -398,7 +457,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item; all columns stay, in one pass without a shuffle."""
+    """The documents that contain no benchmark item; all columns stay, in one pass without a shuffle. Null and empty texts stay."""
     space = latent_space(docs)
     for rows in item_blocks(benchmark):
         items = prepare(rows, space)

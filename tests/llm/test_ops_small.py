@@ -287,13 +287,44 @@ def test_lcs():
     for _ in range(30):
         a, b = rng.integers(1, 9, 20).astype(np.uint64), rng.integers(1, 9, int(rng.integers(1, 64))).astype(np.uint64)
         keys, masks, low = decontamination.part_masks([b])
-        at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-        at[keys[at] != a] = len(keys)
+        salted = a ^ decontamination.salts(1)[0]
+        at = np.minimum(np.searchsorted(keys, salted), len(keys) - 1)
+        at[keys[at] != salted] = len(keys)
         table = np.zeros((len(a) + 1, len(b) + 1), int)
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        assert np.bitwise_count(decontamination.lcs(masks[0][at][None], low[:1]))[0] == table[-1, -1]
+        assert np.bitwise_count(decontamination.lcs(masks[at][None], low[:1]))[0] == table[-1, -1]
+        assert decontamination.whole_item(a.tolist(), b)[0] == table[-1, -1]
+
+
+def test_decontamination_finds_items_of_several_parts(spark):
+    """85 of 116 words in order, of which one part has too few to be found by itself; long documents, repeated items."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    text = lambda n: list(rng.choice(vocabulary, n))
+    long, other = text(116), text(300)
+    rest = [w if i < 27 else str(rng.choice(vocabulary)) for i, w in enumerate(long[58:])]
+    rows = [(i, " ".join(text(300))) for i in range(60)]
+    rows += [(100, " ".join(text(9000) + long[:58] + rest + text(9000))), (101, " ".join(text(20) + other[:160] + text(30) + other[230:] + text(5)))]
+    # half of the words, of which none are the answer, is not enough
+    rows += [(102, " ".join(text(40) + long[:58] + text(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (1, " ".join(long)), (2, " ".join(other)), (3, None)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect())
+    assert got == {(100, 1): 2, (101, 2): 1}
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()} == {r[0] for r in rows} - {100, 101}
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 400)
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(2000)]
+    items = [(i, " ".join(rng.choice(vocabulary, 25))) for i in range(12)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 100)) + " " + (items[i][1] if i < 12 else "")) for i in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i in range(12)}
+    assert decontamination.without_leaks(docs, bench).count() == 28
 
 
 # --- 5 mixing ---
