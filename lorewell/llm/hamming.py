@@ -1,174 +1,184 @@
-"""Nearest neighbours by multi-index hashing over learned rotated binary codes (operator 9)."""
+"""Nearest neighbours by multi-index hashing over learned rotated binary codes (operator 9).
+
+Each code is cut into substrings of SUB bits, and every substring has a table of its keys with the rows that hold each. A query
+takes all keys of a table that differ from its own in at most `reach` bits, by going through the table's keys: a shard has
+fewer of them than there are words so near. By the pigeonhole principle this retrieves every code within radius(), and all rows
+that are touched are reranked by their vectors, in double precision.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.common import keep
 
-#: Vectors that rotations and the radius are learned from.
+#: Vectors that rotations and reach are learned from.
 SAMPLE_ROWS = 4_000
-#: Code bits, cut into substrings of 16.
-BITS, SUB = 512, 16
-#: Rows of a shard of the index, and queries of a block.
-SHARD_ROWS, QUERY_ROWS = 8_192, 2_048
+#: Bits of a substring, and the numbers of substrings that learning chooses from.
+SUB, SUBS = 32, (16, 32, 48, 64, 96, 128)
+#: The share of the sample's own nearest neighbours that probes are to touch.
+FOUND = 0.95
+#: Rows of an index, and bytes of the queries that tasks are sent together.
+SHARD_ROWS, QUERY_BYTES = 8_192, 32 << 20
 K = 10
 
 
 @dataclass
 class Coder:
-    """Sign codes after a learned centre and learned rotations; radius: the Hamming radius that is probed first."""
+    """Sign codes after a learned centre and learned rotations, and the reach of probes in each substring."""
 
     mean: np.ndarray
     planes: np.ndarray
-    radius: int
+    reach: int
+
+    @property
+    def subs(self) -> int:
+        return self.planes.shape[1] // SUB
+
+    def radius(self) -> int:
+        """The Hamming radius within which every code is retrieved: one more bit could be spread over all substrings."""
+        return self.subs * (self.reach + 1) - 1
 
-    def bits(self, x: np.ndarray) -> np.ndarray:
-        on = (x.astype(np.float32) - self.mean) @ self.planes > 0
-        return np.packbits(on, axis=1).view(np.uint16)
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """One row of substring keys for every vector."""
+        out = []
+        for i in range(0, len(x), 4096):
+            out.append(np.packbits((x[i : i + 4096] - self.mean) @ self.planes > 0, axis=1).view(np.uint32))
+        return np.concatenate(out) if out else np.zeros((0, self.subs), np.uint32)
 
 
-def learn(sample: np.ndarray, bits: int = BITS, k: int = K, seed: int = 9, quantile: float = 0.98) -> Coder:
-    """Iterative quantisation on PCA axes, restarted for each group of bits; the radius holds `quantile` of the
-    sample's own nearest-neighbour pairs, which lie farther apart than those of the whole table."""
+def learn(sample: np.ndarray, k: int = K, rows: int = 0, seed: int = 9) -> Coder:
+    """Iterative quantisation on PCA axes, restarted for each group of bits. Of all reaches and numbers of substrings whose
+    probes touch FOUND of the sample's nearest neighbours, the one that touches the least of the sample.
+
+    rows: of how many the sample is taken. The k nearest of all lie about as far as that share of k in the sample, one at least.
+    """
+    k = max(1, round(k * min(1.0, len(sample) / max(rows, 1))))
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     mean = sample.mean(0)
-    x = (sample - mean).astype(np.float64)
+    x = sample - mean
     _, _, axes = np.linalg.svd(x, full_matrices=False)
     basis = axes.T if len(axes) == dim else np.eye(dim)
     planes = []
-    while sum(p.shape[1] for p in planes) < bits:
+    while sum(p.shape[1] for p in planes) < SUB * SUBS[-1]:
         r = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         v = x @ basis
         for _ in range(8):
             u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
             r = (u @ w).T
         planes.append(basis @ r)
-    coder = Coder(mean.astype(np.float32), np.concatenate(planes, 1)[:, :bits].astype(np.float32), bits)
-    some = rng.permutation(len(sample))[:400]
-    near = np.argsort(((x[some, None, :] - x[None]) ** 2).sum(2) if len(x) < 600 else (x**2).sum(1)[None] - 2 * x[some] @ x.T, axis=1)[:, 1 : k + 1]
-    codes = coder.bits(sample).view(np.uint64)
-    if near.size:
-        apart = np.bitwise_count(codes[some][:, None] ^ codes[near]).sum(2)
-        coder.radius = int(np.quantile(apart, quantile))
-    return coder
+    full = Coder(mean, np.concatenate(planes, 1)[:, : SUB * SUBS[-1]], SUB)
+    some = rng.permutation(len(sample))[:200]
+    keys = full.keys(sample)
+    near = np.argsort((x**2).sum(1)[None] - 2 * x[some] @ x.T, axis=1)[:, 1 : k + 1]
+    if not near.size:
+        return full
+    # the least distance of any of the first substrings, to all rows and to the nearest
+    least, chosen = np.full((len(some), len(sample)), SUB, np.uint8), []
+    for j in range(SUBS[-1]):
+        least = np.minimum(least, np.bitwise_count(keys[some, j, None] ^ keys[None, :, j]))
+        if j + 1 in SUBS:
+            hit = np.take_along_axis(least, near, axis=1)
+            chosen += [((least <= reach).mean(), j + 1, reach) for reach in range(SUB // 2) if (hit <= reach).mean() >= FOUND]
+    _, subs, reach = min(chosen, default=(1.0, SUBS[0], SUB))
+    return Coder(mean, full.planes[:, : subs * SUB], reach)
 
 
 class MultiIndex:
-    """A shard's index: for every substring, the rows of each key."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes.view(np.uint64)
-        self.postings = []
-        for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            keys, first = np.unique(codes[order, j], return_index=True)
-            self.postings.append((keys, np.append(first, len(order)), order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows within the radius. By the pigeonhole principle such a row has a substring within radius // substrings,
-        so only those keys are probed."""
-        reach = radius // len(self.postings)
-        found = np.zeros(len(self.codes), dtype=bool)
-        rest = None
-        for j, (keys, first, order) in enumerate(self.postings):
-            hit = np.flatnonzero(np.bitwise_count(keys ^ code[j]) <= reach)
-            lengths = first[hit + 1] - first[hit]
-            at = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            found[order[at]] = True
-            if j % 4 == 3:
-                # when few rows are left unfound, comparing them whole is cheaper than further probes
-                rest = len(found) - int(found.sum())
-                if rest < len(found) // 8:
-                    found[:] = True
-                    break
-        rows = np.flatnonzero(found)
-        apart = np.bitwise_count(self.codes[rows] ^ code.view(np.uint64)).sum(1)
-        return rows[apart <= radius]
-
-
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, coder: Coder, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance): for every query the k nearest found in the shard, itself included; all rows if it has fewer.
-
-    The radius grows until k rows are found or the shard is exhausted. Ties go to the smaller id.
-    """
-    index = MultiIndex(coder.bits(x))
-    codes = coder.bits(q)
-    x64 = x.astype(np.float64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(qids)):
-        radius = coder.radius
-        while True:
-            rows = index.within(codes[i], radius)
-            if len(rows) >= k or radius >= coder.planes.shape[1]:
-                break
-            radius += max(8, radius // 8)
-        apart = np.sqrt(((x64[rows] - q[i].astype(np.float64)) ** 2).sum(1))
-        best = np.lexsort((ids[rows], apart))[:k]
-        out.append((np.full(len(best), qids[i]), ids[rows[best]], apart[best]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
+    """The tables of a shard, one after another: their keys, and the rows of each key."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.n, m = keys.shape
+        self.rows = np.argsort(keys, axis=0, kind="stable").T.ravel()
+        each = np.sort(keys, axis=0).T
+        new = np.ones(each.shape, bool)
+        new[:, 1:] = each[:, 1:] != each[:, :-1]
+        self.first = np.append(np.flatnonzero(new.ravel()), m * self.n)
+        self.keys, self.of = each[new], new.sum(1)
+
+    def touched(self, key: np.ndarray, reach: int) -> np.ndarray:
+        """All rows of which a substring is within reach of the query's."""
+        if reach >= SUB // 2:
+            return np.arange(self.n)
+        hit = np.flatnonzero(np.bitwise_count(self.keys ^ np.repeat(key, self.of)) <= reach)
+        size = self.first[hit + 1] - self.first[hit]
+        at = np.repeat(self.first[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        found = np.zeros(self.n, bool)
+        found[self.rows[at]] = True
+        return np.flatnonzero(found)
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, q: np.ndarray, keys: np.ndarray, coder: Coder, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, distances, rows touched): for every query (q, its keys) the k nearest found in the shard, -1 and infinity where it
+    has fewer. The reach grows until k rows are touched or the shard is exhausted. Ties go to the smaller id."""
+    index = MultiIndex(coder.keys(x))
+    best, apart, seen = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf), 0
+    for i in range(len(q)):
+        reach = coder.reach
+        while len(rows := index.touched(keys[i], reach)) < k and len(rows) < len(x):
+            reach += 1
+        seen += len(rows)
+        d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
+        if len(rows) > 4 * k:
+            some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+            rows, d = rows[some], d[some]
+        order = np.lexsort((ids[rows], d))[:k]
+        best[i, : len(order)], apart[i, : len(order)] = ids[rows[order]], d[order]
+    return best, apart, seen
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v, dim): rows with a key and a vector that is not null, empty or zero and has only finite components."""
-    v = F.col(vector).cast("array<float>")
+    v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(key).alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     return rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every query, by Euclidean distance.
 
-    vectors and queries have vec_id, v and dim (see valid()); only vectors of a query's length are compared with it.
-    Equal vectors are one entry of the index that carries its k + 1 smallest ids, which is all that k neighbours can
-    need of them. Shards of the index meet blocks of queries; each pair gives k rows a query.
+    vectors and queries have vec_id, v and dim (see valid()); only vectors of a query's length are compared with it, and of a
+    query id's several vectors the least one asks. Equal vectors are one entry of the index that carries its k + 1 smallest
+    ids, which is all that k neighbours can need of them. Entries stay where they are: tasks index them shard by shard and are
+    sent the queries, QUERY_BYTES of them a pass; a task gives k + 1 rows a query. Empty tables give no row.
     """
     spark = vectors.sparkSession
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    entries = vectors.groupBy("v", "dim").agg(F.min("vec_id").alias("lo"), F.count(F.lit(1)).alias("copies"))
-    entries = keep(entries)
-    size = entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()
     empty = "query_id long, rank int, vec_id long, score double"
-    if not size:
+    entries = keep(vectors.groupBy("v", "dim").agg(F.min("vec_id").alias("lo"), F.count(F.lit(1)).alias("copies")))
+    asked = keep(queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    size = {r["dim"]: r["n"] for r in entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hits = None
+    for dim in sorted(set(size) & set(asks)):
+        n = size[dim]
+        own = entries.where(F.col("dim") == dim)
+        coder = learn(sampled(own, n, sample_rows), k, n)
+        # a query's vector, its keys, and what is held of it
+        blocks = max(1, -(-asks[dim] * (8 * dim + 4 * coder.subs + 32 * (k + 1)) // QUERY_BYTES))
+        parts = max(1, min(-(-n // SHARD_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        spread = own.select("lo", "v").repartition(parts, "lo")
+        for b in range(blocks):
+            rows = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").toArrow()
+            q = _vectors(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((0, dim))
+            shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), q, coder.keys(q), coder))
+            found = spread.mapInArrow(_searcher(shared, k + 1), "query_id long, lo long, score double")
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
         return spark.createDataFrame([], empty)
-    coders = {}
-    for dim, n in size:
-        part = entries.where(F.col("dim") == dim).select("v", F.xxhash64("v").alias("h"))
-        rows = part.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= F.lit(1.5 * sample_rows / n)).orderBy("h").limit(sample_rows).select("v").collect() if n > sample_rows else part.orderBy("h").select("v").collect()
-        coders[dim] = learn(np.array([r["v"] for r in rows], dtype=np.float32), bits, k)
-    shared = spark.sparkContext.broadcast(coders)
-    shards = {d: max(1, -(-n // SHARD_ROWS)) for d, n in size}
-    q_count = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {d: max(1, -(-q_count.get(d, 0) // QUERY_ROWS)) for d in shards}
-
-    def dealt(of: dict[int, int]):
-        return F.create_map(*[x for d, n in of.items() for x in (F.lit(d), F.lit(n).cast("long"))])[F.col("dim")]
-
-    # every entry goes to one shard and every query to one block; each pair of shard and block is a task's group
-    left = entries.select("dim", F.col("lo").alias("id"), "v", F.pmod(F.xxhash64("v"), dealt(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), dealt(blocks) - 1)).alias("block"), F.lit(False).alias("asks"))
-    right = queries.where(F.col("dim").isin(list(shards))).select("dim", F.col("vec_id").alias("id"), "v", F.explode(F.sequence(F.lit(0).cast("long"), dealt(shards) - 1)).alias("shard"), F.pmod(F.xxhash64("vec_id"), dealt(blocks)).alias("block"), F.lit(True).alias("asks"))
-
-    def pair(key, frames: pd.DataFrame) -> pd.DataFrame:
-        asks = frames["asks"].to_numpy(dtype=bool)
-        x = np.stack(frames["v"].to_numpy()).astype(np.float32)
-        ids = frames["id"].to_numpy(dtype=np.int64)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "lo": [], "score": []}).astype({"query_id": "int64", "lo": "int64"})
-        # the entry that holds the query itself may stand for copies too, so it is found like any other
-        a, b, s = search_shard(ids[~asks], x[~asks], ids[asks], x[asks], shared.value[key[0]], k + 1)
-        return pd.DataFrame({"query_id": a, "lo": b, "score": s})
-
-    hits = left.unionByName(right).groupBy("dim", "shard", "block").applyInPandas(pair, "query_id long, lo long, score double")
     first = hits.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("score", "lo"))).where(F.col("r") <= k + 1)
     # copies: entries that several rows share give their smallest ids
     many = entries.where("copies > 1").select("v", "lo")
@@ -182,6 +192,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def sampled(entries: DataFrame, n: int, most: int) -> np.ndarray:
+    """At most `most` of n distinct vectors, those of the smallest hashes."""
+    part = entries.select("v", F.xxhash64("v").alias("h"))
+    if n > most:
+        part = part.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= F.lit(1.5 * most / n)).orderBy("h").limit(most)
+    return np.array([r["v"] for r in sorted(part.collect(), key=lambda r: r["h"])], dtype=np.float64)
+
+
+def _searcher(shared, k: int):
+    """Searches a task's rows shard by shard and gives the k nearest of all of them for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, keys, coder = shared.value
+        best, apart = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+        held: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            ids, x = np.concatenate([b.column("lo").to_numpy() for b in held]), np.concatenate([_vectors(b.column("v")) for b in held])
+            new, d, _ = search_shard(ids, x, q, keys, coder, k)
+            both, far = np.concatenate([best, new], 1), np.concatenate([apart, d], 1)
+            order = np.lexsort((both, far), axis=1)[:, :k]
+            best[:], apart[:] = np.take_along_axis(both, order, 1), np.take_along_axis(far, order, 1)
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, SHARD_ROWS):
+                part = batch.slice(i, SHARD_ROWS)
+                if sum(b.num_rows for b in held) + part.num_rows > SHARD_ROWS:
+                    add()
+                    held.clear()
+                held.append(part)
+        if held:
+            add()
+        row, col = np.nonzero(best >= 0) if len(q) else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row], pa.int64()), pa.array(best[row, col], pa.int64()), pa.array(apart[row, col], pa.float64())], ["query_id", "lo", "score"])
+
+    return run
+
+
 def op9_hamming(spark, sf_dir: str) -> DataFrame:
     """The 10 nearest of all embeddings for those whose id is divisible by 100."""
     from lorewell.session import table

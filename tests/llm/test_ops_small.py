@@ -658,17 +658,45 @@ def test_posteriors_shrink(spark):
 
 def test_pigeonhole_finds_all():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
-    index = hamming.MultiIndex(codes)
-    apart = np.bitwise_count(codes.view(np.uint64)[:, None] ^ codes[:20].view(np.uint64)[None]).sum(2)
+    keys = rng.integers(0, 1 << 32, (500, 8), dtype=np.uint64).astype(np.uint32)
+    # near codes, and keys that many rows share
+    keys[:100] = keys[0] ^ (np.uint32(1) << rng.integers(0, 32, (100, 8)).astype(np.uint32))
+    keys[400:, 3] = 7
+    index = hamming.MultiIndex(keys)
+    apart = np.bitwise_count(keys[:, None] ^ keys[None, :20])
     for q in range(20):
-        for radius in (0, 20, 45, 60):
-            assert set(index.within(codes[q], radius)) == set(np.flatnonzero(apart[:, q] <= radius))
+        for reach in (0, 2, 7, 16):
+            got = set(index.touched(keys[q], reach).tolist())
+            assert got == (set(np.flatnonzero((apart[:, q] <= reach).any(1)).tolist()) if reach < 16 else set(range(500)))
+            assert set(np.flatnonzero(apart[:, q].sum(1) <= hamming.Coder(None, np.zeros((1, 256)), reach).radius()).tolist()) <= got
+
+
+@pytest.mark.parametrize("table,most", [("sf0.01", 0.25), ("sf0.1", 0.1)])
+def test_index_prunes_and_finds(table, most):
+    """Recall against brute force, and the share of all rows that the probes touch."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"/root/testdata/{table}/embeddings.parquet")
+    x, ids = np.stack(rows.column("embedding").to_numpy()).astype(float), rows.column("vec_id").to_numpy()
+    coder = hamming.learn(x[np.random.default_rng(0).permutation(len(x))[:4000]], 10, len(x))
+    at = np.flatnonzero(ids % 100 == 0)
+    best, apart, touched = hamming.search_shard(ids, x, x[at], coder.keys(x[at]), coder, 11)
+    exact = np.sqrt(((x[at][:, None] - x[None]) ** 2).sum(2))
+    want = [set(ids[np.lexsort((ids, d))[:11]]) for d in exact]
+    assert np.mean([len(w & set(b.tolist())) / 11 for w, b in zip(want, best, strict=True)]) >= 0.92
+    assert touched / len(x) / len(at) < most and (np.diff(apart, axis=1) >= 0).all()
+
+
+def test_distances_are_those_of_doubles(spark):
+    rows = [(i, [1e100 if i == 5 else 1.0, 1.0 + i * 1e-12]) for i in range(6)]
+    df = hamming.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r["score"] for r in hamming.search(df, df.where("vec_id = 0")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[3] == abs((1.0 + 3e-12) - 1.0) and got[5] == 1e100
 
 
 def test_search(spark, monkeypatch):
     monkeypatch.setattr(hamming, "SHARD_ROWS", 200)
-    monkeypatch.setattr(hamming, "QUERY_ROWS", 4)
+    monkeypatch.setattr(hamming, "QUERY_BYTES", 2000)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16)).astype(np.float32)
     x[500:560] = x[100]
