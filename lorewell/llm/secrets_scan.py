@@ -11,12 +11,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: an unbroken run of token characters of this length with a digit in it.
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}+"
+# Names that a secret is given under.
+NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_\-]?key|access[_\-]?key|auth|credential|private[_\-]?key"
+#: What stands ahead of a named value: a name that holds one of NAMES and an assignment, or the word of an HTTP header.
+NAMED = rf"(?:[\w\-]{{0,40}}?(?i:{NAMES})[\w\-]{{0,20}}[\"']?\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}|(?i:bearer)\s{{1,2}})[\"']?(?:(?i:bearer|basic)\s{{1,2}})?"
+#: A candidate is any value of six characters or more under a name, a token of three dotted parts, or a run of 16 token characters or
+#: more that is not letters of one case alone, as long words of prose are. Values of fewer than six characters, words of one case and
+#: runs of fewer than 16 characters that have no name ahead of them are not looked at.
+VALUE = r"[^\s\"'<>,;]{6,}+"
+DOTTED = r"[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+"
+RUN = r"(?![a-z]++(?![A-Za-z0-9_+/=\-])|[A-Z]?[a-z]++(?![A-Za-z0-9_+/=\-])|[A-Z]++(?![A-Za-z0-9_+/=\-])|[_+/=\-]++(?![A-Za-z0-9_+/=\-]))[A-Za-z0-9_+/=\-]{16,}+"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/=\-])(?:{NAMED}{VALUE}|{DOTTED}|{RUN})"
 #: Characters of context kept on either side.
 NEAR = 48
 #: Findings that the forest is trained on, trees, depth.
-FINDINGS, TREES, DEPTH = 4_000, 24, 7
+FINDINGS, TREES, DEPTH = 6_000, 24, 8
 THRESHOLD = 0.5
 
 # Words that code and prose are made of, for dictionary coverage.
@@ -76,24 +85,28 @@ def features(found: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, nth, candidate, before, after, path): every candidate of whole texts with what stands next to it.
 
-    Null and empty texts, and texts without a candidate, give no row. Repeated rows give repeated findings.
+    nth counts the candidates of a text from 0. Null and empty texts, and texts without a candidate, give no row. Repeated rows give
+    repeated findings, and other columns of docs have no part in it.
     """
     rows = docs.select("doc_id", (F.col(path) if path else F.lit(None).cast("string")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
     split = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.transform(F.split("text", CANDIDATE, -1), lambda s: F.struct(F.right(s, F.lit(NEAR)).alias("r"), F.left(s, F.lit(NEAR)).alias("l"))).alias("s"))
-    each = split.select("doc_id", "path", "s", F.posexplode("c").alias("nth", "candidate")).where(F.col("candidate").rlike("[0-9]"))
-    return each.select("doc_id", "nth", "candidate", F.element_at("s", F.col("nth") + 1)["r"].alias("before"), F.element_at("s", F.col("nth") + 2)["l"].alias("after"), "path")
+    each = split.select("doc_id", "path", "s", F.posexplode("c").alias("nth", "m")).withColumn("name", F.regexp_extract("m", f"^{NAMED}(?={VALUE}$)", 0))
+    before = F.right(F.concat(F.element_at("s", F.col("nth") + 1)["r"], "name"), F.lit(NEAR))
+    value = F.regexp_replace(F.substring(F.col("m"), F.char_length("name") + 1, F.char_length("m")), r"[.!?:)\]}]+$", "")
+    return each.select("doc_id", "nth", value.alias("candidate"), before.alias("before"), F.element_at("s", F.col("nth") + 2)["l"].alias("after"), "path")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """A labelled set for tables without one: (candidate, before, after, path, label), made by rule from hashes.
 
-    Secrets: hex and base-62 tokens after key words, some in capitals. False positives: numbers, digests that are named so,
-    identifiers, placeholders, repeated characters, and tokens in test files.
+    Secrets: hex and base-62 tokens after key words, some in capitals, passwords of words, digits and marks, tokens of letters alone,
+    dotted tokens with and without a key word. False positives: numbers, digests that are named so, identifiers,
+    placeholders, repeated characters, tokens in test files, and words of prose behind a key word.
     """
     i = F.col("id").cast("string")
     hexes, more = F.sha2(F.concat(F.lit("a"), i), 256), F.sha2(F.concat(F.lit("b"), i), 512)
     b62 = F.regexp_replace(F.base64(F.unhex(more)), r"[+/=\n]", "")
-    kind = F.pmod(F.xxhash64("id"), F.lit(12))
+    kind = F.pmod(F.xxhash64("id"), F.lit(18))
 
     def pick(values: list[str], salt: int) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
@@ -102,15 +115,25 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     named = pick(["commit ", "sha256: ", "checksum=", "uuid ", "order ", "revision ", "example_token = \"", "invoice "], 2)
     plain = pick(["and the ", "of ", "", "see ", ", "], 3)
     word = F.concat(pick(WORDS, 4), F.lit("_"), pick(WORDS, 5), F.lit("_"), pick(WORDS, 6), F.pmod("id", F.lit(97)).cast("string"))
+    word = F.when(F.col("id") % 2 == 0, word).otherwise(F.concat_ws("_", pick(["your", "my", "some", "old", "the"], 10), pick(["password", "credential", "passphrase", "bearer", "apikey"], 11), word, F.pmod("id", F.lit(7)).cast("string")))
     size = (F.lit(24) + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(25))).cast("int")
     number = F.substring(F.regexp_replace(F.concat(hexes, more), "[a-f]", ""), F.lit(1), (F.lit(16) + F.pmod("id", F.lit(4))).cast("int"))
     token = F.when(F.col("id") % 3 == 0, F.substring(b62, F.lit(1), size)).when(F.col("id") % 3 == 1, F.left(hexes, F.lit(40))).otherwise(F.upper(F.left(more, F.lit(40))))
+    letters = F.left(F.regexp_replace(F.concat(b62, F.base64(F.unhex(hexes))), "[^A-Za-z]", ""), size)
+    mark = pick(["!", "#", "$", "_", "-", ""], 9)
+    password = F.when(F.col("id") % 2 == 0, F.concat(F.initcap(pick(WORDS, 4)), F.left(b62, F.lit(4)), mark)).otherwise(F.concat(pick(WORDS, 4), F.pmod("id", F.lit(97)).cast("string"), mark, pick(WORDS, 5)))
+    # Prefixes of tokens that are known by them.
+    known = F.when(F.col("id") % 3 == 0, F.concat(F.lit("AKIA"), F.left(F.upper(b62), F.lit(16)))).otherwise(F.concat(pick(["ghp_", "sk-", "xoxb-"], 12), F.left(b62, F.lit(36))))
+    dotted = F.concat(F.lit("eyJ"), F.substring(b62, 1, 17), F.lit("."), F.substring(b62, 20, 24), F.lit("."), F.substring(b62, 45, 22))
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    prose = F.when(F.col("id") % 2 == 0, pick([w for w in WORDS if len(w) > 5], 4)).otherwise(F.concat(F.initcap(pick(WORDS, 4)), F.initcap(pick(WORDS, 5)), F.initcap(pick(WORDS, 6))))
+    is_secret = (kind < 5) | kind.isin(12, 13, 14)
     rows = spark.range(n).select(
-        F.when(kind < 5, token).when(kind == 5, number).when(kind == 6, F.left(hexes, F.lit(40))).when(kind == 7, word).when(kind == 8, F.concat(F.lit("your_"), word)).when(kind == 9, F.concat(F.repeat(F.lit("x"), 12), F.lit("0000"), F.repeat(F.lit("x"), 8))).when(kind == 10, F.regexp_replace(F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), "^", "")).otherwise(token).alias("candidate"),
-        F.when(kind < 5, key).when(kind.isin(6, 10), named).when(kind.isin(8, 9, 11), key).otherwise(plain).alias("before"),
-        F.when((kind < 5) | (kind == 9), F.lit('" ')).otherwise(F.lit(" ")).alias("after"),
-        F.when(kind == 11, F.lit("tests/fixtures/sample.py")).otherwise(pick(["src0", "src7", "lib/main.py", "app/config.yaml", ""], 8)).alias("path"),
-        (kind < 5).cast("double").alias("label"),
+        F.when(kind == 5, number).when(kind == 6, F.left(hexes, F.lit(40))).when(kind == 7, word).when(kind == 8, F.concat(F.lit("your_"), word)).when(kind == 9, F.concat(F.repeat(F.lit("x"), 12), F.lit("0000"), F.repeat(F.lit("x"), 8))).when(kind == 10, uuid).when(kind.isin(12, 16), password).when(kind == 13, letters).when(kind == 14, F.when(F.col("id") % 4 < 2, dotted).otherwise(known)).when(kind == 15, prose).otherwise(token).alias("candidate"),
+        F.when(kind.isin(6, 10), named).when(kind.isin(5, 7) | (kind.isin(8, 14) & (F.col("id") % 2 == 0)), plain).otherwise(key).alias("before"),
+        F.when(is_secret | kind.isin(9, 11, 16, 17), F.lit('" ')).otherwise(F.lit(" ")).alias("after"),
+        F.when(kind.isin(11, 16, 17), pick(["tests/fixtures/sample.py", "test_login.py", "docs/example.md", "vendor/mock.js"], 14)).otherwise(pick(["src0", "src7", "lib/main.py", "app/config.yaml", ""], 8)).alias("path"),
+        is_secret.cast("double").alias("label"),
     )
     return rows
 
