@@ -1,37 +1,100 @@
-"""Language identification: words first, then ever shorter character n-grams (operator 10)."""
+"""Language identification: words first, then ever shorter character n-grams (operator 10).
+
+Words are runs of letters, in small letters. Texts are worked on as arrays of code points, many at once; a word or n-gram is a
+64-bit hash of its code points.
+"""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import text_batches
+from lorewell.llm.common import ODD, arrow_text, mix, text_batches, text_slices
 
-#: Bounds of the labelled sample: so many distinct texts of each language.
-PER_LANG = 600
+#: Bounds of the labelled sample: so many distinct texts of each language; and of the model: so many words, and n-grams of an
+#: order, of each language, the most frequent ones.
+PER_LANG, TOKENS = 600, 100_000
 #: n-gram orders, tried in this order for a word that training did not see.
 ORDERS = (4, 3, 2, 1)
 #: A document's confidence rests on at most so many words' worth of evidence.
 EVIDENCE_WORDS = 20.0
 UND = "und"
 LEAST_SEEN = 3
-#: Texts that are turned into Python strings together.
-SLICE = 500
-
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+#: Bytes of text that are worked on together.
+SLICE = 512 << 10
+#: Code points up to here are looked up; above, the ideographs to CJK_END are letters.
+TABLE, CJK_END = 0x20000, 0x323B0
+
+
+@cache
+def small_letters() -> np.ndarray:
+    """For every code point of the table its small letter, 0 for what is no letter."""
+    out = np.zeros(TABLE, np.uint32)
+    for c in range(TABLE):
+        if (x := chr(c)).isalpha():
+            out[c] = ord(x.lower()[0])
+    return out
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = int(ODD)
+    both = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
+
+
+class Stretch:
+    """Some texts as one array of small letters, 0 between words and texts; words has the start and end of each word, docs its
+    text. Any run of the array has a hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        raw = data.tobytes()
+        n = len(offsets) - 1
+        try:
+            points = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+            chars = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets])
+        except UnicodeDecodeError:
+            texts = [raw[a:b].decode(errors="replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            points, chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.array([len(t) for t in texts])
+        low = small_letters()[np.minimum(points, TABLE - 1)]
+        if len(points) and points.max() >= TABLE:
+            far = points >= TABLE
+            low[far] = np.where(points[far] < CJK_END, points[far], 0)
+        full = np.zeros(len(points) + n + 1, np.uint32)
+        doc = np.repeat(np.arange(n), chars)
+        full[np.arange(len(points)) + doc + 1] = low
+        inside = (full > 0).view(np.int8)
+        step = np.diff(inside)
+        self.starts, self.ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+        self.docs = np.searchsorted(np.cumsum(chars) + np.arange(1, n + 1), self.starts, side="left")
+        size = 1 << max(16, (len(full) - 1).bit_length())
+        self.power, self.inverse = powers(size) if size <= 1 << 21 else powers.__wrapped__(size)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((full.astype(np.uint64) + np.uint64(1)) * ODD) * self.power[: len(full)], dtype=np.uint64)])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + np.uint64(salt * int(ODD) % (1 << 64)))
+
+    def words(self) -> np.ndarray:
+        return self.hashes(self.starts, self.ends, 0)
+
+    def grams(self, start: np.ndarray, end: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of its word, hash) of all n-grams of some words, each with one blank on either side."""
+        n = np.maximum(end - start + 3 - order, 0)
+        of = np.repeat(np.arange(len(start)), n)
+        at = np.arange(len(of)) + np.repeat(start - 1 - np.cumsum(n) + n, n)
+        return of, self.hashes(at, at + order, order)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,34 +119,38 @@ def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log frequencies by language. index: of a word or (order, n-gram) in rows; the last language axis follows langs."""
+    """Log frequencies by language: sorted hashes of words and of n-grams, with a row for each; the last axis follows langs."""
 
     langs: list[str]
-    words: dict[str, int]
+    words: np.ndarray
     word_rows: np.ndarray
-    grams: dict[str, int]
+    grams: np.ndarray
     gram_rows: np.ndarray
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(lang, kind, token, n) over all texts; kind 0 for words, else the n-gram order. Counts combine before the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, part in batch.groupby("lang"):
-                words: Counter[str] = Counter()
-                for t in part["text"]:
-                    words.update(words_of(t))
-                grams: Counter[tuple[int, str]] = Counter()
-                for w, n in words.items():
-                    marked = f" {w} "
-                    for k in ORDERS:
-                        for i in range(len(marked) - k + 1):
-                            grams[k, marked[i : i + k]] += n
-                rows = [(lang, 0, w, n) for w, n in words.items()] + [(lang, k, g, n) for (k, g), n in grams.items()]
-                yield pd.DataFrame(rows, columns=["lang", "kind", "token", "n"])
-
-    counted = texts.mapInPandas(run, "lang string, kind int, token string, n long")
+            data, offsets = arrow_text(batch.column("text"))
+            langs, code = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            for i, j in text_slices(offsets, SLICE):
+                part = Stretch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own, out = code[i:j][part.docs], []
+                for lang in np.unique(own):
+                    of = np.flatnonzero(own == lang)
+                    keys, first, n = np.unique(part.words()[of], return_index=True, return_counts=True)
+                    out.append((lang, 0, keys, n))
+                    for order in ORDERS:
+                        w, h = part.grams(part.starts[of[first]], part.ends[of[first]], order)
+                        grams, at = np.unique(h, return_inverse=True)
+                        out.append((lang, order, grams, np.bincount(at, weights=n[w], minlength=len(grams)).astype(np.int64)))
+                for lang, kind, keys, n in out:
+                    k = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[lang]] * k, pa.string()), pa.array(np.full(k, kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "kind", "token", "n"])
+
+    counted = texts.select("lang", "text").mapInArrow(run, "lang string, kind int, token long, n long")
     return counted.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
 
 
@@ -95,113 +162,97 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     text_batches(labelled.sparkSession)
     counts = count_tokens(sample(labelled, per_lang))
     several = counts.withColumn("all", F.sum("n").over(W.partitionBy("kind", "token"))).where(F.col("all") >= LEAST_SEEN).drop("all")
-    table = several.toPandas()
+    most = several.withColumn("r", F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "token"))).where(F.col("r") <= TOKENS).drop("r")
+    table = most.toPandas()
     langs = sorted(table["lang"].unique())
+    none = np.zeros(0, np.uint64)
     if not langs:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    at = {x: i for i, x in enumerate(langs)}
-
-    def rows(part: pd.DataFrame) -> tuple[dict[str, int], np.ndarray]:
-        names = {t: i for i, t in enumerate(sorted(part["token"].unique()))}
-        seen = np.zeros((len(names), len(langs)))
-        seen[part["token"].map(names).to_numpy(), part["lang"].map(at).to_numpy()] = part["n"]
-        return names, np.log(seen + 0.5) - np.log(seen.sum(0) + 0.5 * len(names) + 1e-9)
-
-    words, word_rows = rows(table[table["kind"] == 0])
-    grams: dict[str, int] = {}
-    parts = []
-    for k in ORDERS:
-        names, values = rows(table[table["kind"] == k])
-        grams |= {g: i + len(grams) for g, i in names.items()}
-        parts.append(values)
-    return Model(langs, words, word_rows, grams, np.concatenate(parts))
-
-
-class Scorer:
-    """Scores texts with a model; rows of unseen words are kept in a bounded cache."""
-
-    MOST = 100_000
-
-    def __init__(self, model: Model, copy: bool = True) -> None:
-        self.m = Model(model.langs, dict(model.words) if copy else model.words, model.word_rows, model.grams, model.gram_rows)
-        # words that a task left behind when it was cut off
-        self.learned = [w for w, i in self.m.words.items() if i >= len(model.word_rows)] if len(self.m.words) > len(model.word_rows) else []
-        self._reset()
-
-    def _reset(self) -> None:
-        # the model is this worker's own; what was learned is taken out again
-        for word in self.learned:
-            del self.m.words[word]
-        self.learned: list[str] = []
-        self.index = self.m.words
-        self.known = len(self.index)
-        self.rows = np.concatenate([self.m.word_rows, np.zeros((1024, len(self.m.langs)))])
-        self.n = self.known
-
-    def close(self) -> None:
-        """Leaves the model as it was, for the next task of this worker, and gives memory back."""
-        self._reset()
-        pa.default_memory_pool().release_unused()
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The mean of the longest known n-grams' rows, whatever order has any; zeros if none is known."""
-        marked = f" {word} "
-        grams = self.m.grams
-        for k in ORDERS:
-            known = [i for j in range(len(marked) - k + 1) if (i := grams.get(marked[j : j + k])) is not None]
-            if known:
-                return self.m.gram_rows[known].mean(0)
-        return np.zeros(len(self.m.langs))
-
-    def _learn(self, word: str) -> int:
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows[: max(1024, self.n // 2)])])
-        self.rows[self.n] = self.backoff(word)
-        self.index[word] = self.n
-        self.learned.append(word)
-        self.n += 1
-        return self.n - 1
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.m.langs or not any(c.isalpha() for w in words for c in w):
-            return UND, 0.0
-        if self.n > self.known + self.MOST:
-            self._reset()
-        total = np.zeros(len(self.m.langs))
-        get = self.index.get
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            at = [get(w) for w in part]
-            if None in at:
-                at = [a if a is not None else (get(w) if w in self.index else self._learn(w)) for a, w in zip(at, part, strict=True)]
-            total += self.rows[at].sum(0)
-        scaled = total * min(1.0, EVIDENCE_WORDS / len(words))
-        p = np.exp(scaled - scaled.max())
-        best = int(np.argmax(p))
-        return self.m.langs[best], float(p[best] / p.sum())
-
-
-def _told(column: pa.Array, scorer: Scorer) -> Iterator[tuple[str, float]]:
-    """Predictions for an Arrow column, SLICE texts at a time so that few are Python strings at once."""
-    for i in range(0, len(column), SLICE):
-        yield from map(scorer, column.slice(i, SLICE).to_pylist())
+        return Model([], none, np.zeros((0, 0)), none, np.zeros((0, 0)))
+    lang = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+    kind, token, n = (table[c].to_numpy() for c in ("kind", "token", "n"))
+
+    def rows(of: int) -> tuple[np.ndarray, np.ndarray]:
+        own = kind == of
+        keys, at = np.unique(token[own].view(np.uint64), return_inverse=True)
+        seen = np.zeros((len(keys), len(langs)))
+        seen[at, lang[own]] = n[own]
+        return keys, np.log(seen + 0.5) - np.log(seen.sum(0) + 0.5 * len(keys) + 1e-9)
+
+    grams, gram_rows = zip(*[rows(k) for k in ORDERS], strict=True)
+    order = np.argsort(np.concatenate(grams))
+    return Model(langs, *rows(0), np.concatenate(grams)[order], np.concatenate(gram_rows)[order])
+
+
+def look_up(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each hash among sorted keys, -1 for what is none of them."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
+
+
+def backoff(part: Stretch, start: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
+    """For every word the mean of its longest known n-grams' rows, whatever order has any; zeros if none is known."""
+    out = np.zeros((len(start), len(model.langs)))
+    left = np.arange(len(start))
+    for order in ORDERS:
+        of, h = part.grams(start[left], end[left], order)
+        at = look_up(model.grams, h)
+        known = at >= 0
+        n = np.bincount(of[known], minlength=len(left))
+        sums = np.zeros((len(left), len(model.langs)))
+        np.add.at(sums, of[known], model.gram_rows[at[known]])
+        some = n > 0
+        out[left[some]] = sums[some] / n[some, None]
+        left = left[~some]
+        if not len(left):
+            break
+    return out
+
+
+def tell(column, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the language, confidence) of every text; -1 and 0 for a null text and one without a letter."""
+    data, offsets = arrow_text(column)
+    best, score = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
+    if not model.langs:
+        return best, score
+    for i, j in text_slices(offsets, SLICE):
+        part = Stretch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if not len(part.starts):
+            continue
+        h = part.words()
+        at = look_up(model.words, h)
+        values = model.word_rows[at] if len(model.words) else np.zeros((len(at), len(model.langs)))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            values[new] = backoff(part, part.starts[new[first]], part.ends[new[first]], model)[back]
+        total = np.stack([np.bincount(part.docs, weights=values[:, k], minlength=j - i) for k in range(len(model.langs))], 1)
+        words = np.bincount(part.docs, minlength=j - i)
+        scaled = total * np.minimum(1.0, EVIDENCE_WORDS / np.maximum(words, 1))[:, None]
+        p = np.exp(scaled - scaled.max(1, keepdims=True))
+        top = p.argmax(1)
+        has = words > 0
+        best[i:j] = np.where(has, top, -1)
+        score[i:j] = np.where(has, p[np.arange(j - i), top] / p.sum(1), 0.0)
+    return best, score
 
 
 def predict(df: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """columns, lang and score of (columns, text). Null texts and texts without a letter are und with score 0."""
+    """columns, lang and score of (columns, text). Null texts and texts without a letter are und with score 0; without any
+    language learned all are. Repeated rows are told alike."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    text_batches(df.sparkSession)
     rows = df.select(*columns, F.col("text").alias("_text"))
     schema = rows.select(*columns).schema.add("lang", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, copy=False)
-        try:
-            for batch in batches:
-                told = list(_told(batch.column(len(columns)), scorer))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], schema.names)
-        finally:
-            scorer.close()
+        model = shared.value
+        names = np.array([*model.langs, UND], dtype=object)
+        for batch in batches:
+            best, score = tell(batch.column(len(columns)), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(names[best], pa.string()), pa.array(score)], schema.names)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
@@ -227,11 +278,9 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, copy=False)
-        try:
-            for batch in batches:
-                yield batch.filter(pa.array([x != UND and s >= least for x, s in _told(batch.column(at), scorer)], pa.bool_()))
-        finally:
-            scorer.close()
+        for batch in batches:
+            best, score = tell(batch.column(at), shared.value)
+            yield batch.filter(pa.array((best >= 0) & (score >= least)))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

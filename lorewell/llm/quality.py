@@ -10,17 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import arrow_text, keep, text_slices, word_hashes
+from lorewell.llm.common import arrow_text, keep, text_batches, text_slices, word_hashes
 
-#: Bound of the labelled sample, hashed words, and dense features: shares of ASCII marks, digits, capitals, repeats, lengths.
-SAMPLE, WORDS, MARKS = 12_000, 4_096, 33
+#: Bounds of the labelled samples that the lexicon and the regression take, at every size of the tables.
+SAMPLE, FITTED = 12_000, 4_000
+#: Hashed words, and dense features: shares of ASCII marks, digits, capitals, repeats, lengths.
+WORDS, MARKS = 4_096, 33
 DENSE = MARKS + 6
 WIDTH = WORDS + DENSE
-SLICE = 512 << 10
+#: Bytes and documents that have rows of features at once, 50 kB each.
+SLICE, ROWS = 512 << 10, 512
 #: A document is kept from this quality on, if its chance of being toxic is below that.
 KEEP, TOXIC = 0.5, 0.93
-#: Of a full sample, one labelled document in so many enters the regression.
-FEWER = 3
 #: A word tells toxic documents if so many, and that share, of the sample's have it and its rate there is so many times that elsewhere.
 TELLING, SHARE, ODDS = 5, 0.015, 30.0
 #: Strength of the global prior on hosts and of a host's on its paths is estimated, within these bounds.
@@ -84,19 +85,19 @@ class Model:
     chance: np.ndarray
 
 
-def learn_lexicon(words: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that occur in TELLING toxic documents or more and in SHARE of them, and there far more than elsewhere, with their precision."""
-    bad = [w for w, t in zip(words, toxic, strict=True) if t]
-    if not bad:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    keys, inside = np.unique(np.concatenate(bad), return_counts=True)
-    often = inside >= max(TELLING, SHARE * len(bad))
-    keys, inside = keys[often], inside[often]
-    good = np.sort(np.concatenate([w for w, t in zip(words, toxic, strict=True) if not t] or [keys[:0]]))
-    outside = np.searchsorted(good, keys, side="right") - np.searchsorted(good, keys)
+def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur in TELLING toxic documents or more and in SHARE of them, and there far more than elsewhere, with their precision.
+
+    words has (w, toxic) for each document's different words; bad and good count the documents.
+    """
+    counts = words.groupBy("w").agg(F.sum(F.col("toxic").cast("int")).alias("inside"), F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("inside") >= F.lit(max(TELLING, SHARE * bad))).orderBy("w").toPandas()
+    keys, inside = often["w"].to_numpy().view(np.uint64), often["inside"].to_numpy(dtype=float)
+    outside = often["n"].to_numpy() - inside
     # the rate outside, had one more document the word
-    odds = (inside / len(bad)) / ((outside + 1) / max(1, len(words) - len(bad)))
-    use = odds >= ODDS
+    odds = (inside / max(1, bad)) / ((outside + 1) / max(1, good))
+    use = np.flatnonzero(odds >= ODDS)
+    use = use[np.argsort(keys[use])]
     return keys[use], (inside / (inside + outside + 1))[use]
 
 
@@ -111,46 +112,56 @@ def toxic_chance(h: np.ndarray, docs: np.ndarray, n: int, model: Model) -> np.nd
     return 1 - np.exp(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled documents, those of the smallest hashes.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fitted: int = FITTED) -> Model:
+    """A model from at most `sample` labelled documents, those of the smallest hashes: the lexicon takes all of them, the weights
+    the first `fitted`.
 
-    The lexicon takes all of them, the weights one in FEWER (all of a small sample). A document with several labels counts with
-    the greatest; without labels all weights are 0.
+    A document with several labels counts with the greatest, one of several texts with that of the least hash; without labels
+    all weights are 0. The driver holds the rows of `fitted` documents and the words that tell; words are counted where they are.
     """
+    text_batches(docs.sparkSession)
     each = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    some = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    dense = F.lit(labels.count() < sample) | (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(FEWER)) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality", "toxic", dense.alias("dense"))
+    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    some = keep(each.withColumn("o", order).orderBy("o").limit(sample))
+    last = some.orderBy("o").limit(fitted).agg(F.max("o").alias("o")).first()["o"]
+    if last is None:
+        return Model(np.zeros(WIDTH + 1, np.float32), np.zeros(0, np.uint64), np.zeros(0))
+    dense = F.col("o") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["doc_id"]).alias("doc_id"))
+    held = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = held.join(F.broadcast(some.select("doc_id", "quality", "toxic", dense.alias("dense"))), "doc_id").select("text", "quality", "toxic", "dense")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_text(batch.column("text"))
             at, values, words = [], [], []
             dense = batch.column("dense").to_pylist()
-            for i, j in text_slices(offsets, SLICE):
+            for i, j in text_slices(offsets, SLICE, ROWS):
                 x, h, d = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for row, use in zip(x, dense[i:j], strict=True):
                     hit = np.flatnonzero(row) if use else np.zeros(0, np.int64)
                     at.append(hit.astype(np.uint16).tobytes())
                     values.append(row[hit].astype(np.float32).tobytes())
                 ends = np.searchsorted(d, np.arange(j - i + 1))
-                words += [np.unique(h[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), pa.array(words, pa.binary()), batch.column("quality"), batch.column("toxic"), batch.column("dense")], ["at", "v", "w", "quality", "toxic", "dense"])
+                words += [np.unique(h[a:b]).view(np.int64) for a, b in zip(ends, ends[1:], strict=False)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32)), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()), lists, batch.column("quality"), batch.column("toxic"), batch.column("dense")], ["at", "v", "w", "quality", "toxic", "dense"])
 
-    got = rows.mapInArrow(run, "at binary, v binary, w binary, quality int, toxic int, dense boolean").collect()
-    if not got:
+    found = keep(rows.mapInArrow(run, "at binary, v binary, w array<long>, quality int, toxic int, dense boolean"))
+    n = {r["bad"]: r["n"] for r in found.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
         return Model(np.zeros(WIDTH + 1, np.float32), np.zeros(0, np.uint64), np.zeros(0))
-    got.sort(key=lambda r: (bytes(r["at"]), bytes(r["v"])))
-    full = [r for r in got if r["dense"]] or got
-    x = np.zeros((len(full), WIDTH), np.float32)
-    for row, r in zip(x, full, strict=True):
+    got = found.where("dense").select("at", "v", "quality").collect()
+    got.sort(key=lambda r: (bytes(r["at"]), bytes(r["v"]), r["quality"]))
+    x = np.zeros((len(got), WIDTH), np.float32)
+    for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
-    words = [np.frombuffer(r["w"], np.uint64) for r in got]
-    return Model(_fit(x, np.array([r["quality"] > 0 for r in full], dtype=np.float32)), *learn_lexicon(words, np.array([r["toxic"] > 0 for r in got])))
+    weights = _fit(x, np.array([r["quality"] > 0 for r in got], dtype=np.float32)) if got else np.zeros(WIDTH + 1, np.float32)
+    return Model(weights, *learn_lexicon(found.select(F.explode("w").alias("w"), (F.col("toxic") > 0).alias("toxic")), n.get(True, 0), n.get(False, 0)))
 
 
 def evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """columns, and each document's classifier probabilities p and toxic; a text without a word has p 0."""
+    """columns, and each document's classifier probabilities p and toxic; a text without a word, a null one too, has p 0."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*columns, "text")
     schema = rows.select(*columns).schema.add("p", "double").add("toxic", "double")
@@ -161,7 +172,7 @@ def evidence(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         for batch in batches:
             data, offsets = arrow_text(batch.column(len(columns)))
             out = [np.zeros((0, 2))]
-            for i, j in text_slices(offsets, SLICE):
+            for i, j in text_slices(offsets, SLICE, ROWS):
                 x, h, d = feature_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30).astype(np.float64)))
                 p[np.bincount(d, minlength=j - i) == 0] = 0

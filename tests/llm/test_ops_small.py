@@ -681,6 +681,28 @@ def test_quality(spark):
     assert quality.classify(docs, labels.limit(0), F.col("source"), F.col("lang")).where("keep").count() == len(rows) - 2
 
 
+def test_quality_held_out(spark):
+    """Labels of documents that took no part in the fit, and a sample smaller than the labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    told = quality.classify(docs, labels.where(~out), F.col("source"), F.concat_ws("/", "source", "lang")).select("doc_id", "keep", "p")
+    got = told.join(labels.where(out), "doc_id").collect()
+    good = [r["keep"] == (r["quality"] == 1) for r in got if not r["toxic"]]
+    assert len(good) > 50 and np.mean(good) > 0.9
+    few = quality.fit(docs, labels, 300, 100)
+    assert few.weights.any() and not (few.weights == quality.fit(docs, labels, 300, 200).weights).all()
+
+
+def test_quality_of_odd_texts(spark):
+    """Very long and very short texts, ties, repeated rows and labels, columns whose names clash."""
+    df, rows = odd_docs(spark)
+    df = df.unionByName(spark.createDataFrame([(500 + i, "a", "en", "s9", None, None, None) for i in range(3000)] + [(9000, "alpha beta " * 100_000, "en", "s9", 0.0, 1, "p")], DOCS)).withColumns({"p": F.lit(1), "toxic": F.lit("x"), "host": F.lit(0), "keep": F.lit(0)})
+    labels = spark.createDataFrame([(i % 40, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels, F.col("source"), F.col("lang")).collect()
+    assert len(got) == len(rows) + 3001
+    assert len({(r["score"], r["keep"]) for r in got if r["doc_id"] is not None and 500 <= r["doc_id"] < 3500}) == 1
+
+
 def test_posteriors_shrink(spark):
     rows = [("big", "a", 0.9)] * 500 + [("big", "b", 0.1)] * 3 + [("small", "c", 0.0)] * 2
     got = {r["path"]: r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
@@ -780,8 +802,37 @@ def test_langid(spark):
     assert langid.fit(docs.limit(0).select("lang", "text")).langs == []
 
 
+def stretch(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return langid.Stretch(raw, np.array([0, len(raw)]))
+
+
 def test_backoff_goes_to_shorter_grams():
-    model = langid.Model(["a", "b"], {"known": 0}, np.array([[-1.0, -5.0]]), {"xyz": 0, "y": 1}, np.array([[-7.0, -1.0], [-2.0, -3.0]]))
-    scorer = langid.Scorer(model)
-    assert scorer.backoff("wxyzw").tolist() == [-7.0, -1.0] and scorer.backoff("qyq").tolist() == [-2.0, -3.0] and scorer.backoff("qq").tolist() == [0, 0]
-    assert scorer("known")[0] == "a" and scorer("wxyzw")[0] == "b"
+    def gram(text):
+        part = stretch(text)
+        return part.hashes(np.array([1]), np.array([1 + len(text)]), len(text))[0]
+
+    grams, rows = np.array([gram("xyz"), gram("y")]), np.array([[-7.0, -1.0], [-2.0, -3.0]])
+    order = np.argsort(grams)
+    model = langid.Model(["a", "b"], stretch("known").words(), np.array([[-1.0, -5.0]]), grams[order], rows[order])
+    part = stretch("Wxyzw qyq QQ")
+    assert langid.backoff(part, part.starts, part.ends, model).tolist() == [[-7.0, -1.0], [-2.0, -3.0], [0, 0]]
+    best, _ = langid.tell(pyarrow.array(["KNOWN", "wxyzw", None, "12 ²"]), model)
+    assert best.tolist() == [0, 1, -1, -1]
+
+
+def test_words_are_runs_of_letters():
+    texts = ["Straße, Élan_vital 3x ²³ ΑΒΓ naïve", "", None, "漢字 𠀀𠀁 ok", "ends", "Starts"]
+    data, offsets = langid.arrow_text(pyarrow.array(texts))
+    part = langid.Stretch(data, offsets)
+    want = [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if w.isalpha()]
+    assert part.docs.tolist() == [i for i, _ in want]
+    assert part.words().tolist() == [stretch(w).words()[0] for _, w in want]
+    assert len(set(part.words().tolist())) == len({w for _, w in want})
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("not held_out").select("lang", "text"))
+    got = langid.predict(docs.where("held_out").withColumnRenamed("lang", "true"), model, ["true"]).where("lang != 'und' and true is not null").collect()
+    assert len(got) > 200 and np.mean([r["lang"] == r["true"] for r in got]) > 0.99
