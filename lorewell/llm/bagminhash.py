@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.common import MIX1, ODD, arrow_text, keep, mix, stash, text_batches, text_slices, uniform, unstash, word_hashes
@@ -356,7 +355,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     sk = keep(sketch(docs.select("doc_id", "text")))
     rows = sk.where("doc_id is not null and size(bands) > 0")
     groups = keep(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    member = keep(rows.select("doc_id", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").where("doc_id != rep").distinct())
+    # a group of countless copies is dealt in pieces wherever its members meet what is known of the group
+    pieces = F.ceil(F.col("n") / GROUP)
+    copies = rows.select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).where("doc_id != rep")
+    member = keep(copies.select("doc_id", "rep", F.pmod(F.xxhash64("doc_id"), pieces).alias("piece")).distinct())
     single = rows.join(member.select("doc_id"), "doc_id", "left_anti")
     exploded = single.select(F.col("doc_id").alias("id"), "h1", F.explode("bands").alias("bh"))
     # only buckets of two members or more go on
@@ -390,21 +392,27 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
             full = close.join(dealt, [*CELL, "id", "h1"]).join(packed(known), ["id", "h1"]).join(some, ["id", "h1"])
             roots = joined(keep(links_of_cells(full, least)), roots)
     unstash(spark, path)
-    named = member if roots is None else member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("rep"))
-    if roots is not None:
+    if roots is None:
+        named = member.select("doc_id", "rep")
+    else:
+        known_root = groups.join(roots.select(F.col("node").alias("rep"), "root"), "rep").select("rep", "root", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+        named = member.join(known_root, ["rep", "piece"], "left").select("doc_id", F.coalesce("root", "rep").alias("rep"))
         named = named.unionByName(roots.join(member.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("root").alias("rep")))
     return sk.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One document of each class, that of the least doc_id; all columns stay. Rows without a doc_id stay."""
+    """One document of each class, that of the least doc_id; all columns stay, whatever their names. Rows without a doc_id stay;
+    of several rows of one doc_id the one of the least hash of its text does."""
     gone = near_duplicates(docs, least).where("doc_id != class_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
     if repeated.isEmpty():
         return left
-    first = left.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.where("_r = 1 or doc_id is null").drop("_r")
+    # only repeated ids are grouped, and their rows combine before they meet
+    again = left.join(repeated.select("doc_id"), "doc_id", "left_semi")
+    first = again.select(F.struct("*").alias("doc")).groupBy("doc.doc_id").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc.*")
+    return left.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(first)
 
 
 def op7_bagminhash(spark, sf_dir: str) -> DataFrame:

@@ -572,6 +572,19 @@ def test_near_duplicates(spark):
     kept = bagminhash.one_of_each(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c in brute_classes(rows).values()})
     assert bagminhash.near_duplicates(df.limit(0)).count() == 0
+    odd, rows = odd_docs(spark)
+    odd = odd.withColumns({"_r": F.lit(1), "rep": F.lit("x"), "class_id": F.lit(0), "h1": F.lit(2), "doc": F.lit(3)})
+    kept = bagminhash.one_of_each(odd)
+    n = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.columns == odd.columns and max(n.values()) == 1 and n[None] == 1
+
+
+def test_a_group_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "GROUP", 8)
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, text) for i in range(100)] + [(100 + i, text + f" new{i}") for i in range(5)] + [(200, "other words that stand alone here")]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: 0 for i in range(105)} | {200: 200}
 
 
 def edited_copies(rng, n, edits=6, words=404):
