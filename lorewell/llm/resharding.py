@@ -13,15 +13,15 @@ import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.llm.common import keep, running_total, shared_dir, unstash
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
-#: Bytes of a block, on average, and of a file: a shard is cut into as many as its size asks for.
-BLOCK_BYTES, FILE_BYTES = 16 << 20, 256 << 20
-#: The least number of blocks of an old shard.
-BLOCKS = 256
+#: Blocks are ranges of a hash: of so many bytes on average, and at most so many in all, so that the table of their places can
+#: be broadcast; an old shard has the least number at least. A file holds some blocks of a shard, of about so many bytes.
+BLOCK_BYTES, MOST_BLOCKS, BLOCKS, FILE_BYTES = 16 << 20, 100_000, 256, 64 << 20
 LIST = "_shards.json"
 
 
@@ -106,9 +106,9 @@ def text_size(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit("")).cast("binary")) + 8).cast("long")
 
 
-def place_hash() -> Column:
-    """What orders the rows of a shard: id and text."""
-    return F.xxhash64(F.lit(6), "doc_id", "text")
+def place_hash(*columns: Column) -> Column:
+    """What orders the rows of a shard."""
+    return F.xxhash64(F.lit(6), *columns)
 
 
 def old_shard(docs_source: str = "source") -> Column:
@@ -116,28 +116,50 @@ def old_shard(docs_source: str = "source") -> Column:
     return (F.crc32(F.coalesce(F.col(docs_source), F.lit("")).cast("binary")) % OLD_SHARDS).cast("int")
 
 
-def reshard(sized: DataFrame, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS, cost=None) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """(old, h, size, block, lo, hi, shard) and the transfers (old, shard, begin, end) of rows (size, old, h).
+def reshard(sized: DataFrame, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS, cost=None) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int, int]]]:
+    """Where the rows (old, h, size) go: the blocks, with each one's old shard, its new shard and file there, the hashes [lo, hi)
+    of it that go there, their rows and bytes, and the slot of their first row; how many blocks each old shard has; and the transfers.
 
-    Rows of an old shard are laid out block by block (blocks are ranges of h); a row goes where its first byte
-    falls among the old shard's cuts. So shard sizes are equal to within one row per cut. Rows alike in h stand together,
-    and share them: nth counts them from 0.
+    Rows of an old shard are laid out block by block and by h; a row goes where its first byte falls among the old shard's
+    cuts. So shard sizes are equal to within one row per cut; rows of one hash, which are alike, stay together.
     """
     spark = sized.sparkSession
     sums = {r["old"]: r["n"] for r in sized.groupBy("old").agg(F.sum("size").alias("n")).collect()}
     supply = [sums.get(i, 0) for i in range(n_old)]
     moves = cuts(supply, min_cost_flow(supply, capacities(sum(supply), n_new), cost))
-    blocks = spark.createDataFrame([(i, max(BLOCKS, -(-n // BLOCK_BYTES))) for i, n in enumerate(supply)], "old int, blocks long")
-    blocked = sized.join(F.broadcast(blocks), "old").withColumn("block", F.pmod(F.shiftright("h", 16), F.col("blocks"))).drop("blocks")
-    laid = running_total(blocked, ["old"], "block", ["h"], F.col("size"), "at")
-    table = F.broadcast(spark.createDataFrame(moves, "old int, shard int, lo long, hi long"))
-    return laid.join(table, "old").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).drop("lo", "hi"), moves
-
-
-def with_slots(placed: DataFrame) -> DataFrame:
-    """slot: a gapless rank from 0 within each new shard, by old shard, block and place; rows have shard, old, block and at."""
-    keyed = placed.withColumn("_b", F.col("old").cast("long") * (1 << 40) + F.col("block"))
-    return running_total(keyed, ["shard"], "_b", ["at"], F.lit(1), "slot").withColumn("slot", F.col("slot").cast("long")).drop("_b")
+    each = max(BLOCK_BYTES, -(-sum(supply) // MOST_BLOCKS))
+    counts = spark.createDataFrame([(i, max(BLOCKS, -(-n // each))) for i, n in enumerate(supply)], "old int, blocks long")
+    rows = in_blocks(sized, counts).groupBy("old", "block", "h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    laid = running_total(keep(rows), ["old"], "block", ["h"], F.col("size"), "at")
+    table = F.broadcast(spark.createDataFrame(moves, "old int, shard int, from long, to long"))
+    cut = laid.join(table, "old").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
+    blocks = cut.groupBy("old", "block", "shard").agg(F.min("h").alias("lo"), F.sum("size").alias("bytes"), F.sum("n").alias("n"))
+    along = W.partitionBy("shard").orderBy("old", "block", "lo").rowsBetween(W.unboundedPreceding, -1)
+    placed = blocks.select(
+        "old", "block", "shard", "lo", "bytes", "n",
+        F.lead("lo").over(W.partitionBy("old", "block").orderBy("lo")).alias("hi"),
+        F.coalesce(F.sum("n").over(along), F.lit(0)).alias("slot"),
+        F.floor(F.coalesce(F.sum("bytes").over(along), F.lit(0)) / FILE_BYTES).cast("int").alias("file"),
+    )
+    return keep(placed), counts, moves
+
+
+def in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with their block."""
+    return rows.join(F.broadcast(counts), "old").withColumn("block", F.pmod(F.shiftright("h", 16), F.col("blocks"))).drop("blocks")
+
+
+def with_slots(rows: DataFrame, placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (old, h) with shard, file and slot: gapless from 0 within each shard, by old shard, block and h.
+
+    The places of blocks are broadcast, MOST_BLOCKS of them and a few more; the rows travel once, to their file.
+    """
+    where = F.broadcast(placed.select("old", "block", "shard", "file", "lo", "hi", F.col("slot").alias("first")))
+    here = in_blocks(rows, counts).join(where, ["old", "block"]).where((F.col("h") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("h") < F.col("hi"))))
+    files = placed.select("shard", "file").distinct().count()
+    dealt = here.repartition(max(1, min(files, MOST_BLOCKS)), "shard", "file")
+    rank = F.row_number().over(W.partitionBy("shard", "file", "old", "block").orderBy("h"))
+    return dealt.withColumn("slot", F.col("first") + rank - 1).drop("lo", "hi", "first", "block")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -185,23 +207,17 @@ def read_shards(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return out.select("doc", "slot", F.col("shard").cast("int").alias("shard"))
 
 
-def rewrite(rows: DataFrame, path: str, sizes: dict[int, int], touched: set[int]) -> None:
-    """Writes the touched shards of rows (doc, h, shard, slot) to the layout at path, each in several files if it is large.
+def rewrite(rows: DataFrame, path: str, touched: set[int]) -> None:
+    """Writes rows (doc, shard, slot), dealt by file, as the new content of the touched shards of the layout at path.
 
-    sizes has the bytes of each new shard. Touched shards without a row are no longer listed; what the list
-    no longer names is deleted.
+    Touched shards without a row are no longer listed; what the list no longer names is deleted.
     """
     spark = rows.sparkSession
     before = listed(spark, path)
     gen = f"g{uuid.uuid4().hex}"
-    files = {j: max(1, -(-sizes.get(j, 0) // FILE_BYTES)) for j in touched}
-    count = spark.createDataFrame(list(files.items()), "shard int, files int") if files else None
-    written: set[int] = set()
-    if count is not None:
-        hit = rows.join(F.broadcast(count), "shard").withColumn("salt", F.pmod(F.xxhash64("h"), F.col("files")))
-        hit.repartition(max(1, sum(files.values())), "shard", "salt").select("doc", "slot", "shard").write.partitionBy("shard").parquet(f"{path}/{gen}")
-        fs, at = _fs(spark, f"{path}/{gen}")
-        written = {int(f.getPath().getName()[6:]) for f in fs.listStatus(at) if f.getPath().getName().startswith("shard=")}
+    rows.select("doc", "slot", "shard").write.partitionBy("shard").parquet(f"{path}/{gen}")
+    fs, at = _fs(spark, f"{path}/{gen}")
+    written = {int(f.getPath().getName()[6:]) for f in fs.listStatus(at) if f.getPath().getName().startswith("shard=")}
     after = {j: d for j, d in before.items() if j not in touched} | {j: f"{gen}/shard={j}" for j in sorted(written)}
     _list(spark, path, after)
     for d in set(before.values()) - set(after.values()):
@@ -213,7 +229,8 @@ def write_layout(docs: DataFrame, path: str, n_new: int = NEW_SHARDS) -> list[tu
 
     The transfers are those of least bytes from the old shards. All columns of docs are written. Returns the transfers.
     """
-    return _relay(docs.select(F.struct("*").alias("doc"), old_shard().alias("old"), text_size(F.col("text")).alias("size"), place_hash().alias("h")), path, OLD_SHARDS, n_new, fresh=True)
+    rows = docs.select(F.struct("*").alias("doc"), old_shard().alias("old"), text_size(F.col("text")).alias("size"), place_hash(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    return _relay(rows, path, OLD_SHARDS, n_new, fresh=True)
 
 
 def reshard_files(spark: SparkSession, path: str, n_new: int, n_old: int | None = None) -> list[tuple[int, int, int, int]]:
@@ -223,37 +240,20 @@ def reshard_files(spark: SparkSession, path: str, n_new: int, n_old: int | None
     """
     rows = read_shards(spark, path)
     n_old = n_old or max(listed(spark, path)) + 1
-    keyed = rows.select("doc", F.col("shard").alias("old"), text_size(F.col("doc.text")).alias("size"), F.xxhash64(F.lit(6), "doc.doc_id", "doc.text").alias("h"))
+    keyed = rows.select("doc", F.col("shard").alias("old"), text_size(F.col("doc.text")).alias("size"), place_hash(F.col("doc")).alias("h"))
     return _relay(keyed, path, n_old, n_new, fresh=False)
 
 
 def _relay(rows: DataFrame, path: str, n_old: int, n_new: int, fresh: bool) -> list[tuple[int, int, int, int]]:
-    """Texts stay where they are until the place of every row is known from (old, h, size) alone; they travel once, to their file."""
-    sized = keep(rows.select("old", "h", "size"))
-    placed, moves = reshard(sized, n_old, n_new)
-    placed = keep(with_slots(placed))
-    spark = rows.sparkSession
-    flows = placed.groupBy("old", "shard").agg(F.sum("size").alias("n")).collect()
-    sizes: dict[int, int] = defaultdict(int)
-    for r in flows:
-        sizes[r["shard"]] += r["n"]
-    if fresh:
-        touched = set(range(n_new))
-    else:
+    placed, counts, moves = reshard(keep(rows.select("old", "h", "size")), n_old, n_new)
+    touched = set(range(n_new))
+    if not fresh:
         # bytes that a cut leaves within one row move no row, and rewrite nothing
-        touched = {x for r in flows if r["old"] != r["shard"] for x in (r["old"], r["shard"])}
+        flows = placed.select("old", "shard").distinct().where("old != shard").collect()
+        touched = {x for r in flows for x in (r["old"], r["shard"])}
         rows = rows.where(F.col("old").isin(sorted(touched)))
-    one = placed.groupBy("old", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = ["old", "h"]
-    if not one.isEmpty():
-        # repeated rows: the numbers of equal ones, by partition, so that none is ranked by one task
-        mine = keep(rows.withColumn("id", F.monotonically_increasing_id()).withColumn("b", F.shiftright("id", 33)))
-        rows = running_total(mine, same, "b", ["id"], F.lit(1), "nth").drop("id", "b")
-        theirs = placed.withColumn("b", F.floor(F.col("at") / BLOCK_BYTES))
-        placed = running_total(theirs, same, "b", ["at"], F.lit(1), "nth").drop("b")
-        same = ["old", "h", "nth"]
-    full = rows.drop("size").join(placed.where(F.col("shard").isin(sorted(touched))).select(*same, "shard", "slot"), same).select("doc", "h", "shard", "slot")
-    rewrite(full, path, sizes, touched)
+    if touched:
+        rewrite(with_slots(rows.drop("size"), placed, counts), path, touched)
     return moves
 
 
@@ -261,7 +261,8 @@ def shard_documents(docs: DataFrame, n_new: int = NEW_SHARDS, path: str | None =
     """Writes the documents' shards and gives every row's shard and slot as its file has them.
 
     path: where the files go and stay; without one they go to the shared folder and are deleted once the digest is
-    taken. An empty table gives no row, repeated rows get slots of their own, a null text counts as empty.
+    taken. An empty table gives no row, repeated rows get slots of their own (and, alike in every column, one shard), a null
+    text counts as empty.
     """
     spark = docs.sparkSession
     at = path or f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
