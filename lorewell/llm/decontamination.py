@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import ODD, arrow_text, mix, text_batches, text_slices, word_hashes
+from lorewell.llm.common import arrow_text, text_batches, text_slices, word_hashes
 
 #: Hashed vocabulary, words of a passage of the decomposition, rank and oversampling of the randomised SVD.
 FEATURES, PASSAGE, RANK, OVER = 2048, 64, 48, 8
@@ -32,8 +32,8 @@ WHOLE, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
 #: Bytes of benchmark text of one search, about 10 bytes of broadcast each; more is searched in blocks, each a pass over the documents.
 ITEM_BYTES = 8 << 20
 SLICE, CHUNK_WORDS, OVERLAP = 4 << 20, 300_000, 128
-#: Parts that are matched together.
-PARTS = 128
+#: Parts that are matched together, and bytes of their dense masks that a worker keeps.
+PARTS, DENSE_BYTES = 128, 64 << 20
 SHARDS = 16
 
 
@@ -140,7 +140,7 @@ class Items:
     whole: dict[int, np.ndarray]
     vectors: np.ndarray
     groups: dict[tuple[int, int], np.ndarray]
-    masks: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    masks: dict[tuple[int, int], list[Masks]]
     rare: dict[tuple[int, int], list[Rare]]
 
 
@@ -244,30 +244,44 @@ def lcs(seen: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ~v & low
 
 
-def salts(n: int) -> np.ndarray:
-    """What tells the words of a group's parts apart."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * ODD)
-
-
-def part_masks(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, masks, low): a sorted key for every word of every part, the bits of the word's places there, and each part's bits.
+@dataclass
+class Masks:
+    """For every part and word of a group the bits of the word's places, (part, key, bits) by their places among keys; low: each
+    part's bits. dense() has a row for every part and a last column, of words that are no key, of zeros; what tasks are sent
+    grows with the words alone, and a worker holds the dense form of DENSE_BYTES of groups at most."""
 
-    A key is the word's hash and the part's salt. The last mask, of what is no key, is zero.
-    """
-    own = [np.unique(p ^ salt, return_inverse=True) for p, salt in zip(parts, salts(len(parts)), strict=True)]
-    masks = [np.zeros(len(keys), np.uint64) for keys, _ in own]
-    for m, (_, at) in zip(masks, own, strict=True):
-        np.bitwise_or.at(m, at, np.uint64(1) << np.arange(len(at)).astype(np.uint64))
-    keys = np.concatenate([k for k, _ in own])
-    order = np.argsort(keys)
+    keys: np.ndarray
+    part: np.ndarray
+    key: np.ndarray
+    bits: np.ndarray
+    low: np.ndarray
+
+    def dense(self, held: dict[int, np.ndarray]) -> np.ndarray:
+        if (out := held.get(id(self))) is None:
+            out = np.zeros((len(self.low), len(self.keys) + 1), np.uint64)
+            out[self.part, self.key] = self.bits
+            if sum(x.nbytes for x in held.values()) + out.nbytes <= DENSE_BYTES:
+                held[id(self)] = out
+        return out
+
+
+def part_masks(parts: list[np.ndarray]) -> Masks:
+    keys = np.unique(np.concatenate(parts))
+    rows = []
+    for i, p in enumerate(parts):
+        own, at = np.unique(p, return_inverse=True)
+        bits = np.zeros(len(own), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << np.arange(len(p)).astype(np.uint64))
+        rows.append((np.full(len(own), i), np.searchsorted(keys, own), bits))
     low = np.array([(1 << len(p)) - 1 for p in parts], dtype=np.uint64)
-    return keys[order], np.append(np.concatenate(masks)[order], np.uint64(0)), low
+    return Masks(keys, *(np.concatenate(c) for c in zip(*rows, strict=True)), low)
 
 
 def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[tuple[int, int, int, int, float, int]]:
     """(document, part, words in common, answer words in common, cosine, first word) for every candidate window that passes half
     of the part's words; the same pair may come more than once. Retrieval by words misses no such window."""
     out: list[tuple[int, int, int, int, float, int]] = []
+    held: dict[int, np.ndarray] = {}
     rows_of_g = np.concatenate([space.g - space.mean, np.zeros((1, space.g.shape[1]), np.float32)])
     pad = np.concatenate([h, np.zeros(OVERLAP, np.uint64)])
     padded_docs = np.concatenate([docs, np.full(OVERLAP, -1)])
@@ -308,17 +322,18 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                 x -= cum[a]
                 least = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.float32(COSINE)
                 place_of = np.maximum(lo + block[a] - more, base) - base
-                for g, (keys, masks, low), by_words in zip(range(0, len(group), PARTS), items.masks[blocks, stride], enough, strict=True):
-                    part, salt = group[g : g + PARTS], salts(len(low))
+                for g, own, by_words in zip(range(0, len(group), PARTS), items.masks[blocks, stride], enough, strict=True):
+                    part, keys, low = group[g : g + PARTS], own.keys, own.low
                     dots = x @ items.vectors[part].T
                     w, p = np.nonzero((dots >= np.maximum(least, 1e-9)[:, None]) | by_words[place_of // cell])
+                    masks = own.dense(held) if len(w) else None
                     for c in range(0, len(w), 4_000):
                         cw, cp = w[c : c + 4_000], p[c : c + 4_000]
                         at = np.clip((lo + block[a[cw]] - more)[:, None] + np.arange(blocks * BLOCK + 2 * more), 0, len(h))
-                        words = pad[at] ^ salt[cp][:, None]
+                        words = pad[at]
                         key = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
                         key[(keys[key] != words) | (padded_docs[at] != block_doc[a[cw]][:, None])] = len(keys)
-                        taken = lcs(masks[key], low[cp])
+                        taken = lcs(masks[cp[:, None], key], low[cp])
                         common = np.bitwise_count(taken)
                         hit = np.flatnonzero(common >= PARAPHRASE * np.bitwise_count(low[cp]))
                         answer = np.bitwise_count(taken[hit] & items.part_answer[part[cp[hit]]])

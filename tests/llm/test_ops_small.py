@@ -320,15 +320,15 @@ def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(30):
         a, b = rng.integers(1, 9, 20).astype(np.uint64), rng.integers(1, 9, int(rng.integers(1, 64))).astype(np.uint64)
-        keys, masks, low = decontamination.part_masks([b])
-        salted = a ^ decontamination.salts(1)[0]
-        at = np.minimum(np.searchsorted(keys, salted), len(keys) - 1)
-        at[keys[at] != salted] = len(keys)
+        own = decontamination.part_masks([b])
+        keys, masks, low = own.keys, own.dense({}), own.low
+        at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+        at[keys[at] != a] = len(keys)
         table = np.zeros((len(a) + 1, len(b) + 1), int)
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        assert np.bitwise_count(decontamination.lcs(masks[at][None], low[:1]))[0] == table[-1, -1]
+        assert np.bitwise_count(decontamination.lcs(masks[0][at][None], low[:1]))[0] == table[-1, -1]
         assert decontamination.whole_item(a.tolist(), b)[0] == table[-1, -1]
 
 
