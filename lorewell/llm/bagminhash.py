@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import MIX1, ODD, arrow_text, keep, mix, stash, text_batches, text_slices, uniform, unstash, word_hashes
+from lorewell.llm.common import MIX1, ODD, arrow_text, keep, mix, release, stash, text_batches, text_slices, uniform, unstash, word_hashes
 from lorewell.llm.components import components
 
 SHINGLE = 5
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[some].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), arrays, pa.array([x.tobytes() for x in np.concatenate(short)], pa.binary())], ["doc_id", "h1", "h2", "bands", "sig"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, sig binary")
 

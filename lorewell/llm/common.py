@@ -96,6 +96,17 @@ def arrow_text(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives a worker's free memory back at the end of a task; workers live on, and what they hold adds up over the stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_slices(offsets: np.ndarray, most: int, rows: int = 1 << 30):
     """Ranges of documents of about `most` bytes and at most `rows` each, so that array work stays small; a longer document
     stands alone."""

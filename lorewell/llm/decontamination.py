@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import arrow_text, text_batches, text_slices, word_hashes
+from lorewell.llm.common import arrow_text, release, text_batches, text_slices, word_hashes
 
 #: Hashed vocabulary, words of a passage of the decomposition, rank and oversampling of the randomised SVD.
 FEATURES, PASSAGE, RANK, OVER = 2048, 64, 48, 8
@@ -31,7 +31,9 @@ COMMON, LOOKUP = 0.25, 1 << 16
 WHOLE, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
 #: Bytes of benchmark text of one search, about 10 bytes of broadcast each; more is searched in blocks, each a pass over the documents.
 ITEM_BYTES = 8 << 20
-SLICE, CHUNK_WORDS, OVERLAP = 4 << 20, 300_000, 128
+SLICE, CHUNK_WORDS, OVERLAP = 2 << 20, 150_000, 128
+#: Windows that are compared together.
+CHUNK_WINDOWS = 25_000
 #: Parts that are matched together, and bytes of their dense masks that a worker keeps.
 PARTS, DENSE_BYTES = 128, 64 << 20
 SHARDS = 16
@@ -86,6 +88,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
                 accumulate(h, d, omega, z, df, tf)
         full = np.concatenate([z, df[:, None], tf[:, None], np.full((FEATURES, 1), float(n))], 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([x.tobytes() for x in np.split(full, SHARDS)])], ["i", "m"])
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -316,8 +319,8 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
             # and each document's first and last windows, which are all of a short document
             start = np.concatenate([inner, doc_first, np.maximum(doc_first, doc_end - blocks)])
             end = np.concatenate([inner + blocks, np.minimum(doc_first + blocks, doc_end), doc_end])
-            for s in range(0, len(start), 50_000):
-                a, b = start[s : s + 50_000], end[s : s + 50_000]
+            for s in range(0, len(start), CHUNK_WINDOWS):
+                a, b = start[s : s + CHUNK_WINDOWS], end[s : s + CHUNK_WINDOWS]
                 x = cum[b]
                 x -= cum[a]
                 least = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.float32(COSINE)
@@ -466,6 +469,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64()))
                 cols = [pa.array([r[k] for r in found], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.bool_()), (5, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[r[1]] for r in found], pa.int64()), *cols], ["doc_id", "item_id", "words_common", "item_words", "answer_found", "cosine"])
+            release()
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out
@@ -487,6 +491,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[r[0] for r in leaks_of_batch(batch.column(at), space, items)]] = False
                 yield batch.filter(pa.array(clean))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import ODD, arrow_text, mix, text_batches, text_slices
+from lorewell.llm.common import ODD, arrow_text, mix, release, text_batches, text_slices
 
 #: Bounds of the labelled sample: so many distinct texts of each language; and of the model: so many words, and n-grams of an
 #: order, of each language, the most frequent ones.
@@ -28,7 +28,7 @@ EVIDENCE_WORDS = 20.0
 UND = "und"
 LEAST_SEEN = 3
 #: Bytes of text that are worked on together.
-SLICE = 512 << 10
+SLICE = 256 << 10
 #: Code points up to here are looked up; above, the ideographs to CJK_END are letters.
 TABLE, CJK_END = 0x20000, 0x323B0
 
@@ -43,7 +43,6 @@ def small_letters() -> np.ndarray:
     return out
 
 
-@cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
     base = int(ODD)
@@ -55,6 +54,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+@cache
+def usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(SLICE + (1 << 16))
+
+
 class Stretch:
     """Some texts as one array of small letters, 0 between words and texts; words has the start and end of each word, docs its
     text. Any run of the array has a hash."""
@@ -79,9 +83,10 @@ class Stretch:
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
         self.docs = np.searchsorted(np.cumsum(chars) + np.arange(1, n + 1), self.starts, side="left")
-        size = 1 << max(16, (len(full) - 1).bit_length())
-        self.power, self.inverse = powers(size) if size <= 1 << 21 else powers.__wrapped__(size)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((full.astype(np.uint64) + np.uint64(1)) * ODD) * self.power[: len(full)], dtype=np.uint64)])
+        usual = usual_powers()
+        power, self.inverse = usual if len(full) <= len(usual[0]) else powers(len(full))
+        self.sums = np.zeros(len(full) + 1, np.uint64)
+        np.cumsum(mix((full.astype(np.uint64) + np.uint64(1)) * ODD) * power[: len(full)], dtype=np.uint64, out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + np.uint64(salt * int(ODD) % (1 << 64)))
@@ -252,7 +257,7 @@ def predict(df: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         for batch in batches:
             best, score = tell(batch.column(len(columns)), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(names[best], pa.string()), pa.array(score)], schema.names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -281,6 +286,6 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
         for batch in batches:
             best, score = tell(batch.column(at), shared.value)
             yield batch.filter(pa.array((best >= 0) & (score >= least)))
-        pa.default_memory_pool().release_unused()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
