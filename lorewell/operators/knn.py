@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorewell.session import settled
+
 #: Queries that are broadcast at once.
 QUERIES = 10_000
 
@@ -52,23 +57,68 @@ def retriever(index: DataFrame, k: int = 4) -> Callable[[DataFrame], DataFrame]:
 def batch_topk(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", by: list[str] | None = None) -> DataFrame:
     """J5 + W2: k neighbours of every query; queries have query_id and q.
 
-    by: columns that must agree (a filter per query). Ranks beyond k never leave their partition. At most QUERIES queries
-    are sent to all executors at once; more are searched in blocks.
+    by: columns that must agree (a filter per query); nulls never do. The queries are read once, QUERIES of them are sent to all
+    executors at once, and every batch of the index meets them in one product and gives k rows a query. Vectors that are
+    null, hold nulls or have another length than the query have no distance to it.
     """
     by = by or []
-    asked = queries.select("query_id", "q", *by)
-    blocks = max(1, -(-asked.count() // QUERIES))
-    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked for b in range(blocks)]
-    rows = index.select(key, vector, *by)
-    pairs = reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), by or None, "inner") for p in parts])
-    pairs = pairs.select("query_id", key, squared_l2(F.col(vector), F.col("q")).alias("score")).where("score is not null")
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)))
+    sound = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    same = F.to_json(F.struct(*by)) if by else F.lit("")
+    known = reduce(lambda x, c: x & F.col(c).isNotNull(), by, F.lit(True))
+    asked = queries.where(sound("q") & known).select("query_id", F.col("q").cast("array<double>").alias("q"), same.alias("same")).toArrow()
+    rows = index.where(sound(vector) & known).select(key, F.col(vector).cast("array<double>").alias("v"), same.alias("same"))
+    schema = index.select(key).schema
+    kinds = {key: schema[key].dataType, "query_id": queries.select("query_id").schema["query_id"].dataType}
+    out = index.sparkSession.createDataFrame([], f"query_id {kinds['query_id'].simpleString()}, `{key}` {kinds[key].simpleString()}, score double")
+    for at in range(0, asked.num_rows, QUERIES):
+        shared = index.sparkSession.sparkContext.broadcast(asked.slice(at, QUERIES).combine_chunks())
+        out = out.unionByName(rows.mapInArrow(_nearest(shared, k, key), out.schema))
+    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)))
     return ranked.where(F.col("rank") <= k)
 
 
+def _nearest(shared, k: int, key: str):
+    """The k nearest of every batch for each query: a product finds them, and differences in double precision score them."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def groups(lists: pa.Array, same: pa.Array) -> dict[tuple, np.ndarray]:
+        sizes, names = pa.compute.list_value_length(lists).to_numpy(), same.to_pylist()
+        out: dict[tuple, list[int]] = {}
+        for i, g in enumerate(zip(sizes.tolist(), names, strict=True)):
+            out.setdefault(g, []).append(i)
+        return {g: np.array(v) for g, v in out.items() if g[0]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        ids, lists = asked.column("query_id").combine_chunks(), asked.column("q").combine_chunks()
+        asks = groups(lists, asked.column("same").combine_chunks())
+        wanted = {g: matrix(lists.take(pa.array(at))) for g, at in asks.items()}
+        for batch in batches:
+            for g, own in groups(batch.column("v"), batch.column("same")).items():
+                if g not in asks:
+                    continue
+                x, all_q = matrix(batch.column("v").take(pa.array(own))), wanted[g]
+                square = (x * x).sum(1)
+                for lo in range(0, len(all_q), 512):
+                    q = all_q[lo : lo + 512]
+                    about = square[None] + (q * q).sum(1)[:, None] - 2 * q @ x.T
+                    if len(x) > k:
+                        # what the product's rounding may have put behind the k-th stays in
+                        slack = 1e-9 * (square.max() + (q * q).sum(1) + 1)
+                        row, col = np.nonzero(~(about > (np.partition(about, k - 1, axis=1)[:, k - 1] + slack)[:, None]))
+                    else:
+                        row, col = (c.ravel() for c in np.indices(about.shape))
+                    score = np.concatenate([((x[col[i : i + 50_000]] - q[row[i : i + 50_000]]) ** 2).sum(1) for i in range(0, len(row), 50_000)] or [np.zeros(0)])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(asks[g][lo + row])), batch.column(key).take(pa.array(own[col])), pa.array(score)], ["query_id", key, "score"])
+
+    return run
+
+
 def batch_topk_with_fallback(index: DataFrame, queries: DataFrame, k: int, by: list[str], **kw) -> DataFrame:
     """T5 for many queries: those without a filtered hit search the whole index."""
-    hit = batch_topk(index, queries, k, by=by, **kw)
+    hit = settled(batch_topk(index, queries, k, by=by, **kw))
     missed = queries.join(hit.select("query_id").distinct(), "query_id", "left_anti")
     return hit.withColumn("fallback", F.lit(False)).unionByName(batch_topk(index, missed, k, **kw).withColumn("fallback", F.lit(True)))
 
@@ -78,8 +128,6 @@ def lsh_topk(index: DataFrame, queries: DataFrame, k: int, dim: int, n_tables: i
 
     Each table hashes to floor(<a, x> / width + b). A pair that shares any of the tables' keys is a candidate.
     """
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     a, b = rng.normal(size=(n_tables, dim)), rng.uniform(size=n_tables)
 

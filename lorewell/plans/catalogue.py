@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
 from lorewell.operators import catalog, chat, context, export, index, knn, memory
-from lorewell.session import table
+from lorewell.session import settled, table
 from lorewell.sources import files, knowledge, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,7 +484,7 @@ def chat_turns(spark, d):
     names = F.array(*[F.lit(r[0]) for r in CHARS])
     turns = table(spark, d, "conversations").withColumn("name", F.element_at(names, (F.col("conv_id") % len(CHARS) + 1).cast("int")))
     rows = table(spark, d, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("title"), F.lit("benchmark").alias("source"), F.lit("").alias("url"), F.element_at(names, (F.col("item_id") % 3 + 1).cast("int")).alias("character"), F.col("text").alias("content"))
-    idx = embed(index.chunks_of(rows), "content")
+    idx = settled(embed(index.chunks_of(rows), "content"))
     said = chat.chat(turns, chars(spark), idx)
     return said.select("conv_id", "turn", "name", "reply", F.size("messages").alias("n_messages"))
 
