@@ -286,7 +286,6 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
     out: list[tuple[int, int, int, int, float, int]] = []
     held: dict[int, np.ndarray] = {}
     rows_of_g = np.concatenate([space.g - space.mean, np.zeros((1, space.g.shape[1]), np.float32)])
-    pad = np.concatenate([h, np.zeros(OVERLAP, np.uint64)])
     padded_docs = np.concatenate([docs, np.full(OVERLAP, -1)])
     for lo in range(0, len(h), CHUNK_WORDS):
         hi = min(len(h), lo + CHUNK_WORDS + OVERLAP)
@@ -319,6 +318,7 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
             # and each document's first and last windows, which are all of a short document
             start = np.concatenate([inner, doc_first, np.maximum(doc_first, doc_end - blocks)])
             end = np.concatenate([inner + blocks, np.minimum(doc_first + blocks, doc_end), doc_end])
+            looked_up: dict[int, np.ndarray] = {}
             for s in range(0, len(start), CHUNK_WINDOWS):
                 a, b = start[s : s + CHUNK_WINDOWS], end[s : s + CHUNK_WINDOWS]
                 x = cum[b]
@@ -329,13 +329,19 @@ def search(h: np.ndarray, docs: np.ndarray, space: Space, items: Items) -> list[
                     part, keys, low = group[g : g + PARTS], own.keys, own.low
                     dots = x @ items.vectors[part].T
                     w, p = np.nonzero((dots >= np.maximum(least, 1e-9)[:, None]) | by_words[place_of // cell])
-                    masks = own.dense(held) if len(w) else None
+                    if not len(w):
+                        continue
+                    masks = own.dense(held)
+                    # every word of the chunk is looked up once, whatever windows it is in
+                    if g not in looked_up:
+                        found = np.minimum(np.searchsorted(keys, around), len(keys) - 1)
+                        looked_up[g] = np.append(np.where(keys[found] == around, found, len(keys)), len(keys)).astype(np.int32)
+                    known = looked_up[g]
                     for c in range(0, len(w), 4_000):
                         cw, cp = w[c : c + 4_000], p[c : c + 4_000]
                         at = np.clip((lo + block[a[cw]] - more)[:, None] + np.arange(blocks * BLOCK + 2 * more), 0, len(h))
-                        words = pad[at]
-                        key = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                        key[(keys[key] != words) | (padded_docs[at] != block_doc[a[cw]][:, None])] = len(keys)
+                        key = known[np.minimum(at - base, len(around))]
+                        key[padded_docs[at] != block_doc[a[cw]][:, None]] = len(keys)
                         taken = lcs(masks[cp[:, None], key], low[cp])
                         common = np.bitwise_count(taken)
                         hit = np.flatnonzero(common >= PARAPHRASE * np.bitwise_count(low[cp]))
