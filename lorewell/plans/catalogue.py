@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
 from lorewell.operators import catalog, chat, context, export, index, knn, memory
-from lorewell.session import settled, table
-from lorewell.sources import files, knowledge, pages
+from lorewell.session import remove, scratch, settled, table
+from lorewell.sources import catalog_files, fetch, files, knowledge, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,6 +489,75 @@ def chat_turns(spark, d):
     return said.select("conv_id", "turn", "name", "reply", F.size("messages").alias("n_messages"))
 
 
+# --- files and fetching: written to the shared folder by the sinks, read back by the sources (S1, S2, S9, S16, F5, H8, K1, K4, K5, L1) ---
+
+
+def _read_back(spark, write, read):
+    """What read() finds in a new folder after write(); the folder is deleted."""
+    path = scratch(spark)
+    write(path)
+    found = settled(read(path))
+    remove(spark, path)
+    return found
+
+
+@query("SELECT 'biography_item ' || item_id || '_benchmark.txt' AS file, 'item ' || item_id AS title, 'benchmark' AS source, '' AS url, 'item ' || item_id AS character, 'biography' AS category, text AS content FROM benchmark")
+def kb_files(spark, d):
+    """One named file an item."""
+    name = F.concat(F.lit("item "), "item_id")
+    rows = table(spark, d, "benchmark").select(name.alias("title"), F.lit("benchmark").alias("source"), F.lit("").alias("url"), F.lit("biography").alias("category"), name.alias("character"), F.col("text").alias("content"))
+    return _read_back(spark, lambda p: knowledge.write_files(knowledge.render(rows), p), lambda p: knowledge.read_knowledge(spark, p).select("file", "title", "source", "url", "character", "category", "content"))
+
+
+@query("SELECT n_name AS name, 'region ' || n_regionkey AS dynasty, 'nation ' || n_nationkey AS title FROM nation")
+def catalog_files_read(spark, d):
+    """A YAML file for each nation (JSON is YAML)."""
+    rest = [F.lit("x").alias(c) for c in catalog_files.TEXTS[3:]]
+    record = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("region "), "n_regionkey").alias("dynasty"), F.concat(F.lit("nation "), "n_nationkey").alias("title"), *rest)
+    rows = table(spark, d, "nation").select(F.concat("n_nationkey", F.lit(".yaml")).alias("file"), F.to_json(record).alias("value"))
+    return _read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: catalog_files.read_catalog(spark, p).select("name", "dynasty", "title"))
+
+
+@query("SELECT item_id || CASE item_id % 3 WHEN 0 THEN '.txt' ELSE '.MD' END AS file, 0 AS page, text AS content FROM benchmark WHERE item_id % 3 < 2")
+def directory_scan(spark, d):
+    """Files of two known suffixes and an unknown one."""
+    suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".MD"), F.lit(".csv")), (F.col("item_id") % 3 + 1).cast("int"))
+    rows = table(spark, d, "benchmark").select(F.concat("item_id", suffix).alias("file"), F.col("text").alias("value"))
+    return _read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: files.load_directory(spark, p).select(F.substring_index("source_file", "/", -1).alias("file"), "page", "content"))
+
+
+@query("SELECT url, 'page ' || min(page_id) AS title, '2024-01-01' AS time FROM pages GROUP BY url")
+def page_cache_file(spark, d):
+    """The cache as a JSON file."""
+    cache = table(spark, d, "pages").groupBy("url").agg(F.concat(F.lit("page "), F.min("page_id")).alias("title"), F.lit("2024-01-01").alias("time"))
+    return _read_back(spark, lambda p: pages.write_cache(cache, f"{p}/cache.json"), lambda p: pages.read_cache(spark, f"{p}/cache.json"))
+
+
+def _by_length(url: str) -> tuple[int, str | None]:
+    if len(url) % 3 == 1:
+        raise ConnectionError(url)
+    return (403, None) if len(url) % 3 == 0 else (200, url.upper())
+
+
+@query("SELECT page_id, CASE length(url) % 3 WHEN 0 THEN 403 WHEN 2 THEN 200 END AS status, CASE length(url) % 3 WHEN 2 THEN 1 ELSE 3 END AS attempts, CASE length(url) % 3 WHEN 2 THEN upper(url) END AS html FROM pages")
+def page_fetch(spark, d):
+    """F5, H8 with a plug-in whose answer is told by the url's length."""
+    got = fetch.fetch(table(spark, d, "pages").select("page_id", "url"), _by_length, blocked_wait=0, error_wait=0)
+    return got.select("page_id", "status", "attempts", "html")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '\\S')")
+def index_documents(spark, d):
+    """K5, L1: the documents that a written index holds after it was ensured twice."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+
+    def write(path):
+        for _ in range(2):
+            index.ensure(spark, path, docs)
+
+    return _read_back(spark, write, lambda p: spark.read.parquet(p).select("doc_id", "lang").distinct())
+
+
 # --- extensions (X in the survey): relational shapes the reference lacks ---
 
 

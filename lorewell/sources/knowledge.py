@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import safe_filename, strip
+from lorewell.sources.sinks import write_file
 
 # Header markers, and the defaults of missing fields.
 MARKS = {"title": "# ", "source": "【来源】", "url": "【URL】", "character": "【人物】", "category": "【分类】"}
 DEFAULTS = {"title": "", "source": "未知", "url": "", "character": "", "category": "biography"}
 HEADER_LINES = 10
+# Fixed value: how names of built-in files end.
+BUILTIN = "内置"
+
+
+def _file_name() -> Column:
+    """The name of the file that a row comes from; Spark gives it in the form of a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Whole files with their names; header included."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("file"))
+    return files.select(F.col("value").alias("content"), _file_name().alias("file"))
 
 
 def parse(files: DataFrame, compat_prefix: bool = False) -> DataFrame:
@@ -46,13 +57,13 @@ def parse(files: DataFrame, compat_prefix: bool = False) -> DataFrame:
 def read_knowledge(spark: SparkSession, path: str, compat_prefix: bool = False) -> DataFrame:
     """The *.txt files right below path; files with invalid UTF-8 are skipped."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    text = files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("content").cast("string").alias("content"), F.col("_metadata.file_name").alias("file"))
+    text = files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("content").cast("string").alias("content"), _file_name().alias("file"))
     return parse(text, compat_prefix)
 
 
-def render(rows: DataFrame) -> DataFrame:
-    """K1 and K2: (file, value) for rows with title, source, url, category, character, content."""
-    name = safe_filename(F.concat_ws("_", "category", "character", "source"))
+def render(rows: DataFrame, tag: Column | None = None) -> DataFrame:
+    """K1 and K2: (file, value) for rows with title, source, url, category, character, content; tag ends the file name, as a rule the source."""
+    name = safe_filename(F.concat_ws("_", "category", "character", F.col("source") if tag is None else tag))
     # The file template.
     value = F.concat(
         F.lit("# "), "title", F.lit("\n\n【来源】"), "source", F.lit("\n【URL】"), "url", F.lit("\n【分类】"), "category", F.lit("\n【人物】"), "character", F.lit("\n\n---\n\n"), "content", F.lit("\n"),
@@ -61,13 +72,22 @@ def render(rows: DataFrame) -> DataFrame:
 
 
 def builtin_rows(corpus: DataFrame) -> DataFrame:
-    """K2: (name, dynasty, content) as knowledge rows."""
+    """K2: (name, dynasty, content) as knowledge rows; render them with BUILTIN as the tag."""
     return corpus.select(F.col("name").alias("title"), F.lit("内置知识库").alias("source"), F.lit("").alias("url"), F.lit("biography").alias("category"), F.col("name").alias("character"), "content")
 
 
-def write_files(rendered: DataFrame, path: str) -> None:
-    """One directory per file name, one part file each: Spark writers own the names of part files."""
-    rendered.write.mode("overwrite").partitionBy("file").text(path)
+def write_files(rendered: DataFrame, path: str) -> int:
+    """K1-K3: one file per name right below path, written by the executors; their number.
+
+    Of several rows of one name the greatest value stays. Files of other names stay as they are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"bytes": [write_file(path, f, [v.encode()]) for f, v in zip(batch["file"], batch["value"], strict=True)]})
+
+    rows = rendered.where("file is not null").groupBy("file").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+    return rows.mapInPandas(run, "bytes long").count()
 
 
 def raw_rows(rows: DataFrame) -> DataFrame:

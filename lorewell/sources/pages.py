@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.sources.sinks import write_file
+
 MIN_CHARS, MAX_CHARS = 50, 5000
 
 
@@ -49,16 +52,20 @@ def gate(docs: DataFrame, column: str = "content") -> DataFrame:
 class Selectors:
     """What a site is read by; (tag, class) with class None for any."""
 
+    # The selectors of the first site.
     title: tuple[tuple[str, str | None], ...] = (("h1", None), ("dd", "lemmaWgt-lemmaTitle-title"))
     root: tuple[tuple[str, str | None], ...] = (("div", "main-content"), ("div", "lemma-summary"), ("div", "para"))
     drop: tuple[str, ...] = ("script", "style", "sup", "a")
     paragraphs: bool = True
     keep_empty: bool = False
+    #: A root without paragraphs is one paragraph.
+    whole: bool = True
     separator: str = ""
 
 
+# The selectors of the other two sites.
 #: The other two sites: S12 keeps empty paragraphs, S13 joins all text nodes of the root by line.
-WIKI = Selectors(root=(("div", "mw-parser-output"),), drop=(), keep_empty=True)
+WIKI = Selectors(root=(("div", "mw-parser-output"),), drop=(), keep_empty=True, whole=False)
 BAIKE_V1 = Selectors(drop=("script", "style", "sup"), root=(("div", "main-content"),), paragraphs=False, separator="\n")
 ARTICLE = Selectors(root=(("article", None),))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -136,20 +143,23 @@ def extract(html: str | None, name: str, sel: Selectors = ARTICLE) -> tuple[str,
         return heading, None
     if not sel.paragraphs:
         return heading, sel.separator.join(root.texts(sel.drop))
-    inner = [n for n in root.walk() if n.tag == "p"] or [root]
+    inner = [n for n in root.walk() if n.tag == "p"] or [root] * sel.whole
     lines = ["".join(p.texts((*sel.drop, "p"))) for p in inner]
     return heading, "\n".join(x for x in lines if x or sel.keep_empty)
 
 
-def extract_pages(pages: DataFrame, sel: Selectors = ARTICLE) -> DataFrame:
-    """H3-H6 over (url, html): url, title, content, ok; the url names a page without a title."""
+def extract_pages(pages: DataFrame, sel: Selectors = ARTICLE, name: str = "url", carry: list[str] | None = None) -> DataFrame:
+    """H3-H6 over (url, html): url, title, content, ok, and the carried columns; `name` names a page without a title."""
+    columns = list(dict.fromkeys(["url", "html", name, *(carry or [])]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [extract(h, u, sel) for u, h in zip(batch["url"], batch["html"], strict=True)]
-            yield pd.DataFrame({"url": batch["url"], "title": [t for t, _ in found], "content": [c for _, c in found], "ok": [c is not None and len(c) >= MIN_CHARS for _, c in found]})
+            found = [extract(h, n, sel) for n, h in zip(batch[name], batch["html"], strict=True)]
+            out = {"url": batch["url"], "title": [t for t, _ in found], "content": [c for _, c in found], "ok": [c is not None and len(c) >= MIN_CHARS for _, c in found]}
+            yield pd.DataFrame(out | {c: batch[c] for c in carry or []})
 
-    return pages.select("url", "html").mapInPandas(run, "url string, title string, content string, ok boolean")
+    schema = "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in carry or [])
+    return pages.select(*columns).mapInPandas(run, f"url string, title string, content string, ok boolean{schema}")
 
 
 def crawl_rows(extracted: DataFrame, character: Column, source: str = "百度百科", category: str = "biography") -> DataFrame:
@@ -170,3 +180,24 @@ def merge_cache(cache: DataFrame, crawled: DataFrame, day: str) -> DataFrame:
     new = crawled.select("url", "title", F.lit(day).alias("time"))
     both = cache.select("url", "title", "time").withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
     return both.groupBy("url").agg(F.max_by(F.struct("title", "time"), F.struct("o", "time", "title")).alias("v")).select("url", "v.*")
+
+
+def write_cache(cache: DataFrame, path: str) -> None:
+    """K4: the cache as one JSON object at path, by url. One task writes it row by row, as the format is one file; an empty cache is {}."""
+    folder, _, name = path.rpartition("/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[bytes]:
+            mark = "{\n"
+            for batch in batches:
+                for url, title, time in zip(batch["url"], batch["title"], batch["time"], strict=True):
+                    entry = json.dumps({"title": title, "time": time}, ensure_ascii=False)
+                    yield f"{mark}  {json.dumps(url, ensure_ascii=False)}: {entry}".encode()
+                    mark = ",\n"
+            yield b"{}\n" if mark[0] == "{" else b"\n}\n"
+
+        yield pd.DataFrame({"bytes": [write_file(folder, name, parts())]})
+
+    rows = cache.where("url is not null").select("url", "title", "time").coalesce(1).sortWithinPartitions("url")
+    if not rows.mapInPandas(run, "bytes long").count():
+        write_file(folder, name, [b"{}\n"])

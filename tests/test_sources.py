@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.config import load_settings
-from lorewell.sources import catalog_files, files, knowledge, pages
+from lorewell.sources import catalog_files, fetch, files, knowledge, pages
 
 FULL = "# 黄帝\n\n【来源】百度百科\n【URL】http://a\n【分类】biography\n【人物】黄帝\n\n---\n\n第一行\n--- 中\n第二行\n"
 
@@ -45,16 +45,17 @@ def test_read_knowledge_skips_bad_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(FULL, encoding="utf-8")
     (tmp_path / "b.txt").write_bytes(b"# x\n\xff\xfe\n---\ny")
     (tmp_path / "c.md").write_text("no")
+    (tmp_path / "传 1+%20.txt").write_text(FULL, encoding="utf-8")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/d.txt").write_text(FULL, encoding="utf-8")
-    assert [r["file"] for r in knowledge.read_knowledge(spark, str(tmp_path)).collect()] == ["a.txt"]
+    assert [r["file"] for r in knowledge.read_knowledge(spark, str(tmp_path)).orderBy("file").collect()] == ["a.txt", "传 1+%20.txt"]
     assert knowledge.read_raw(spark, str(tmp_path / "a.txt")).first()["content"] == FULL
 
 
 def test_round_trip(spark):
     rows = spark.createDataFrame([("黄帝", "dyn", "文"), ("a/b", "dyn", "x")], "name string, dynasty string, content string")
-    rendered = knowledge.render(knowledge.builtin_rows(rows))
-    assert {r["file"] for r in rendered.collect()} == {"biography_黄帝_内置知识库.txt", "biography_a_b_内置知识库.txt"}
+    rendered = knowledge.render(knowledge.builtin_rows(rows), F.lit(knowledge.BUILTIN))
+    assert {r["file"] for r in rendered.collect()} == {"biography_黄帝_内置.txt", "biography_a_b_内置.txt"}
     back = knowledge.parse(rendered.withColumnRenamed("value", "content")).select("character", "content").collect()
     assert {tuple(r) for r in back} == {("黄帝", "文"), ("a/b", "x")}
 
@@ -118,3 +119,51 @@ def test_settings(tmp_path):
     (tmp_path / ".env").write_text("# c\nMAX_HISTORY=4\nVERBOSE=false\nOTHER=1\n")
     s = load_settings(str(tmp_path / ".env"), {"rag_top_k": "7"})
     assert (s.max_history, s.verbose, s.rag_top_k, s.temperature) == (4, False, 7, 0.8)
+
+
+def test_named_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "1"), ("a.txt", "2"), ("b c.txt", None), (None, "x"), ("史.txt", "文\n")], "file string, value string")
+    out = tmp_path / "kb"
+    for _ in range(2):
+        assert knowledge.write_files(rows, f"file:{out}") == 3
+    assert {f.name: f.read_text(encoding="utf-8") for f in out.iterdir() if not f.name.startswith(".")} == {"a.txt": "2", "b c.txt": "", "史.txt": "文\n"}
+    assert knowledge.write_files(rows.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_cache_file(spark, tmp_path):
+    path = str(tmp_path / "c.json")
+    rows = [("u\"1", "题", "2024-01-01"), ("u2", None, "2024-01-02")]
+    pages.write_cache(spark.createDataFrame([*rows, (None, "x", "y")], "url string, title string, time string"), path)
+    assert json.loads((tmp_path / "c.json").read_text(encoding="utf-8")) == {u: {"title": t, "time": d} for u, t, d in rows}
+    assert {tuple(r) for r in pages.read_cache(spark, path).collect()} == set(rows)
+    pages.write_cache(spark.createDataFrame([], "url string, title string, time string"), path)
+    assert json.loads((tmp_path / "c.json").read_text()) == {} and pages.read_cache(spark, path).count() == 0
+
+
+def _answers(url):
+    if "error" in url:
+        raise OSError("down")
+    body = "<h1>T</h1><div class='main-content'>" + "".join(f"<p>{'x' * 30}</p>" for _ in range(1 if "short" in url else 2)) + "</div>"
+    return (403, None) if "blocked" in url else (200, body)
+
+
+def test_fetch(spark):
+    urls = spark.createDataFrame([("a", 1), ("blocked", 2), ("error", 3), (None, 4)], "url string, extra int")
+    got = {r["extra"]: (r["status"], r["attempts"], r["error"]) for r in fetch.fetch(urls, _answers, blocked_wait=0, error_wait=0).collect()}
+    assert got == {1: (200, 1, None), 2: (403, 3, None), 3: (None, 3, "OSError: down"), 4: (None, 0, None)}
+    assert fetch.ok_pages(fetch.fetch(urls)).count() == 0
+
+
+def test_crawl(spark, tmp_path):
+    names = spark.createDataFrame([(n,) for n in ("good", "short", "blocked", "error", "seen")], "name string")
+    cache = spark.createDataFrame([("https://baike.baidu.com/item/seen",)], "url string")
+    got = fetch.crawl(names, str(tmp_path / "p"), _answers, cache, blocked_wait=0, error_wait=0).collect()
+    assert [(r["title"], r["character"], r["source"], r["category"], len(r["content"])) for r in got] == [("T", "good", "百度百科", "biography", 61)]
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+
+
+def test_crawl_sources(spark, tmp_path):
+    names = spark.createDataFrame([("good",), ("error",)], "name string")
+    got = fetch.crawl_sources(names, str(tmp_path / "p"), _answers).collect()
+    assert [(r["source"], r["character"], r["content"]) for r in got] == [("百度百科-good", "good", "x" * 30 + "\n" + "x" * 30)]
+    assert pages.extract('<div class="mw-parser-output">bare</div>', "n", pages.WIKI)[1] == ""
