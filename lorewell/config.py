@@ -1,6 +1,6 @@
 """Engine settings from the environment.
 
-Unlike a settings object that nobody reads, every field here is a default of an operator parameter.
+The engine reads rag_top_k and max_history; the other fields are for plug-ins (embedders, generators) and front ends.
 """
 
 from __future__ import annotations

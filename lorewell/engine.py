@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +110,10 @@ class Engine:
 
     def messages(self) -> DataFrame:
         """All remembered messages; none before the first chat."""
-        self.spark.createDataFrame([], MESSAGE).write.mode("append").parquet(self._memory_path)
-        return self.spark.read.schema(MESSAGE).parquet(self._memory_path)
+        try:
+            return self.spark.read.schema(MESSAGE).parquet(self._memory_path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], MESSAGE)
 
     def history(self, session: str | None = None) -> DataFrame:
         """The last messages since the last clear."""

@@ -31,22 +31,28 @@ def where_equal(df: DataFrame, filters: dict | None) -> DataFrame:
     return df
 
 
+def scored(index: DataFrame, query: DataFrame, filters: dict | None, vector: str) -> DataFrame:
+    """The filtered rows that have a distance to the query."""
+    both = where_equal(index, filters).join(F.broadcast(query.select(F.col(vector).alias("q")).limit(1)))
+    return both.withColumn("score", squared_l2(F.col(vector), F.col("q"))).drop("q").where("score is not null")
+
+
 def topk(index: DataFrame, query: DataFrame, k: int = 4, filters: dict | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The k rows nearest to one query vector (one row with column q), with score and rank.
 
     The score is the squared L2 distance (lower is better); ties go to the smaller key.
     """
-    scored = where_equal(index, filters).join(F.broadcast(query.select(F.col(vector).alias("q")).limit(1))).withColumn("score", squared_l2(F.col(vector), F.col("q"))).drop("q")
-    best = scored.where(F.col("score").isNotNull()).orderBy("score", key).limit(k)
+    best = scored(index, query, filters, vector).orderBy("score", key).limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy("score", key)))
 
 
 def topk_with_fallback(index: DataFrame, query: DataFrame, k: int, filters: dict, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """T5: filtered search; only if that has no row at all, unfiltered search."""
-    hit = topk(index, query, k, filters, vector, key).withColumn("fallback", F.lit(False))
-    rest = topk(index, query, k, None, vector, key).withColumn("fallback", F.lit(True))
-    none = hit.agg(F.count(F.lit(1)).alias("n_hit"))
-    return hit.unionByName(rest.join(F.broadcast(none)).where("n_hit = 0").drop("n_hit"))
+    """T5: filtered search; only if that has no row at all, unfiltered search.
+
+    Whether the filter leaves a row is asked first, which ends at the first one, so that only one of the two searches is planned.
+    """
+    found = not scored(index, query, filters, vector).isEmpty()
+    return topk(index, query, k, filters if found else None, vector, key).withColumn("fallback", F.lit(not found))
 
 
 def retriever(index: DataFrame, k: int = 4) -> Callable[[DataFrame], DataFrame]:

@@ -30,7 +30,8 @@ def test_fallback_only_without_hits(vectors):
     few = vectors.where("label <> 3 or vec_id < 40")
     hit = knn.topk_with_fallback(few, q, 50, {"label": 3}).collect()
     assert hit and len(hit) < 50 and not any(r["fallback"] for r in hit)
-    assert all(r["fallback"] for r in knn.topk_with_fallback(vectors, q, 3, {"label": -1}).collect())
+    missed = knn.topk_with_fallback(vectors, q, 3, {"label": -1})
+    assert missed.count() == 3 and all(r["fallback"] for r in missed.collect())
 
 
 def test_batch_fallback(vectors):
