@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lorewell.llm.bagminhash import op7_bagminhash
+from lorewell.llm.bpe import op13_bpe
 from lorewell.llm.decontamination import op4_decontamination
 from lorewell.llm.hamming import op9_hamming
 from lorewell.llm.langid import op10_langid
@@ -16,7 +17,7 @@ from lorewell.llm.secrets_scan import op1_secrets
 
 
 def queries():
-    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid]
+    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid, op13_bpe]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
