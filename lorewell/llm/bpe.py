@@ -11,9 +11,9 @@ fragments at once; a run of n bytes that has no letter before white space is one
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -261,13 +261,11 @@ class Encoder:
         return b"".join(map(self.v.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(shared) -> Encoder:
-    return Encoder(shared.value)
-
-
 class Tokenizer:
-    """Column expressions over a vocabulary that the executors are sent once (a few MB, whatever the data)."""
+    """Column expressions over a vocabulary that the executors are sent once (a few MB, whatever the data).
+
+    They take iterators, so that Spark runs each by itself: decode() of encode() does not encode twice.
+    """
 
     def __init__(self, spark, path: str):
         self.shared = spark.sparkContext.broadcast(Vocabulary.read(path))
@@ -277,8 +275,10 @@ class Tokenizer:
         """Token ids as little-endian unsigned 32-bit words, in binary. Null and empty texts give no bytes."""
         shared = self.shared
 
-        def ids(texts: pa.Array) -> pa.Array:
-            return pa.array(_encoder(shared).encode(texts.to_pylist()), pa.binary())
+        def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = Encoder(shared.value)
+            for texts in batches:
+                yield pa.array(encoder.encode(texts.to_pylist()), pa.binary())
 
         return F.arrow_udf(ids, "binary")(text)
 
@@ -286,8 +286,10 @@ class Tokenizer:
         """The text of such ids. Null and empty ids give the empty text."""
         shared = self.shared
 
-        def texts(column: pa.Array) -> pa.Array:
-            return pa.array([_encoder(shared).decode(x.as_py()) for x in column], pa.string())
+        def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            decoder = Encoder(shared.value)
+            for column in batches:
+                yield pa.array([decoder.decode(x.as_py()) for x in column], pa.string())
 
         return F.arrow_udf(texts, "string")(ids)
 
