@@ -9,6 +9,7 @@ from lorewell.llm.decontamination import op4_decontamination
 from lorewell.llm.hamming import op9_hamming
 from lorewell.llm.langid import op10_langid
 from lorewell.llm.mixing import OP5_SQL, op5_mixing
+from lorewell.llm.product_codes import op12_va_codes
 from lorewell.llm.pseudonyms import op3_pseudonyms
 from lorewell.llm.quality import op8_quality
 from lorewell.llm.repeats import OP2_SQL, op2_repeats
@@ -17,7 +18,7 @@ from lorewell.llm.secrets_scan import op1_secrets
 
 
 def queries():
-    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid, op13_bpe]
+    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid, op12_va_codes, op13_bpe]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
