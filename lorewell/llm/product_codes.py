@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import free_name, release, stash
+from lorewell.llm.common import free_name, keep, release
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Bits a coordinate of an entry is quantised to, query parts that are worked on at once, and the greatest component.
@@ -196,6 +196,6 @@ def op12_va_codes(spark, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     books = learn(rows)
-    found, _ = stash(encode(rows, books))
+    found = keep(encode(rows, books))
     totals = found.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
     return found.join(totals, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

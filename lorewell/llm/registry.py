@@ -15,10 +15,11 @@ from lorewell.llm.quality import op8_quality
 from lorewell.llm.repeats import OP2_SQL, op2_repeats
 from lorewell.llm.resharding import op6_sharding
 from lorewell.llm.secrets_scan import op1_secrets
+from lorewell.llm.trie import op11_prefix_trie
 
 
 def queries():
-    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid, op12_va_codes, op13_bpe]
+    found = [op1_secrets, op2_repeats, op3_pseudonyms, op4_decontamination, op5_mixing, op6_sharding, op7_bagminhash, op8_quality, op9_hamming, op10_langid, op11_prefix_trie, op12_va_codes, op13_bpe]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
