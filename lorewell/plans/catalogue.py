@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
-from lorewell.operators import catalog, chat, context, export, index, knn, memory
+from lorewell.operators import catalog, chat, context, export, index, ivf, knn, memory
 from lorewell.session import remove, scratch, settled, table
 from lorewell.sources import catalog_files, fetch, files, knowledge, pages
 
@@ -120,8 +120,12 @@ def knn_batch_filtered(spark, d):
 
 @query()
 def ann_knn(spark, d):
-    """Approximate T1 by random projections; a test measures its recall on made vectors."""
-    return _round(knn.lsh_topk(table(spark, d, "embeddings"), _hundredths(spark, d), 6, dim=64))
+    """Approximate T1 through an inverted file that is written first; a test measures its recall against knn_batch."""
+    at = scratch(spark)
+    ivf.build(table(spark, d, "embeddings"), at, k=6)
+    found = settled(_round(ivf.search(spark, at, _hundredths(spark, d), 6)))
+    remove(spark, at)
+    return found
 
 
 # --- citations and prompts (F12, X2-X5) ---

@@ -40,16 +40,6 @@ def test_batch_fallback(vectors):
     assert len(got) == 9 and all(r["fallback"] == (r["query_id"] == 1) for r in got)
 
 
-def test_lsh_recall(spark):
-    rng = np.random.default_rng(0)
-    x = np.repeat(rng.normal(size=(40, 16)), 10, axis=0) + 0.05 * rng.normal(size=(400, 16))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = {(r["query_id"], r["vec_id"]) for r in knn.batch_topk(df, q, 5).collect()}
-    near = {(r["query_id"], r["vec_id"]) for r in knn.lsh_topk(df, q, 5, dim=16).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_persona(spark):
     got = {r["name"]: r["prompt"] for r in catalogue.chars(spark).select("name", context.persona_prompt().alias("prompt")).collect()}
     assert got["李白"].startswith("你现在扮演中国历史人物【李白】。\n\n## 人物信息\n- 朝代：唐朝\n") and '"天生我材必有用"' in got["李白"] and "- 唐诗\n" in got["李白"]
@@ -135,11 +125,12 @@ def test_entry_without_llm():
     assert set(catalogue.ORACLE) <= set(__spark_entry__.queries())
 
 
-def test_query_blocks(vectors, monkeypatch):
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    whole = sorted(knn.batch_topk(vectors, queries, 3).collect())
-    monkeypatch.setattr(knn, "QUERIES", 7)
-    assert sorted(knn.batch_topk(vectors, queries, 3).collect()) == whole
+def test_query_blocks(vectors):
+    """Queries too many to be sent out meet the index in blocks, with the same result, groups and hot groups included."""
+    queries = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for by in ([], ["label"]):
+        whole = sorted(knn.batch_topk(vectors, queries, 3, by=by).collect())
+        assert sorted(knn.batch_topk(vectors, queries, 3, by=by, query_bytes=2_000).collect()) == whole
 
 
 def test_stream_state_clears_and_evicts():
