@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 
 # Names that a secret is given under.
 NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_\-]?key|access[_\-]?key|auth|credential|private[_\-]?key"
-#: What stands ahead of a named value: a name that holds one of NAMES and an assignment, or the word of an HTTP header.
-NAMED = rf"(?:[\w\-]{{0,40}}?(?i:{NAMES})[\w\-]{{0,20}}[\"']?\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}|(?i:bearer)\s{{1,2}})[\"']?(?:(?i:bearer|basic)\s{{1,2}})?"
-#: A candidate is any value of six characters or more under a name, a token of three dotted parts, or a run of 16 token characters or
-#: more that is not letters of one case alone, as long words of prose are. Values of fewer than six characters, words of one case and
-#: runs of fewer than 16 characters that have no name ahead of them are not looked at.
+#: What stands ahead of a named value: a name that holds one of NAMES and an assignment with any blanks, or the word of an HTTP header.
+NAMED = rf"(?:[\w\-]{{0,40}}?(?i:{NAMES})[\w\-]{{0,20}}[\"']?\s*+[:=]{{1,2}}>?\s*+|(?i:bearer)\s++)(?:(?i:bearer|basic)\s++)?"
+#: Ahead of the password of a URL: scheme and user.
+URL = r"[A-Za-z][A-Za-z0-9+.\-]{1,15}://[^\s/:@\"'<>]{0,64}:"
+#: A value in quotes goes on to its own kind of quote, within its line; one without ends at a blank, quote, comma or the like.
+QUOTED = r"\"[^\"\n\r]{6,}+(?=\")|'[^'\n\r]{6,}+(?=')"
 VALUE = r"[^\s\"'<>,;]{6,}+"
+#: A candidate is any value of six characters or more under a name, the password of a URL, a token of three dotted parts, or a run of 16
+#: token characters or more that is not letters of one case alone, as long words of prose are. Values of fewer than six characters, words
+#: of one case and runs of fewer than 16 characters that have no name ahead of them are not looked at; a user name of over 64 characters,
+#: or a name of over 60 around one of NAMES, is none.
 DOTTED = r"[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+"
 RUN = r"(?![a-z]++(?![A-Za-z0-9_+/=\-])|[A-Z]?[a-z]++(?![A-Za-z0-9_+/=\-])|[A-Z]++(?![A-Za-z0-9_+/=\-])|[_+/=\-]++(?![A-Za-z0-9_+/=\-]))[A-Za-z0-9_+/=\-]{16,}+"
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=\-])(?:{NAMED}{VALUE}|{DOTTED}|{RUN})"
+PASSWORD = r"[^\s/@\"'<>]{3,}+(?=@)"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/=\-])(?:{NAMED}(?:{QUOTED}|[\"']?{VALUE})|{URL}{PASSWORD}|{DOTTED}|{RUN})"
+#: What of a candidate's match stands ahead of its value.
+AHEAD = rf"^(?:{NAMED}[\"']?(?=[^\n]{{6,}}\z)|{URL})"
 #: Characters of context kept on either side.
 NEAR = 48
 #: Findings that the forest is trained on, trees, depth.
@@ -90,9 +98,11 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     rows = docs.select("doc_id", (F.col(path) if path else F.lit(None).cast("string")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
     split = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.transform(F.split("text", CANDIDATE, -1), lambda s: F.struct(F.right(s, F.lit(NEAR)).alias("r"), F.left(s, F.lit(NEAR)).alias("l"))).alias("s"))
-    each = split.select("doc_id", "path", "s", F.posexplode("c").alias("nth", "m")).withColumn("name", F.regexp_extract("m", f"^{NAMED}(?={VALUE}$)", 0))
+    each = split.select("doc_id", "path", "s", F.posexplode("c").alias("nth", "m")).withColumn("name", F.regexp_extract("m", AHEAD, 0))
     before = F.right(F.concat(F.element_at("s", F.col("nth") + 1)["r"], "name"), F.lit(NEAR))
-    value = F.regexp_replace(F.substring(F.col("m"), F.char_length("name") + 1, F.char_length("m")), r"[.!?:)\]}]+$", "")
+    whole = F.substring(F.col("m"), F.char_length("name") + 1, F.char_length("m"))
+    # marks behind a value without quotes belong to the sentence
+    value = F.when(F.col("name").rlike("[\"']$|://"), whole).otherwise(F.regexp_replace(whole, r"[.!?:)\]}]+$", ""))
     return each.select("doc_id", "nth", value.alias("candidate"), before.alias("before"), F.element_at("s", F.col("nth") + 2)["l"].alias("after"), "path")
 
 
