@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lorewell.llm.common import keep, running_total, shared_dir, unstash
+from lorewell.llm.common import keep, running_total, shared_dir, stash, unstash
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
 #: Blocks are ranges of a hash: of so many bytes on average, and at most so many in all, so that the table of their places can
@@ -111,6 +113,11 @@ def place_hash(*columns: Column) -> Column:
     return F.xxhash64(F.lit(6), *columns)
 
 
+def hashable(schema: StructType) -> list[str]:
+    """The columns that Spark can hash: those without a map or a variant in them."""
+    return [f.name for f in schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+
+
 def old_shard(docs_source: str = "source") -> Column:
     """The layout to start from: one key-sharded by source."""
     return (F.crc32(F.coalesce(F.col(docs_source), F.lit("")).cast("binary")) % OLD_SHARDS).cast("int")
@@ -121,7 +128,8 @@ def reshard(sized: DataFrame, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS,
     of it that go there, their rows and bytes, and the slot of their first row; how many blocks each old shard has; and the transfers.
 
     Rows of an old shard are laid out block by block and by h; a row goes where its first byte falls among the old shard's
-    cuts. So shard sizes are equal to within one row per cut; rows of one hash, which are alike, stay together.
+    cuts. So shard sizes are equal to within one row per cut. Rows of one hash are alike; where a cut falls among them, or they
+    are more than a block, they are parted by count: such pieces have the numbers [lo, hi) of the copies in `part`.
     """
     spark = sized.sparkSession
     sums = {r["old"]: r["n"] for r in sized.groupBy("old").agg(F.sum("size").alias("n")).collect()}
@@ -132,12 +140,20 @@ def reshard(sized: DataFrame, n_old: int = OLD_SHARDS, n_new: int = NEW_SHARDS,
     rows = in_blocks(sized, counts).groupBy("old", "block", "h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     laid = running_total(keep(rows), ["old"], "block", ["h"], F.col("size"), "at")
     table = F.broadcast(spark.createDataFrame(moves, "old int, shard int, from long, to long"))
-    cut = laid.join(table, "old").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
-    blocks = cut.groupBy("old", "block", "shard").agg(F.min("h").alias("lo"), F.sum("size").alias("bytes"), F.sum("n").alias("n"))
-    along = W.partitionBy("shard").orderBy("old", "block", "lo").rowsBetween(W.unboundedPreceding, -1)
+    one = F.expr("size div n")
+    copy = lambda at: F.least(F.col("n"), F.greatest(F.lit(0), F.expr(f"(`{at}` - at + (size div n) - 1) div (size div n)")))
+    cut = laid.join(table, "old").withColumns({"i": copy("from"), "j": copy("to")}).where("i < j")
+    parted = (F.col("n") > 1) & ((F.col("i") > 0) | (F.col("j") < F.col("n")) | (F.col("size") > each))
+    cut = keep(cut.withColumn("parted", parted))
+    blocks = cut.where("NOT parted").groupBy("old", "block", "shard").agg(F.min("h").alias("lo"), F.sum("size").alias("bytes"), F.sum("n").alias("n"))
+    blocks = blocks.withColumn("hi", F.lead("lo").over(W.partitionBy("old", "block").orderBy("lo"))).withColumn("part", F.lit(None).cast("struct<lo:long,hi:long>"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(each) / one)).cast("long")
+    pieces = cut.where("parted").withColumn("lo", F.explode(F.sequence(F.col("i"), F.col("j") - 1, step)))
+    pieces = pieces.withColumn("part", F.struct(F.col("lo"), F.least(F.col("lo") + step, F.col("j")).alias("hi"))).withColumn("m", F.col("part.hi") - F.col("lo"))
+    blocks = blocks.unionByName(pieces.select("old", "block", "shard", F.col("h").alias("lo"), (F.col("m") * one).alias("bytes"), F.col("m").alias("n"), F.col("h").alias("hi"), "part"))
+    along = W.partitionBy("shard").orderBy("old", "block", F.col("part").isNotNull(), "lo", "part.lo").rowsBetween(W.unboundedPreceding, -1)
     placed = blocks.select(
-        "old", "block", "shard", "lo", "bytes", "n",
-        F.lead("lo").over(W.partitionBy("old", "block").orderBy("lo")).alias("hi"),
+        "old", "block", "shard", "lo", "hi", "part", "bytes", "n",
         F.coalesce(F.sum("n").over(along), F.lit(0)).alias("slot"),
         F.floor(F.coalesce(F.sum("bytes").over(along), F.lit(0)) / FILE_BYTES).cast("int").alias("file"),
     )
@@ -149,17 +165,29 @@ def in_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(counts), "old").withColumn("block", F.pmod(F.shiftright("h", 16), F.col("blocks"))).drop("blocks")
 
 
-def with_slots(rows: DataFrame, placed: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows (old, h) with shard, file and slot: gapless from 0 within each shard, by old shard, block and h.
+def with_slots(rows: DataFrame, placed: DataFrame, counts: DataFrame) -> tuple[DataFrame, str | None]:
+    """rows (old, h) with shard, file and slot: gapless from 0 within each shard, by old shard, block and h; and the path of a table
+    that they are read from in part, if there is one.
 
-    The places of blocks are broadcast, MOST_BLOCKS of them and a few more; the rows travel once, to their file.
+    The places of blocks are broadcast, MOST_BLOCKS of them and as many pieces of copies at most; the rows travel once, to their
+    file. Copies that are parted are numbered first: they are written once with a number of their own, and counted by the tasks
+    that wrote them, so that no task sees all copies of a row.
     """
-    where = F.broadcast(placed.select("old", "block", "shard", "file", "lo", "hi", F.col("slot").alias("first")))
-    here = in_blocks(rows, counts).join(where, ["old", "block"]).where((F.col("h") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("h") < F.col("hi"))))
-    files = placed.select("shard", "file").distinct().count()
-    dealt = here.repartition(max(1, min(files, MOST_BLOCKS)), "shard", "file")
+    files = max(1, min(placed.select("shard", "file").distinct().count(), MOST_BLOCKS))
+    pieces = placed.where("part IS NOT NULL").select("old", F.col("lo").alias("h"), "part", "shard", "file", F.col("slot").alias("first"))
+    parted, path = F.broadcast(pieces.select("old", "h").distinct()), None
+    where = F.broadcast(placed.where("part IS NULL").select("old", "block", "shard", "file", "lo", "hi", F.col("slot").alias("first")))
+    whole = rows.join(parted, ["old", "h"], "left_anti") if pieces.head(1) else rows
+    here = in_blocks(whole, counts).join(where, ["old", "block"]).where((F.col("h") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("h") < F.col("hi"))))
     rank = F.row_number().over(W.partitionBy("shard", "file", "old", "block").orderBy("h"))
-    return dealt.withColumn("slot", F.col("first") + rank - 1).drop("lo", "hi", "first", "block")
+    out = here.repartition(files, "shard", "file").withColumn("slot", F.col("first") + rank - 1).drop("lo", "hi", "first", "block")
+    if pieces.head(1):
+        copies, path = stash(rows.join(parted, ["old", "h"], "left_semi").withColumn("own", F.monotonically_increasing_id()))
+        numbered = running_total(copies.withColumn("task", F.shiftright("own", 33)), ["old", "h"], "task", ["own"], F.lit(1), "copy")
+        to = numbered.join(F.broadcast(pieces), ["old", "h"]).where((F.col("copy") >= F.col("part.lo")) & (F.col("copy") < F.col("part.hi")))
+        to = to.withColumn("slot", F.col("first") + F.col("copy") - F.col("part.lo")).select(*out.columns)
+        out = out.unionByName(to.repartition(files, "shard", "file"))
+    return out, path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -229,7 +257,7 @@ def write_layout(docs: DataFrame, path: str, n_new: int = NEW_SHARDS) -> list[tu
 
     The transfers are those of least bytes from the old shards. All columns of docs are written. Returns the transfers.
     """
-    rows = docs.select(F.struct("*").alias("doc"), old_shard().alias("old"), text_size(F.col("text")).alias("size"), place_hash(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    rows = docs.select(F.struct("*").alias("doc"), old_shard().alias("old"), text_size(F.col("text")).alias("size"), place_hash(*[F.col(f"`{c}`") for c in hashable(docs.schema)]).alias("h"))
     return _relay(rows, path, OLD_SHARDS, n_new, fresh=True)
 
 
@@ -240,7 +268,7 @@ def reshard_files(spark: SparkSession, path: str, n_new: int, n_old: int | None
     """
     rows = read_shards(spark, path)
     n_old = n_old or max(listed(spark, path)) + 1
-    keyed = rows.select("doc", F.col("shard").alias("old"), text_size(F.col("doc.text")).alias("size"), place_hash(F.col("doc")).alias("h"))
+    keyed = rows.select("doc", F.col("shard").alias("old"), text_size(F.col("doc.text")).alias("size"), place_hash(*[F.col(f"doc.`{c}`") for c in hashable(rows.schema["doc"].dataType)]).alias("h"))
     return _relay(keyed, path, n_old, n_new, fresh=False)
 
 
@@ -253,7 +281,10 @@ def _relay(rows: DataFrame, path: str, n_old: int, n_new: int, fresh: bool) -> l
         touched = {x for r in flows for x in (r["old"], r["shard"])}
         rows = rows.where(F.col("old").isin(sorted(touched)))
     if touched:
-        rewrite(with_slots(rows.drop("size"), placed, counts), path, touched)
+        slotted, written = with_slots(rows.drop("size"), placed, counts)
+        rewrite(slotted, path, touched)
+        if written:
+            unstash(rows.sparkSession, written)
     return moves
 
 
@@ -261,8 +292,8 @@ def shard_documents(docs: DataFrame, n_new: int = NEW_SHARDS, path: str | None =
     """Writes the documents' shards and gives every row's shard and slot as its file has them.
 
     path: where the files go and stay; without one they go to the shared folder and are deleted once the digest is
-    taken. An empty table gives no row, repeated rows get slots of their own (and, alike in every column, one shard), a null
-    text counts as empty.
+    taken. An empty table gives no row, repeated rows get slots of their own and are parted like others, a null text counts
+    as empty. Extra columns of any type are written with the rows.
     """
     spark = docs.sparkSession
     at = path or f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
