@@ -79,7 +79,7 @@ class Engine:
 
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(self.index_path)
+        return index.read(self.spark, self.index_path)
 
     # --- search ---
 

@@ -47,17 +47,6 @@ def error_class(message: Column) -> Column:
     )
 
 
-def error_text(message: Column) -> Column:
-    """X9 with the user-facing messages."""
-    kind = error_class(message)
-    # The three messages.
-    return (
-        F.when(kind == "network", F.concat(F.lit("API连接失败，请检查网络或API Key配置。错误: "), message))
-        .when(kind == "auth", F.lit("API Key无效或未配置。请在Streamlit Cloud的Secrets中设置ZHIPU_API_KEY"))
-        .otherwise(F.concat(F.lit("API调用失败: "), message))
-    )
-
-
 def _pieces(text: str, separator: str) -> list[str]:
     """Split, each separator kept at the start of what follows it."""
     if not separator:

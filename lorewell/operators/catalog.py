@@ -69,7 +69,8 @@ def profile(chars: DataFrame, name: str) -> DataFrame:
 RECOMMENDED = [("孔子", "春秋"), ("秦始皇", "秦朝"), ("李白", "唐朝"), ("诸葛亮", "三国"), ("苏轼", "北宋"), ("康熙", "清朝")]
 
 
-def recommended(spark: SparkSession, chars: DataFrame) -> DataFrame:
-    """Recommended entities that the catalog has; the shown group may differ from the catalog's."""
-    rows = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(RECOMMENDED)], "pos int, name string, shown string")
-    return rows.join(chars.select("name", "dynasty"), "name")
+def recommended(spark: SparkSession, chars: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Recommended entities (pos, name, shown) that the catalog has; the shown group may differ from the catalog's."""
+    if shown is None:
+        shown = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(RECOMMENDED)], "pos int, name string, shown string")
+    return shown.join(chars.select("name", "dynasty"), "name")

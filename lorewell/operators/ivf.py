@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from lorewell.operators import knn
 
 #: Rows that centres are learned from, cells at most, rows a cell is to have while there are fewer cells, rows a shelf is to have.
-SAMPLE_ROWS, MOST_CELLS, CELL_ROWS, SHELF_ROWS = 16_384, 4_096, 8, 1_000_000
+SAMPLE_ROWS, MOST_CELLS, CELL_ROWS, SHELF_ROWS = 16_384, 4_096, 4, 1_000_000
 #: Cells that a row is written to, rows whose neighbours the number of probes is learned from, share of these that is
 #: to be found (the row itself does not count).
-COPIES, TRIED, FOUND = 2, 200, 0.9
+COPIES, TRIED, FOUND = 1, 200, 0.9
 
 
 @dataclass

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
-from lorewell.operators import catalog, chat, context, export, index, ivf, knn, memory
-from lorewell.session import remove, scratch, settled, table
+from lorewell.operators import catalog, chat, context, export, generations, index, ivf, knn, memory
+from lorewell.plans import events  # noqa: F401  registers its queries
+from lorewell.plans.registry import ORACLE, QUERIES, query, read_back  # noqa: F401  what the driver asks for
+from lorewell.session import table
 from lorewell.sources import catalog_files, fetch, files, knowledge, pages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _probe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 0").select("embedding")
 
@@ -121,11 +106,7 @@ def knn_batch_filtered(spark, d):
 @query()
 def ann_knn(spark, d):
     """Approximate T1 through an inverted file that is written first; a test measures its recall against knn_batch."""
-    at = scratch(spark)
-    ivf.build(table(spark, d, "embeddings"), at, k=6)
-    found = settled(_round(ivf.search(spark, at, _hundredths(spark, d), 6)))
-    remove(spark, at)
-    return found
+    return read_back(spark, lambda p: ivf.build(table(spark, d, "embeddings"), p, k=6), lambda p: _round(ivf.search(spark, p, _hundredths(spark, d), 6)))
 
 
 # --- citations and prompts (F12, X2-X5) ---
@@ -304,9 +285,9 @@ def page_cache_merge(spark, d):
     return pages.merge_cache(old, new, "2024-02-02")
 
 
-@query("SELECT DISTINCT 'https://baike.baidu.com/item/' || name AS url FROM (VALUES ('孔子'), ('李白')) v(name)")
+@query("SELECT DISTINCT 'https://baike.baidu.com/item/' || c_name AS url FROM customer")
 def page_item_urls(spark, d):
-    return chars(spark).where("name in ('孔子', '李白')").select(pages.item_url(F.col("name")).alias("url"))
+    return table(spark, d, "customer").select(pages.item_url(F.col("c_name")).alias("url")).distinct()
 
 
 @query("SELECT c.conv_id, count(*) AS n FROM conversations c WHERE c.conv_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY c.conv_id")
@@ -375,40 +356,55 @@ def chars(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CHARS, CHAR_TYPES)
 
 
-def _literal(x):
-    return "[" + ", ".join(_literal(v) for v in x) + "]::VARCHAR[]" if isinstance(x, list) else f"'{x}'"
+def people(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog of the given tables: suppliers as characters, their nations as groups."""
+    s, nation = table(spark, d, "supplier"), table(spark, d, "nation")
+    rows = s.join(nation, s.s_nationkey == nation.n_nationkey)
+    key = F.col("s_suppkey").cast("string")
+    return rows.select(
+        F.col("s_name").alias("name"), F.col("n_name").alias("dynasty"), F.concat(F.lit("title "), F.col("s_nationkey").cast("string")).alias("title"), key.alias("years"),
+        F.concat(F.lit("kind "), key).alias("personality"), F.lit("brief").alias("speaking_style"), F.array(F.lit("trade"), F.col("n_name")).alias("knowledge_focus"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.array(F.concat(F.lit("said by "), F.col("s_name")), F.lit("sold"))).otherwise(F.array().cast("array<string>")).alias("famous_quotes"),
+    )
 
 
-CHARS_SQL = f"chars({', '.join(CHAR_COLS)}) AS (VALUES {', '.join('(' + ', '.join(_literal(v) for v in r) + ')' for r in CHARS)})"
-ORDER_SQL = f"ord(dynasty, ord) AS (VALUES {', '.join(f'(\'{x}\', {i})' for i, x in enumerate(catalog.DYNASTIES))})"
+def group_order(spark: SparkSession, d: str) -> DataFrame:
+    """Nations of the first regions in the order of their keys; the others have no place."""
+    return table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("dynasty"), F.col("n_nationkey").alias("ord"))
 
 
-@query(f"WITH {CHARS_SQL}, {ORDER_SQL} SELECT c.dynasty, coalesce(any_value(o.ord), 2147483647)::INTEGER AS ord, string_agg(c.name, ',' ORDER BY c.name) AS names, count(*) AS n FROM chars c LEFT JOIN ord o USING (dynasty) GROUP BY c.dynasty ORDER BY ord, c.dynasty")
-def catalog_grouped(spark, d):
-    return catalog.grouped(chars(spark), catalog.dynasty_order(spark)).withColumn("names", F.array_join("names", ","))
+CHARS_SQL = """chars AS (SELECT s_name AS name, n_name AS dynasty, 'title ' || s_nationkey AS title, s_suppkey::VARCHAR AS years, 'kind ' || s_suppkey AS personality, 'brief' AS speaking_style,
+['trade', n_name] AS knowledge_focus, CASE WHEN s_suppkey % 3 > 0 THEN ['said by ' || s_name, 'sold'] ELSE []::VARCHAR[] END AS famous_quotes FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
-@query(f"WITH {CHARS_SQL} SELECT v.name, c.dynasty, c.title FROM (VALUES ('李白'), ('无名')) v(name) LEFT JOIN chars c USING (name)")
-def catalog_lookup(spark, d):
-    return catalog.lookup(spark.createDataFrame([("李白",), ("无名",)], "name string"), chars(spark)).select("name", "dynasty", "title")
+@query(f"WITH {CHARS_SQL} SELECT c.dynasty, coalesce(any_value(o.n_nationkey), 2147483647)::INTEGER AS ord, string_agg(c.name, ',' ORDER BY c.name) AS names, count(*) AS n FROM chars c LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) o ON o.n_name = c.dynasty GROUP BY c.dynasty ORDER BY ord, c.dynasty")
+def catalog_grouped(spark, d):
+    return catalog.grouped(people(spark, d), group_order(spark, d)).withColumn("names", F.array_join("names", ","))
 
 
-REC_SQL = f"rec(pos, name, shown) AS (VALUES {', '.join(f'({i}, \'{n}\', \'{x}\')' for i, (n, x) in enumerate(catalog.RECOMMENDED))})"
+@query(f"WITH {CHARS_SQL} SELECT v.name, c.dynasty, c.title FROM (SELECT DISTINCT replace(c_name, 'Customer', 'Supplier') AS name FROM customer) v LEFT JOIN chars c USING (name)")
+def catalog_lookup(spark, d):
+    """Names of which some are in the catalog."""
+    asked = table(spark, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name")).distinct()
+    return catalog.lookup(asked, people(spark, d)).select("name", "dynasty", "title")
 
 
-@query(f"WITH {CHARS_SQL}, {REC_SQL} SELECT pos::INTEGER AS pos, name, shown, dynasty FROM rec JOIN chars USING (name)")
+@query(f"WITH {CHARS_SQL}, rec AS (SELECT n_nationkey AS pos, 'Supplier#' || lpad((7 * n_nationkey)::VARCHAR, 9, '0') AS name, n_name AS shown FROM nation) SELECT pos::INTEGER AS pos, name, shown, dynasty FROM rec JOIN chars USING (name)")
 def catalog_recommended(spark, d):
-    return catalog.recommended(spark, chars(spark)).select("pos", "name", "shown", "dynasty")
+    """One recommended name a nation, of which the catalog may lack some."""
+    name = F.concat(F.lit("Supplier#"), F.lpad((7 * F.col("n_nationkey")).cast("string"), 9, "0"))
+    shown = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), name.alias("name"), F.col("n_name").alias("shown"))
+    return catalog.recommended(spark, people(spark, d), shown).select("pos", "name", "shown", "dynasty")
 
 
-@query(f"WITH {CHARS_SQL} SELECT name, dynasty, title, years, (i - 1)::INTEGER AS pos, famous_quotes[i] AS quote FROM chars, (SELECT unnest(range(1, 3)) AS i) WHERE name = '秦始皇'")
+@query(f"WITH {CHARS_SQL} SELECT name, dynasty, title, years, (i - 1)::INTEGER AS pos, famous_quotes[i] AS quote FROM chars, (SELECT unnest(range(1, 3)) AS i) WHERE name = 'Supplier#000000001'")
 def catalog_profile(spark, d):
-    return catalog.profile(chars(spark), "秦始皇")
+    return catalog.profile(people(spark, d), "Supplier#000000001")
 
 
 @query(f"WITH {CHARS_SQL} SELECT (SELECT count(*) FROM chars) AS characters, (SELECT count(DISTINCT dynasty) FROM chars) AS dynasties, (SELECT count(*) FROM documents) AS chunks")
 def catalog_kpis(spark, d):
-    return catalog.kpis(chars(spark), table(spark, d, "documents"))
+    return catalog.kpis(people(spark, d), table(spark, d, "documents"))
 
 
 PERSONA_SQL = "'" + context.PERSONA.replace("'", "''") + "'"
@@ -419,7 +415,7 @@ PERSONA_SQL = PERSONA_SQL.replace("{focus}", "' || coalesce(array_to_string(list
 
 @query(f"WITH {CHARS_SQL} SELECT name, {PERSONA_SQL} AS prompt FROM chars")
 def persona_prompt(spark, d):
-    return chars(spark).select("name", context.persona_prompt().alias("prompt"))
+    return people(spark, d).select("name", context.persona_prompt().alias("prompt"))
 
 
 @query("SELECT source, label, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM (SELECT source, lang, doc_id, doc_id % 2 AS label FROM documents) GROUP BY source, label")
@@ -496,21 +492,12 @@ def chat_turns(spark, d):
 # --- files and fetching: written to the shared folder by the sinks, read back by the sources (S1, S2, S9, S16, F5, H8, K1, K4, K5, L1) ---
 
 
-def _read_back(spark, write, read):
-    """What read() finds in a new folder after write(); the folder is deleted."""
-    path = scratch(spark)
-    write(path)
-    found = settled(read(path))
-    remove(spark, path)
-    return found
-
-
 @query("SELECT 'biography_item ' || item_id || '_benchmark.txt' AS file, 'item ' || item_id AS title, 'benchmark' AS source, '' AS url, 'item ' || item_id AS character, 'biography' AS category, text AS content FROM benchmark")
 def kb_files(spark, d):
     """One named file an item."""
     name = F.concat(F.lit("item "), "item_id")
     rows = table(spark, d, "benchmark").select(name.alias("title"), F.lit("benchmark").alias("source"), F.lit("").alias("url"), F.lit("biography").alias("category"), name.alias("character"), F.col("text").alias("content"))
-    return _read_back(spark, lambda p: knowledge.write_files(knowledge.render(rows), p), lambda p: knowledge.read_knowledge(spark, p).select("file", "title", "source", "url", "character", "category", "content"))
+    return read_back(spark, lambda p: knowledge.write_files(knowledge.render(rows), p), lambda p: knowledge.read_knowledge(spark, p).select("file", "title", "source", "url", "character", "category", "content"))
 
 
 @query("SELECT n_name AS name, 'region ' || n_regionkey AS dynasty, 'nation ' || n_nationkey AS title FROM nation")
@@ -519,7 +506,7 @@ def catalog_files_read(spark, d):
     rest = [F.lit("x").alias(c) for c in catalog_files.TEXTS[3:]]
     record = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("region "), "n_regionkey").alias("dynasty"), F.concat(F.lit("nation "), "n_nationkey").alias("title"), *rest)
     rows = table(spark, d, "nation").select(F.concat("n_nationkey", F.lit(".yaml")).alias("file"), F.to_json(record).alias("value"))
-    return _read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: catalog_files.read_catalog(spark, p).select("name", "dynasty", "title"))
+    return read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: catalog_files.read_catalog(spark, p).select("name", "dynasty", "title"))
 
 
 @query("SELECT item_id || CASE item_id % 3 WHEN 0 THEN '.txt' ELSE '.MD' END AS file, 0 AS page, text AS content FROM benchmark WHERE item_id % 3 < 2")
@@ -527,14 +514,14 @@ def directory_scan(spark, d):
     """Files of two known suffixes and an unknown one."""
     suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".MD"), F.lit(".csv")), (F.col("item_id") % 3 + 1).cast("int"))
     rows = table(spark, d, "benchmark").select(F.concat("item_id", suffix).alias("file"), F.col("text").alias("value"))
-    return _read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: files.load_directory(spark, p).select(F.substring_index("source_file", "/", -1).alias("file"), "page", "content"))
+    return read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: files.load_directory(spark, p).select(F.substring_index("source_file", "/", -1).alias("file"), "page", "content"))
 
 
 @query("SELECT url, 'page ' || min(page_id) AS title, '2024-01-01' AS time FROM pages GROUP BY url")
 def page_cache_file(spark, d):
     """The cache as a JSON file."""
     cache = table(spark, d, "pages").groupBy("url").agg(F.concat(F.lit("page "), F.min("page_id")).alias("title"), F.lit("2024-01-01").alias("time"))
-    return _read_back(spark, lambda p: pages.write_cache(cache, f"{p}/cache.json"), lambda p: pages.read_cache(spark, f"{p}/cache.json"))
+    return read_back(spark, lambda p: pages.write_cache(cache, f"{p}/cache.json"), lambda p: pages.read_cache(spark, f"{p}/cache.json"))
 
 
 def _by_length(url: str) -> tuple[int, str | None]:
@@ -559,7 +546,24 @@ def index_documents(spark, d):
         for _ in range(2):
             index.ensure(spark, path, docs)
 
-    return _read_back(spark, write, lambda p: spark.read.parquet(p).select("doc_id", "lang").distinct())
+    return read_back(spark, write, lambda p: index.read(spark, p).select("doc_id", "lang").distinct())
+
+
+@query("""SELECT source AS doc_source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE lang <> 'de' OR doc_id % 2 = 0 GROUP BY source""")
+def index_generations(spark, d):
+    """K5, K6: documents written in two generations, some deleted by id and half of them written again, compacted, then read."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("doc_source"))
+
+    def write(path):
+        generations.replace(docs.where("doc_id % 3 = 0"), path)
+        generations.append(docs.where("doc_id % 3 > 0"), path)
+        generations.delete(docs.where("lang = 'de'").select("doc_id"), path, "doc_id")
+        generations.append(docs.where("lang = 'de' AND doc_id % 2 = 0"), path)
+        generations.compact(spark, path)
+        generations.vacuum(spark, path)
+
+    rows = read_back(spark, write, lambda p: generations.read(spark, p))
+    return rows.groupBy("doc_source").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
 # --- extensions (X in the survey): relational shapes the reference lacks ---

@@ -85,10 +85,15 @@ def memory_state(turns: DataFrame, n: int = 10, idle_seconds: int | None = None,
 
 
 def run(turns: DataFrame, path: str, checkpoint: str, n: int = 10, **kw) -> None:
-    """Takes what a stream of messages has now; every micro-batch is a folder batch=i of path with the memories that it changed."""
+    """Takes what a stream of messages has now; every micro-batch is a folder batch=i of path with the memories that it changed.
+
+    A repeated micro-batch writes its folder anew. With idle_seconds all that is there is one micro-batch, as timers of the clock
+    would keep a run going for ever.
+    """
     turns.sparkSession.conf.set(*PROVIDER)
+    all_now = {"once": True} if kw.get("idle_seconds") else {"availableNow": True}
 
     def write(changed: DataFrame, i: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={i}")
 
-    memory_state(turns, n, **kw).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    memory_state(turns, n, **kw).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(**all_now).start().awaitTermination()

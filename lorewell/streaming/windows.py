@@ -1,8 +1,8 @@
 """Event-time windows over streams: a watermark bounds the state, and says what is late.
 
-Late-data rule: a row counts if its window still ended after the watermark when it came. The watermark is the greatest time of earlier
-micro-batches less `delay`. A window's row is written once, when the watermark has passed its end; windows that are still open at the
-end of a run stay in the state, and the next run goes on with them.
+The watermark is the greatest time of the micro-batches so far less `delay`. A window's row is written once, by the first micro-batch
+after the watermark has passed its end; windows that are open at the end of a run stay in the state, and the next run goes on with them.
+Late-data rule: a row is dropped if its window ended by the watermark that the micro-batch before its own had; up to then it counts.
 """
 
 from __future__ import annotations

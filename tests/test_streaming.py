@@ -29,7 +29,8 @@ def test_late_rows_and_restart(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
     put(spark, src, [(1, "a", at(1)), (2, "a", at(12)), (3, None, at(2)), (4, "a", None)])
     put(spark, src, [(5, "a", at(3)), (6, "b", at(40))])  # 3 is late but its window ends after the watermark, 12 - 10
-    put(spark, src, [(7, "a", at(4)), (8, "b", at(41))])  # 4 is behind the watermark, 40 - 10: it does not count
+    put(spark, src, [(8, "b", at(41))])
+    put(spark, src, [(7, "a", at(4)), (10, "b", at(35))])  # 4 is behind the watermark, 40 - 10: it does not count; 35 does
 
     def take():
         stream = windows.file_stream(spark, src, SCHEMA, 1)
@@ -42,7 +43,7 @@ def test_late_rows_and_restart(spark, tmp_path):
     assert len(rows()) == 3
     put(spark, src, [(9, "b", at(200))])
     take()
-    assert rows() == [("", at(0), [3]), ("a", at(0), [1, 5]), ("a", at(10), [2]), ("b", at(40), [6, 8])]
+    assert rows() == [("", at(0), [3]), ("a", at(0), [1, 5]), ("a", at(10), [2]), ("b", at(30), [10]), ("b", at(40), [6, 8])]
 
 
 def turns_of(spark, path, rows):
