@@ -1,15 +1,17 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes (operator 9).
 
-Each code is cut into substrings of SUB bits, and every substring has a table of its keys with the rows that hold each. A query
-takes all keys of a table that differ from its own in at most `reach` bits, by going through the table's keys: a shard has
-fewer of them than there are words so near. By the pigeonhole principle this retrieves every code within radius(), and all rows
-that are touched are reranked by their vectors, in double precision.
+Each code is cut into substrings of SUB bits, and every substring has a table: for each of its 2^SUB words, where the rows that hold it
+begin. A query looks up its own word in every table and all words that differ from it in at most `reach` bits, which are enumerated
+by flipping bits; nothing else of a table is read. By the pigeonhole principle this retrieves every code within radius(), and all
+rows that are touched are reranked by their vectors, in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,12 @@ from lorewell.llm.common import keep
 
 #: Vectors that rotations and reach are learned from.
 SAMPLE_ROWS = 4_000
-#: Bits of a substring, and the numbers of substrings that learning chooses from.
-SUB, SUBS = 32, (16, 32, 48, 64, 96, 128)
+#: Bits of a substring, the numbers of substrings that learning chooses from, and the most bits that are flipped at first.
+SUB, SUBS, FLIPS = 16, (8, 16, 24, 32, 48, 64, 80, 96, 128, 160), 2
 #: The share of the sample's own nearest neighbours that probes are to touch.
 FOUND = 0.95
-#: Rows of an index, and bytes of the queries that tasks are sent together.
-SHARD_ROWS, QUERY_BYTES = 8_192, 32 << 20
+#: Bytes of the vectors of an index and rows of it, and bytes of the queries that tasks are sent together.
+SHARD_BYTES, SHARD_ROWS, QUERY_BYTES = 32 << 20, 65_536, 32 << 20
 K = 10
 
 
@@ -50,8 +52,8 @@ class Coder:
         """One row of substring keys for every vector."""
         out = []
         for i in range(0, len(x), 4096):
-            out.append(np.packbits((x[i : i + 4096] - self.mean) @ self.planes > 0, axis=1).view(np.uint32))
-        return np.concatenate(out) if out else np.zeros((0, self.subs), np.uint32)
+            out.append(np.packbits((x[i : i + 4096] - self.mean) @ self.planes > 0, axis=1).view(np.uint16))
+        return np.concatenate(out) if out else np.zeros((0, self.subs), np.uint16)
 
 
 def learn(sample: np.ndarray, k: int = K, rows: int = 0, seed: int = 9) -> Coder:
@@ -87,34 +89,49 @@ def learn(sample: np.ndarray, k: int = K, rows: int = 0, seed: int = 9) -> Coder
         least = np.minimum(least, np.bitwise_count(keys[some, j, None] ^ keys[None, :, j]))
         if j + 1 in SUBS:
             hit = np.take_along_axis(least, near, axis=1)
-            chosen += [((least <= reach).mean(), j + 1, reach) for reach in range(SUB // 2) if (hit <= reach).mean() >= FOUND]
-    _, subs, reach = min(chosen, default=(1.0, SUBS[0], SUB))
+            chosen += [((least <= reach).mean(), j + 1, reach) for reach in range(FLIPS + 1) if (hit <= reach).mean() >= FOUND]
+    # where no choice finds the asked share, all substrings are probed as far as is allowed
+    _, subs, reach = min(chosen, default=(1.0, SUBS[-1], FLIPS))
     return Coder(mean, full.planes[:, : subs * SUB], reach)
 
 
+@lru_cache(maxsize=None)
+def flips(reach: int) -> np.ndarray:
+    """All words of SUB bits with at most `reach` bits set, those of fewer bits first."""
+    out = [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(SUB), n)]
+    return np.array(out, np.uint16)
+
+
 class MultiIndex:
-    """The tables of a shard, one after another: their keys, and the rows of each key."""
+    """The tables of a shard: for each word of each substring, where its rows begin in `rows`."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.n, m = keys.shape
-        self.rows = np.argsort(keys, axis=0, kind="stable").T.ravel()
-        each = np.sort(keys, axis=0).T
-        new = np.ones(each.shape, bool)
-        new[:, 1:] = each[:, 1:] != each[:, :-1]
-        self.first = np.append(np.flatnonzero(new.ravel()), m * self.n)
-        self.keys, self.of = each[new], new.sum(1)
+        self.n, self.subs = keys.shape
+        self.rows = np.zeros(self.subs * self.n, np.int32)
+        self.first = np.zeros((self.subs, (1 << SUB) + 1), np.int32)
+        for j in range(self.subs):
+            self.rows[j * self.n : (j + 1) * self.n] = np.argsort(keys[:, j], kind="stable")
+            np.cumsum(np.bincount(keys[:, j], minlength=1 << SUB), out=self.first[j, 1:])
+        self.table = np.arange(self.subs)[:, None]
 
     def touched(self, key: np.ndarray, reach: int) -> np.ndarray:
         """All rows of which a substring is within reach of the query's."""
         if reach >= SUB // 2:
             return np.arange(self.n)
-        hit = np.flatnonzero(np.bitwise_count(self.keys ^ np.repeat(key, self.of)) <= reach)
-        size = self.first[hit + 1] - self.first[hit]
-        at = np.repeat(self.first[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        word = (key[:, None] ^ flips(reach)[None]).astype(np.int64)
+        start, end = self.first[self.table, word], self.first[self.table, word + 1]
+        size = (end - start).ravel()
+        held = np.flatnonzero(size)
+        size, start = size[held], (start + self.table * self.n).ravel()[held].astype(np.int64)
         found = np.zeros(self.n, bool)
-        found[self.rows[at]] = True
+        if len(held):
+            found[self.rows[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
         return np.flatnonzero(found)
 
+    def read(self, reach: int) -> int:
+        """Bytes of the tables that a query reads before it knows its rows."""
+        return 8 * self.subs * len(flips(reach))
+
 
 def search_shard(ids: np.ndarray, x: np.ndarray, q: np.ndarray, keys: np.ndarray, coder: Coder, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(ids, distances, rows touched): for every query (q, its keys) the k nearest found in the shard, -1 and infinity where it
@@ -124,7 +141,8 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q: np.ndarray, keys: np.ndarray
     for i in range(len(q)):
         reach = coder.reach
         while len(rows := index.touched(keys[i], reach)) < k and len(rows) < len(x):
-            reach += 1
+            # beyond a few flips, going on costs more than all rows do
+            reach = reach + 1 if reach <= FLIPS else SUB
         seen += len(rows)
         d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
         if len(rows) > 4 * k:
@@ -168,14 +186,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample_rows: int
         own = entries.where(F.col("dim") == dim)
         coder = learn(sampled(own, n, sample_rows), k, n)
         # a query's vector, its keys, and what is held of it
-        blocks = max(1, -(-asks[dim] * (8 * dim + 4 * coder.subs + 32 * (k + 1)) // QUERY_BYTES))
-        parts = max(1, min(-(-n // SHARD_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        blocks = max(1, -(-asks[dim] * (8 * dim + 2 * coder.subs + 32 * (k + 1)) // QUERY_BYTES))
+        shard = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dim)))
+        parts = max(1, min(-(-n // shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
         spread = own.select("lo", "v").repartition(parts, "lo")
         for b in range(blocks):
             rows = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").toArrow()
             q = _vectors(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((0, dim))
             shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), q, coder.keys(q), coder))
-            found = spread.mapInArrow(_searcher(shared, k + 1), "query_id long, lo long, score double")
+            found = spread.mapInArrow(_searcher(shared, k + 1, shard), "query_id long, lo long, score double")
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], empty)
@@ -200,7 +219,7 @@ def sampled(entries: DataFrame, n: int, most: int) -> np.ndarray:
     return np.array([r["v"] for r in sorted(part.collect(), key=lambda r: r["h"])], dtype=np.float64)
 
 
-def _searcher(shared, k: int):
+def _searcher(shared, k: int, shard: int):
     """Searches a task's rows shard by shard and gives the k nearest of all of them for every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +235,9 @@ def _searcher(shared, k: int):
             best[:], apart[:] = np.take_along_axis(both, order, 1), np.take_along_axis(far, order, 1)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, SHARD_ROWS):
-                part = batch.slice(i, SHARD_ROWS)
-                if sum(b.num_rows for b in held) + part.num_rows > SHARD_ROWS:
+            for i in range(0, batch.num_rows, shard):
+                part = batch.slice(i, shard)
+                if sum(b.num_rows for b in held) + part.num_rows > shard:
                     add()
                     held.clear()
                 held.append(part)
