@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
-from lorewell.operators import catalog, chat, context, export, generations, index, ivf, knn, memory
+from lorewell.operators import catalog, chat, context, export, generations, index, ivf, knn, ledger, memory
 from lorewell.plans import events  # noqa: F401  registers its queries
 from lorewell.plans.registry import ORACLE, QUERIES, query, read_back  # noqa: F401  what the driver asks for
 from lorewell.session import table
@@ -537,6 +537,44 @@ def page_fetch(spark, d):
     return got.select("page_id", "status", "attempts", "html")
 
 
+@query("SELECT page_id, CASE length(url) % 3 WHEN 0 THEN 403 WHEN 2 THEN 200 END AS status, CASE length(url) % 3 WHEN 2 THEN 1 ELSE 3 END AS attempts, CASE length(url) % 3 WHEN 2 THEN upper(url) END AS html FROM pages")
+def page_fetch_politely(spark, d):
+    """The same through queues by host and rounds that are written."""
+
+    def take(path):
+        return fetch.fetch_politely(table(spark, d, "pages").select("page_id", "url"), path, _by_length, spacing=0, round_wait=0)
+
+    return read_back(spark, take, take).select("page_id", "status", "attempts", "html")
+
+
+@query("SELECT 'S11' AS crawl, page_id, upper(url) AS content FROM pages WHERE length(url) % 3 = 2 AND length(url) >= 50")
+def page_crawl(spark, d):
+    """A crawl whose site is played by the plug-in: the pages' urls stand for names, and what is fetched is their capitals in a page."""
+    names = table(spark, d, "pages").select("page_id", F.col("url").alias("name"))
+
+    def page(url):
+        name = url.removeprefix("https://baike.baidu.com/item/")
+        status, text = _by_length(name)
+        return status, text and f'<h1>t</h1><div class="main-content"><p>{text.replace("&", "&amp;")}</p></div>'
+
+    got = read_back(spark, lambda p: fetch.crawl(names, p, page, blocked_wait=0, error_wait=0), lambda p: fetch.crawl(names, p, page, blocked_wait=0, error_wait=0))
+    return got.join(names, F.col("character") == F.col("name")).select(F.lit("S11").alias("crawl"), "page_id", "content")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS reply, true AS once FROM conversations WHERE role = 'user'")
+def ledger_replies(spark, d):
+    """Replies through a ledger, which two runs fill with one call a different request."""
+    asked = table(spark, d, "conversations").where("role = 'user'")
+    asked = asked.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
+
+    def found(path):
+        replies = ledger.generate_once(asked, path)
+        said = ledger.summary(spark, path)
+        return replies.select("conv_id", "turn", "reply", F.lit(said["calls"] == said["requests"] == said["replies"]).alias("once"))
+
+    return read_back(spark, found, found)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '\\S')")
 def index_documents(spark, d):
     """K5, L1: the documents that a written index holds after it was ensured twice."""
