@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as tx
 from lorewell.functions.embed import embed
+from lorewell.functions.splitter import split_columns
 from lorewell.operators import catalog, chat, context, export, generations, index, ivf, knn, ledger, memory
 from lorewell.plans import events  # noqa: F401  registers its queries
 from lorewell.plans.registry import ORACLE, QUERIES, query, read_back  # noqa: F401  what the driver asks for
 from lorewell.session import table
 from lorewell.sources import catalog_files, fetch, files, knowledge, pages
 
+STRIPPED = "regexp_replace(text, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g')"
+
+
 def _probe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 0").select("embedding")
 
@@ -216,11 +220,50 @@ def chunk_fixed(spark, d):
     return tx.chunk_fixed(table(spark, d, "documents"), "text").select("doc_id", "chunk_id", "chunk")
 
 
-@query()
+def _level_sql(separator: str, size: int) -> str:
+    """One level of the splitter: open items that have the separator are cut there."""
+    sep = f"'{separator}'" if separator.strip() or separator in ("", " ") else " || ".join(["chr(10)"] * len(separator))
+    has = "true" if separator == "" else f"contains(x.t, {sep})"
+    raw = f"list_filter(list_transform(string_split(x.t, {sep}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {sep} || p END), lambda p: p <> '')"
+    cut = f"list_transform([{raw}], lambda ps: list_transform(ps, lambda p, i: {{'t': p, 'open': length(p) >= {size}, 'starts': i = 1 OR length(ps[i - 1]) >= {size}}}))[1]"
+    return f"flatten(list_transform(items, lambda x: CASE WHEN x.open AND {has} THEN {cut} ELSE [x] END))"
+
+
+def _merge_sql(size: int, overlap: int) -> str:
+    """Closed items merged run by run into chunks."""
+    join = lambda win: STRIPPED.replace("text", f"array_to_string({win}, '')", 1)
+    none = "[]::VARCHAR[]"
+    state = lambda out, win, total: f"{{'out': {out}, 'win': {win}, 'total': {total}}}"
+    fresh = state(f"CASE WHEN len(a.win) > 0 THEN list_append(a.out, {join('a.win')}) ELSE a.out END", none, "0::BIGINT")
+    took = "{'kept': list_prepend(p, e.kept), 'n': e.n + length(p), 'full': false}"
+    tail = f"list_reduce(list_reverse(b.win), lambda e, p: CASE WHEN NOT e.full AND e.n + length(p) <= least({overlap}, {size} - length(x.t)) THEN {took} ELSE {{'kept': e.kept, 'n': e.n, 'full': true}} END, {{'kept': {none}, 'n': 0::BIGINT, 'full': false}})"
+    full = state(f"list_append(b.out, {join('b.win')})", "list_append(e.kept, x.t)", "e.n + length(x.t)")
+    plain = state("b.out", "list_append(b.win, x.t)", "b.total + length(x.t)")
+    add = f"CASE WHEN b.total + length(x.t) > {size} AND len(b.win) > 0 THEN list_transform([{tail}], lambda e: {full})[1] ELSE {plain} END"
+    return f"list_reduce(items, lambda a, x: list_transform([CASE WHEN x.starts THEN {fresh} ELSE a END], lambda b: {add})[1], {state(none, none, '0::BIGINT')})"
+
+
+def _split_sql(size: int = 500, overlap: int = 100) -> str:
+    """The recursive splitter, level by level, over all documents."""
+    levels = "".join(f", l{i + 1} AS (SELECT doc_id, {_level_sql(s, size)} AS items FROM l{i})" for i, s in enumerate(tx.SEPARATORS))
+    last = STRIPPED.replace("text", "array_to_string(m.win, '')", 1)
+    return f"""WITH l0 AS (SELECT doc_id, [{{'t': text, 'open': true, 'starts': true}}] AS items FROM documents WHERE text <> ''){levels},
+m AS (SELECT doc_id, {_merge_sql(size, overlap)} AS m FROM l{len(tx.SEPARATORS)}),
+c AS (SELECT doc_id, list_filter(list_append(m.out, {last}), lambda c: c <> '') AS cs FROM m)
+SELECT doc_id, unnest(cs) AS text, (unnest(range(len(cs))))::INTEGER AS chunk_id FROM c"""
+
+
+@query(_split_sql())
 def chunk_recursive(spark, d):
     return tx.split_documents(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
+@query(_split_sql())
+def chunk_columns(spark, d):
+    """X1 in the JVM alone."""
+    return split_columns(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
 @query()
 def chunk_embeddings(spark, d):
     """E1 over X1: what the index build writes."""
@@ -311,7 +354,6 @@ def _kb(spark, d, compat):
     return knowledge.parse(rendered, compat)
 
 
-STRIPPED = "regexp_replace(text, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g')"
 KB = "SELECT 'doc ' || doc_id AS title, source, '' AS url, {c} AS character, {k} AS category, lang || '_黄帝' || doc_id || '_' || source || '.txt' AS file, {t} AS content FROM documents"
 # lines that start with --- end nowhere: the parser drops every one of them
 NO_RULES = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '---')), chr(10))"
