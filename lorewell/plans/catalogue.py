@@ -13,7 +13,7 @@ from lorewell.operators import catalog, chat, context, export, generations, inde
 from lorewell.plans import events  # noqa: F401  registers its queries
 from lorewell.plans.registry import ORACLE, QUERIES, query, read_back  # noqa: F401  what the driver asks for
 from lorewell.session import table
-from lorewell.sources import catalog_files, fetch, files, knowledge, pages
+from lorewell.sources import catalog_files, datasource, fetch, files, knowledge, pages
 
 STRIPPED = "regexp_replace(text, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g')"
 
@@ -559,6 +559,20 @@ def directory_scan(spark, d):
     return read_back(spark, lambda p: knowledge.write_files(rows, p), lambda p: files.load_directory(spark, p).select(F.substring_index("source_file", "/", -1).alias("file"), "page", "content"))
 
 
+@query("SELECT item_id || CASE item_id % 3 WHEN 0 THEN '.txt' ELSE '.MD' END AS file, 0 AS page, text AS content FROM benchmark WHERE item_id % 3 = 0")
+def directory_format(spark, d):
+    """The same files through a format of spark.read, whose scan opens those of the asked suffix alone."""
+    datasource.register(spark)
+    suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".MD"), F.lit(".csv")), (F.col("item_id") % 3 + 1).cast("int"))
+    rows = table(spark, d, "benchmark").select(F.concat("item_id", suffix).alias("file"), F.col("text").alias("value"))
+
+    def found(path):
+        read = spark.read.format("lorewell_documents").load(path).where("suffix = '.txt'")
+        return read.select(F.substring_index("source", "/", -1).alias("file"), "page", "content")
+
+    return read_back(spark, lambda p: knowledge.write_files(rows, p), found)
+
+
 @query("SELECT url, 'page ' || min(page_id) AS title, '2024-01-01' AS time FROM pages GROUP BY url")
 def page_cache_file(spark, d):
     """The cache as a JSON file."""

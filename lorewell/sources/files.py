@@ -83,7 +83,8 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
 def load_directory(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(content, page, source_file, error) below path; other suffixes are left out.
 
-    A file that cannot be read gives one row with its error, so that nothing vanishes silently.
+    A file that cannot be read gives one row with its error, so that nothing vanishes silently. Files of no
+    bytes give no row, as Spark does not open them.
     """
     readers = dict(READERS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
