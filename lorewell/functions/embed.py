@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.session import free_name
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -53,21 +55,19 @@ def extractive_reply(messages: list[dict]) -> str:
 
 def generate(df: DataFrame, column: str = "messages", into: str = "reply", generator: Callable[[list[dict]], str] = extractive_reply) -> DataFrame:
     """A reply for each row's message list; a failing call leaves null and its message in <into>_error."""
-    schema = df.withColumn(into, F.lit("")).withColumn(f"{into}_error", F.lit("")).schema
-    for name in (into, f"{into}_error"):
-        schema[name].nullable = True
+    name = free_name(df.columns, "_said")
+
+    def one(messages) -> tuple[str | None, str | None]:
+        try:
+            return generator([m if isinstance(m, dict) else m.asDict() for m in messages]), None
+        except Exception as e:  # noqa: BLE001  a reply that fails must not fail the others
+            return None, str(e)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("said string, failed string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            said: list[str | None] = []
-            failed: list[str | None] = []
-            for messages in batch[column]:
-                try:
-                    said.append(generator([m if isinstance(m, dict) else m.asDict() for m in messages]))
-                    failed.append(None)
-                except Exception as e:  # noqa: BLE001  a reply that fails must not fail the others
-                    said.append(None)
-                    failed.append(str(e))
-            yield batch.assign(**{into: said, f"{into}_error": failed})
-
-    return df.mapInPandas(run, schema)
+            yield pd.DataFrame([one(m) for m in batch], columns=["said", "failed"])
+
+    # only the messages go to Python, and no plan may call the generator twice for a row
+    said = df.withColumn(name, run.asNondeterministic()(column))
+    return said.withColumns({into: F.col(name)["said"], f"{into}_error": F.col(name)["failed"]}).drop(name)

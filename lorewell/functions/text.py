@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.session import free_name
+
 # Separators tried in this order.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", ""]
 
@@ -97,17 +99,17 @@ def split_documents(docs: DataFrame, column: str = "content", chunk_size: int =
 
     Null and empty texts give no chunk.
     """
-    schema = docs.withColumn("chunk_id", F.lit(0)).schema
+    name = free_name(docs.columns, "_chunks")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            chunks = [split_text(t, chunk_size, chunk_overlap) if isinstance(t, str) else [] for t in batch[column]]
-            wide = batch.assign(**{column: chunks, "chunk_id": [list(range(len(c))) for c in chunks]})
-            wide = wide[[bool(c) for c in chunks]]
-            if len(wide):
-                yield wide.explode([column, "chunk_id"], ignore_index=True).astype({"chunk_id": "int32"})
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([split_text(t, chunk_size, chunk_overlap) if isinstance(t, str) else [] for t in texts], dtype=object)
 
-    return docs.mapInPandas(run, schema)
+    # only the text goes to Python
+    others = [c for c in docs.columns if c != column]
+    cut = docs.withColumn(name, run(column)).select(*others, F.posexplode(name).alias("chunk_id", column))
+    return cut.select(*docs.columns, "chunk_id")
 
 
 def chunk_fixed(docs: DataFrame, column: str, size: int = 500, overlap: int = 100) -> DataFrame:
