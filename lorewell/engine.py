@@ -21,10 +21,12 @@ MESSAGE = "conv_id string, turn long, role string, text string"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, home: str, characters: DataFrame | None = None, embedder: Embedder = hashed_ngrams, generator=extractive_reply, settings: Settings | None = None) -> None:
+    def __init__(self, spark: SparkSession, home: str, characters: DataFrame | None = None, embedder: Embedder = hashed_ngrams, generator=extractive_reply, settings: Settings | None = None, replies_once: bool = False) -> None:
         self.spark, self.home = spark, home.rstrip("/")
         self.embedder, self.generator = embedder, generator
         self.settings = settings or get_settings()
+        # with a ledger, a call of chat that is repeated after a failure generates no reply anew
+        self.ledger = f"{self.home}/ledger" if replies_once else None
         self.characters = characters
         self.index_path = f"{self.home}/index"
 
@@ -129,7 +131,7 @@ class Engine:
         place = self.messages().groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
         new = asked.join(place, "conv_id", "left").withColumn("turn", F.coalesce("turn", F.lit(0).cast("long"))).withColumn("role", F.lit("user"))
         turns = old.join(asked.select("conv_id", "name"), "conv_id").unionByName(new.select("conv_id", "turn", "role", "text", "name"))
-        said = chat.chat(turns, self.characters, self.index, generator=self.generator, k=self.settings.rag_top_k, n=self.settings.max_history, embedder=self.embedder)
+        said = chat.chat(turns, self.characters, self.index, generator=self.generator, replies=self.ledger, k=self.settings.rag_top_k, n=self.settings.max_history, embedder=self.embedder)
         # written first: what is generated must not be generated anew once memory has grown
         said.join(new.select("conv_id", "turn"), ["conv_id", "turn"]).select("conv_id", "turn", "name", "text", "reply", "reply_error", "context_text").write.mode("overwrite").parquet(f"{self.home}/replies")
         said = self.spark.read.parquet(f"{self.home}/replies")

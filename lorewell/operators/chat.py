@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.embed import Embedder, embed, extractive_reply, generate, hashed_ngrams
-from lorewell.operators import context, knn, memory
+from lorewell.operators import context, knn, ledger, memory
 
 
 def prompts(turns: DataFrame, chars: DataFrame, index: DataFrame, k: int = 3, n: int = 10, embedder: Embedder = hashed_ngrams) -> DataFrame:
@@ -25,6 +25,10 @@ def prompts(turns: DataFrame, chars: DataFrame, index: DataFrame, k: int = 3, n:
     return asked.join(block, "query_id", "left").withColumn("messages", context.messages(system, F.col("history"), F.col("text")))
 
 
-def chat(turns: DataFrame, chars: DataFrame, index: DataFrame, generator=extractive_reply, **kw) -> DataFrame:
-    """Replies; those that failed have null and an error, and are not to enter memory."""
-    return generate(prompts(turns, chars, index, **kw), generator=generator)
+def chat(turns: DataFrame, chars: DataFrame, index: DataFrame, generator=extractive_reply, replies: str | None = None, **kw) -> DataFrame:
+    """Replies; those that failed have null and an error, and are not to enter memory.
+
+    replies: the path of a ledger. What it has is not generated again, so a rerun makes no call; it is filled when this is called.
+    """
+    asked = prompts(turns, chars, index, **kw)
+    return ledger.generate_once(asked, replies, generator) if replies else generate(asked, generator=generator)

@@ -35,3 +35,23 @@ def test_engine(spark, tmp_path):
     assert e.messages().count() == 0
     e.clear_index()
     assert e.count() == 0
+
+
+def test_engine_with_a_ledger(spark, tmp_path):
+    """A call of chat that is repeated gets its replies from the ledger: memory grows, the generator is not called again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def generator(messages):
+        import uuid
+
+        (calls / uuid.uuid4().hex).touch()
+        return messages[-1]["content"] + "!"
+
+    e = Engine(spark, str(tmp_path / "home"), catalogue.chars(spark), generator=generator, replies_once=True)
+    e.ensure(spark.createDataFrame([("诗", "集", "", "李白", "poem", "a", "床前明月光")], DOC))
+    asked = spark.createDataFrame([("s1", "李白", "你好"), ("s2", "李白", "你好")], "conv_id string, name string, text string")
+    assert [r["reply"] for r in e.chat(asked).collect()] == ["你好!", "你好!"] and len(list(calls.iterdir())) == 1
+    e.clear_all()
+    assert [r["reply"] for r in e.chat(asked).collect()] == ["你好!", "你好!"] and len(list(calls.iterdir())) == 1
+    assert e.history("s1").count() == 2
