@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.operators import memory, sketches, timed
+from lorewell.operators import sketches, timed
 from lorewell.plans.registry import query, read_back
 from lorewell.session import table
 from lorewell.streaming import sessions, windows
