@@ -140,9 +140,10 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def crawl(characters: DataFrame, path: str, fetcher: Fetcher = offline, cache: DataFrame | None = None, category: str = "biography", **how) -> DataFrame:
     """S11 and S15 over (name): the gated results of the names whose page is not in the cache.
 
-    What was fetched is written to path, with the failures, and read from there; `how` goes to fetch().
+    A name is fetched once and has one result, however many rows have it. What was fetched is written to path, with the failures, and
+    read from there; `how` goes to fetch().
     """
-    wanted = characters.select(F.col("name").alias("character"), item_url(F.col("name")).alias("url"))
+    wanted = characters.select(F.col("name").alias("character"), item_url(F.col("name")).alias("url")).distinct()
     if cache is not None:
         wanted = not_cached(wanted, cache)
     fetched = _written(fetch(wanted, fetcher, **how), path)
