@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.session import free_name
+from lorewell.session import free_name, release
+
+#: Texts of about so many bytes are in Python's hands at once; a longer one stands alone.
+SLICE = 1 << 20
 
 # Separators tried in this order.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", ""]
@@ -94,6 +98,20 @@ def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [c for c in out if c]
 
 
+def slices(batch: pa.Array, most: int = SLICE, rows: int = 1_000) -> Iterator[pa.Array]:
+    """An Arrow batch of texts in slices of about `most` bytes and at most `rows` texts, so that what is made of them stays small
+    however many rows Spark sends at once."""
+    sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+    first, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (total + n > most or i - first == rows):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n
+    if first < len(batch):
+        yield batch.slice(first)
+
+
 def split_documents(docs: DataFrame, column: str = "content", chunk_size: int = 500, chunk_overlap: int = 100) -> DataFrame:
     """X1 over a DataFrame: one row per chunk, all columns kept, with chunk_id from 0.
 
@@ -101,10 +119,12 @@ def split_documents(docs: DataFrame, column: str = "content", chunk_size: int =
     """
     name = free_name(docs.columns, "_chunks")
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([split_text(t, chunk_size, chunk_overlap) if isinstance(t, str) else [] for t in texts], dtype=object)
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                yield pa.array([split_text(t, chunk_size, chunk_overlap) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        release()
 
     # only the text goes to Python
     others = [c for c in docs.columns if c != column]
