@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.session import free_name
+from lorewell.functions.text import slices
+from lorewell.session import free_name, release
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -35,12 +37,16 @@ def hashed_ngrams(texts: list[str], dim: int = 256, sizes: tuple[int, ...] = (1,
 
 
 def embed(df: DataFrame, column: str, into: str = "embedding", embedder: Embedder = hashed_ngrams) -> DataFrame:
-    """One embedding per row, whole Arrow batches at a time; null text counts as empty."""
+    """One embedding per row, the embedder being called with up to 1,000 texts; null text counts as empty."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(embedder([t or "" for t in texts])))
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                vectors = np.asarray(embedder([t or "" for t in texts.to_pylist()]), np.float32)
+                ends = np.arange(len(texts) + 1, dtype=np.int32) * np.int32(vectors.shape[1])
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
+        release()
 
     return df.withColumn(into, run(column))
 

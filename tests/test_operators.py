@@ -161,3 +161,13 @@ def test_stream_state_clears_and_evicts():
     # what comes late from before the clear stays cleared
     assert feed((2, "user", "late")) == [(5, "user", "e")]
     assert feed((6, "x", "f"), (7, "user", "g"), (8, "user", "h")) == [(6, "assistant", "f"), (7, "user", "g"), (8, "user", "h")]
+
+
+def test_embedder_gets_a_slice_at_once(spark):
+    texts = [None, "", "y" * 2_000_000, *[f"text {i}" for i in range(2_500)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    calls = embed(df, "t", embedder=lambda ts: np.array([[len(ts), sum(map(len, ts))]] * len(ts))).collect()
+    assert max(r["embedding"][0] for r in calls) <= 1_000
+    assert [r["id"] for r in calls if r["embedding"][1] > 1 << 20] == [2]
+    got = [r["embedding"] for r in embed(df, "t").orderBy("id").collect()]
+    assert np.array_equal(np.array(got, np.float32), hashed_ngrams([t or "" for t in texts]))
