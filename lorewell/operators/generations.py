@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 from lorewell.session import free_name, remove
 
 MANIFESTS = "_manifests"
+#: Where writers may keep what they work from; nothing of it is part of a version.
+STAGED = "staged"
 
 
 class Conflict(RuntimeError):
@@ -37,6 +39,11 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders that a partitioned write has left below path."""
+    return [n for n in _names(spark, path) if "=" in n]
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the manifests that are there, oldest first; none where there is no table."""
     return [int(n[:-5]) for n in _names(spark, f"{path}/{MANIFESTS}") if n.endswith(".json") and n[:-5].isdigit()]
@@ -44,13 +51,14 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
     """The manifest of a version, the last one unless told; None where there is no table."""
-    known = versions(spark, path)
-    if not known or (version is not None and version not in known):
-        if version is not None:
-            raise ValueError(f"{path} has no version {version}, it has {known}")
-        return None
-    version = known[-1] if version is None else version
+    if version is None:
+        known = versions(spark, path)
+        if not known:
+            return None
+        version = known[-1]
     fs, at = _fs(spark, f"{path}/{MANIFESTS}/{version:012d}.json")
+    if not fs.exists(at):
+        raise ValueError(f"{path} has no version {version}, it has {versions(spark, path)}")
     stream = fs.open(at)
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"version": version}
@@ -58,6 +66,15 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
         stream.close()
 
 
+def latest(spark: SparkSession, path: str, version: int) -> int:
+    """The last version's number, by trying those that follow `version`; unlike versions(), it does not list all manifests."""
+    while True:
+        fs, at = _fs(spark, f"{path}/{MANIFESTS}/{version + 1:012d}.json")
+        if not fs.exists(at):
+            return version
+        version += 1
+
+
 def _publish(spark: SparkSession, path: str, before: dict | None, schema: StructType, parts: list[dict], deletes: list[dict]) -> int:
     """Writes the manifest that follows `before`, in one step, or raises Conflict."""
     version = (before["version"] if before else 0) + 1
@@ -96,8 +113,9 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     out = spark.createDataFrame([], schema)
     if now["parts"]:
         out = None
-        for p in now["parts"]:
-            rows = spark.read.schema(schema).parquet(f"{path}/{p['name']}").select(*names, F.lit(p["since"]).alias(since))
+        for parts in _alike(now):
+            paths = [f"{path}/{p['name']}" for p in parts]
+            rows = spark.read.schema(schema).parquet(*paths).select(*names, F.lit(parts[0]["since"]).alias(since))
             out = rows if out is None else out.unionByName(rows)
         for key in sorted({d["key"] for d in now["deletes"]}):
             gone = None
@@ -111,6 +129,15 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return out
 
 
+def _alike(now: dict) -> list[list[dict]]:
+    """The parts of a manifest in groups that one scan reads: those that the same deletes follow. A part that is split by a column's
+    values stands alone, as Spark takes that column from the folders below one root."""
+    ats, groups = [d["at"] for d in now["deletes"]], {}
+    for p in now["parts"]:
+        groups.setdefault((sum(at > p["since"] for at in ats), p["name"] if p["by"] else None), []).append(p)
+    return list(groups.values())
+
+
 def replace(df: DataFrame, path: str, partition_by: str | None = None) -> int:
     """A version that has df's rows alone. Readers of older versions go on."""
     spark = df.sparkSession
@@ -173,7 +200,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
         used |= {x["name"] for x in [*m["parts"], *m["deletes"]]}
     for v in known[:-keep]:
         remove(spark, f"{path}/{MANIFESTS}/{v:012d}.json")
-    lost = [f"{folder}/{n}" for folder in ("parts", "deletes") for n in _names(spark, f"{path}/{folder}") if f"{folder}/{n}" not in used]
+    lost = [f"{folder}/{n}" for folder in ("parts", "deletes", STAGED) for n in _names(spark, f"{path}/{folder}") if f"{folder}/{n}" not in used]
     for name in lost:
         remove(spark, f"{path}/{name}")
     return lost

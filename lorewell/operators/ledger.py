@@ -8,6 +8,7 @@ executor, as no call can be made exactly once across a failure. Failures are kep
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.embed import extractive_reply
 from lorewell.operators import generations
+from lorewell.session import remove
 
 LEDGER = "request string, reply string, error string"
 #: Requests of a part: the run ahead of a commit, and what a lost run has to ask again.
@@ -45,16 +47,32 @@ def missing(asked: DataFrame, path: str, attempts: int) -> DataFrame:
 def fill(requests: DataFrame, path: str, generator: Callable[[list[dict]], str], attempts: int = 3, part: int = PART) -> int:
     """Generates what the ledger lacks of requests (request, messages) and returns how many calls were made.
 
-    Missing requests are taken in parts of about `part` by their hashes. A part is generated, written and published before the next
-    begins, so a run that is cut off has lost one part at most. A request that fails is published with its error; null messages fail.
+    Missing requests are told once and written in parts of about `part` by their hashes, so that a part reads its own requests and
+    nothing of the ledger. A part is generated, written and published before the next begins, so a run that is cut off has lost one
+    part at most. Once another run has published meanwhile, each part leaves out what the ledger has by then. A request that fails is
+    published with its error; null messages fail.
     """
     spark = requests.sparkSession
+    version, shared = (generations.versions(spark, path) or [0])[-1], False
     lacking = missing(requests, path, attempts)
     n = lacking.count()
-    parts = -(-n // part)
-    for i in range(parts):
-        mine = missing(requests, path, attempts).where(F.pmod(F.crc32("request"), F.lit(parts)) == i)
-        generations.append(mine.mapInPandas(_generate(generator), LEDGER), path)
+    if not n:
+        return 0
+    staged = f"{path}/{generations.STAGED}/{uuid.uuid4().hex}"
+    try:
+        numbered = lacking.withColumn("part", F.pmod(F.crc32("request"), F.lit(-(-n // part))))
+        numbered.repartition("part").write.partitionBy("part").parquet(staged)
+        for name in generations.folders(spark, staged):
+            mine = spark.read.schema(lacking.schema).parquet(f"{staged}/{name}").repartition("request")
+            newest = generations.latest(spark, path, version)
+            shared = shared or newest != version
+            before = generations.manifest(spark, path, newest) if newest else None
+            if shared:
+                mine = missing(mine, path, attempts)
+            generations.append(mine.mapInPandas(_generate(generator), LEDGER), path, before)
+            version = newest + 1
+    finally:
+        remove(spark, staged)
     return n
 
 

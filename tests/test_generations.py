@@ -67,3 +67,19 @@ def test_index_deletes_and_concurrent_append(spark, tmp_path):
     assert index.build(docs, path) == 3 and index.remove_documents(docs.where("title = 'b'"), path, "title") == 2
     assert index.append(docs, path) == 1 and index.count(spark, path) == 3
     assert [r["title"] for r in index.read(spark, path, 2).orderBy("title").collect()] == ["a", "c"]
+
+
+def test_parts_of_one_scan_keep_their_deletes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda *ks, v="a": spark.createDataFrame([(k, v) for k in ks], SCHEMA)
+    want = set()
+    for i in range(4):
+        g.append(make(i, 9, v=str(2 * i)), path)
+        g.append(make(i + 10, 9, v=str(2 * i + 1)), path)
+        want |= {(i, str(2 * i)), (i + 10, str(2 * i + 1))}
+        g.delete(make(9, 11), path, "k")
+        want.discard((11, "3"))
+    g.append(make(9, v="last"), path)
+    assert rows(g.read(spark, path)) == sorted(want | {(9, "last")})
+    plan = g.read(spark, path)._jdf.queryExecution().analyzed().toString()
+    assert sum("Relation" in s and "v#" in s for s in plan.split("\n")) == 5

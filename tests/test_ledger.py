@@ -82,3 +82,44 @@ def test_models_nulls_and_empty(spark, tmp_path):
     row = ledger.generate_once(nothing, path, lambda m: "three", attempts=1).first()
     assert row["reply"] is None and row["reply_error"].startswith("TypeError")
     assert ledger.generate_once(df.limit(0), path).count() == 0
+
+
+class Tasks:
+    """Counts the tasks of the jobs of a group."""
+
+    def __init__(self, spark):
+        self.sc = spark.sparkContext
+
+    def of(self, name, f):
+        self.sc.setJobGroup(name, name)
+        f()
+        self.sc.setLocalProperty("spark.jobGroup.id", None)
+        seen = self.sc.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup(name) for s in seen.getJobInfo(j).stageIds}
+        return sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i)
+
+
+def test_a_part_does_not_read_the_ledger(spark, tmp_path):
+    """Tasks follow the parts: twice the parts are not four times the tasks."""
+    tasks = Tasks(spark)
+    few, many = (tasks.of(f"fill-{n}", lambda n=n: ledger.generate_once(asks(spark, [f"q{i}" for i in range(n)]), str(tmp_path / str(n)), part=4)) for n in (40, 80))
+    assert len(generations.manifest(spark, str(tmp_path / "80"))["parts"]) >= 18 and many < 2.4 * few, (few, many)
+    scans = [s for s in generations.read(spark, str(tmp_path / "80"))._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation" in s]
+    assert len(scans) == 1
+    assert not list((tmp_path / "80" / generations.STAGED).iterdir())
+
+
+def test_what_another_run_publishes_meanwhile_is_not_asked_again(spark, tmp_path, calls, monkeypatch):
+    path, df = str(tmp_path / "ledger"), asks(spark, [f"q{i}" for i in range(30)])
+    real, other = generations.append, []
+
+    def beside(*a):
+        version = real(*a)
+        if not other:
+            other.append(True)
+            ledger.generate_once(df, path, counting(str(calls)), part=100)
+        return version
+
+    monkeypatch.setattr(generations, "append", beside)
+    assert ledger.generate_once(df, path, counting(str(calls)), part=10).where("reply IS NOT NULL").count() == 30
+    assert len(list(calls.iterdir())) == 30 and ledger.summary(spark, path) == {"requests": 30, "replies": 30, "calls": 30}
